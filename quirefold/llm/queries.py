@@ -3,31 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm import language, quality
+from quirefold.llm import bpe, language, lines, pii, quality
 from quirefold.llm.common import table
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op2_lines": op2_lines,
     "op4_language": op4_language,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL = {
+    "op2_lines": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents
+), lines AS (
+  SELECT rid, source, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM docs
+), totals AS (
+  SELECT source, count(*) AS n_pages FROM docs WHERE source IS NOT NULL GROUP BY source
+), bad AS (
+  SELECT source, line FROM lines JOIN totals USING (source) WHERE regexp_matches(line, '\S')
+  GROUP BY source, line, n_pages HAVING count(DISTINCT rid) >= 3 AND count(DISTINCT rid) > n_pages * 0.05
+), kept AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS clean, count(*) AS n
+  FROM lines ANTI JOIN bad ON lines.source = bad.source AND lines.line = bad.line GROUP BY rid
+)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE coalesce(clean, '') END AS text,
+       CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_dropped
+FROM docs LEFT JOIN kept USING (rid)
+""",
     "op6_quality": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
 ), words AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
 ), wins AS (
   SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM words, unnest(range(1, len(w) - 6)) AS u(i)
 ), twice AS (
