@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.llm.tokens import ChunkCache
 
@@ -184,12 +185,12 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 values = pa.array(np.frombuffer(b"".join(found), "<u4").astype("int32"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "ids"])
 
-    return source.mapInArrow(run, source.select(key).schema.add("ids", "array<int>"))
+    return source.mapInArrow(run, T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """All columns, then decoded (binary): the bytes that the ids stand for; null ids give null."""
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(path, pattern)

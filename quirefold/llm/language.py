@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNDETERMINED = "und"
 #: What splits words: anything but letters (and marks), so digits and punctuation say nothing.
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
             found = [score_text(cache, t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    schema = source.drop("_qf_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema)
 
 
