@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, language, lines, packing, pii, planes, quality
+from quirefold.llm import bpe, language, lines, packing, pii, planes, quality, vectors
 from quirefold.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op9_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_lines": op2_lines,
+    "op3_vectors": op3_vectors,
     "op4_language": op4_language,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
