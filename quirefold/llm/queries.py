@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, language, lines, packing, pii, planes, quality, vectors
+from quirefold.llm import bpe, language, lines, minhash, packing, pii, planes, quality, vectors
 from quirefold.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op9_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_lines": op2_lines,
     "op3_vectors": op3_vectors,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op9_planes": op9_planes,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL = {
