@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, language, lines, minhash, packing, pii, planes, quality, vectors
+from quirefold.llm import bpe, html, language, lines, minhash, packing, pii, planes, quality, vectors
 from quirefold.llm.common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "source", "text", "n_lines", "n_dropped")
@@ -62,6 +66,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_lines": op2_lines,
     "op3_vectors": op3_vectors,
     "op4_language": op4_language,
