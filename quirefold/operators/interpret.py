@@ -35,15 +35,21 @@ Matrix = tuple[float, float, float, float, float, float]
 def operators(streams: DataFrame) -> DataFrame:
     """One row per operator of each stream, with its byte span and flat operands."""
 
+    columns = [c.split()[0] for c in OPS.split(", ")]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for doc, page, content in zip(batch["doc_id"], batch["page_index"], batch["content"]):
-                out = []
                 for k, o in enumerate(operations(content)):
                     flat = [y for x in o.operands for y in (x if isinstance(x, list) else [x])]
                     name = next((x.decode("latin-1") for x in flat if isinstance(x, Name)), None)
                     out.append((doc, page, k, o.op, o.start, o.end, o.op_start, [x for x in flat if isinstance(x, float)], name, [bytes(x) for x in flat if isinstance(x, bytes) and not isinstance(x, Name)]))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in OPS.split(", ")])
+                if len(out) >= 20_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return streams.select("doc_id", "page_index", "content").mapInPandas(rows, OPS)
 
@@ -225,6 +231,7 @@ def text_runs(streams: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Font] = {}
+        held: list[dict] = []
         for batch in batches:
             for row in batch.itertuples(index=False):
                 fonts = {}
@@ -235,10 +242,13 @@ def text_runs(streams: DataFrame) -> DataFrame:
                 forms = {n: (f["content"], tuple(f["matrix"]) if f["matrix"] is not None else _EYE) for n, f in dict(row.forms or {}).items()} if has_forms else {}
                 page = Page(fonts, forms)
                 page.run(row.content, f"page:{row.page_index}", State())
-                if page.runs:
-                    out = pd.DataFrame(page.runs)
-                    out.insert(0, "doc_id", row.doc_id)
-                    out.insert(1, "page_index", row.page_index)
-                    yield out[names]
+                for run in page.runs:
+                    run["doc_id"], run["page_index"] = row.doc_id, row.page_index
+                held += page.runs
+                if len(held) >= 5000:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return streams.select("doc_id", "page_index", "content", "fonts", *(["forms"] if has_forms else [])).mapInPandas(rows, RUNS)
