@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template svg math iframe object textarea select button head title canvas audio video datalist".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+#: The elements that give a page its structure.
+STRUCTURE = frozenset("article aside footer form header main nav section".split())
 #: Which open element a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -134,11 +136,14 @@ def add_features(blocks: list[Block]) -> list[Block]:
         n, marks = len(b.text), sum(b.text.count(c) for c in ".,;!?")
         size = min(6, n.bit_length() // 2 if n < 4096 else 6)
         share = min(3, 3 * b.link // n) if n else 0
+        near = next((k for k in range(len(b.above) - 1, -1, -1) if b.above[k].startswith("name:") or b.above[k][4:] in STRUCTURE), -1)
         own = next((x for x in reversed(b.above) if x.startswith("tag:") and x[4:] not in INLINE), "tag:none")
         b.features = [
             "bias",
             *dict.fromkeys(f"above:{x}" for x in b.above),
             f"own:{own}",
+            f"own:{own} in main:{'tag:article' in b.above or 'tag:main' in b.above}",
+            f"near:{b.above[near] if near >= 0 else 'none'}",
             f"size:{size}",
             f"links:{share}",
             f"marks:{min(3, marks)}",
@@ -174,7 +179,7 @@ class Crf:
         return labels[::-1]
 
     @classmethod
-    def fit(cls, pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: float = 0.3, penalty: float = 1e-4) -> "Crf":
+    def fit(cls, pages: list[tuple[list[Block], list[int]]], epochs: int = 15, rate: float = 0.3, penalty: float = 1e-4) -> "Crf":
         """AdaGrad on the log likelihood; forward-backward gives the expected features of each page."""
         index: dict[str, int] = {}
         data = []
@@ -225,7 +230,7 @@ SIDE_NAMES = (
 ).split()
 
 
-def labelled_pages(pages: int = 220, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(pages: int = 600, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Pages from templates, read by ``leaf_blocks``; a block's label is known by a mark in its text."""
     rng = random.Random(seed)
     mark = "⁠"  # main text carries this invisible mark until the label is read off
@@ -237,6 +242,8 @@ def labelled_pages(pages: int = 220, seed: int = 11) -> list[tuple[list[Block],
         return words(lo, hi).capitalize() + rng.choice([".", ".", ".", "!", "?", "", " &amp;&amp;&amp;", "###"])
 
     def paragraph() -> str:
+        if rng.random() < 0.2:
+            return words(1, 2) + rng.choice(["", ".", ":"])
         return rng.choice([" ", " ", " ", " | ", "!! "]).join(sentence() for _ in range(rng.choice([1, 1, 2, 4, 8])))
 
     def link(n: int = 3) -> str:
@@ -250,20 +257,25 @@ def labelled_pages(pages: int = 220, seed: int = 11) -> list[tuple[list[Block],
         items = [link() for _ in range(rng.randint(2, 9))]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
 
+    def heading() -> str:
+        level = rng.randint(2, 4)
+        return f"<h{level}>{words(1, 4)}</h{level}>"
+
     def filler() -> str:
-        return rng.choice([lambda: f"<p>{paragraph()}</p>", sentence, menu, lambda: f"<h3>{words(1, 4)}</h3>{menu()}", lambda: f"<p>{sentence()} {link()}</p>", lambda: f"<span>{words(1, 5)}</span>", paragraph])()
+        return rng.choice([lambda: f"<p>{paragraph()}</p>", sentence, menu, lambda: heading() + menu(), lambda: heading() + f"<p>{paragraph()}</p>", lambda: f"<p>{sentence()} {link()}</p>", lambda: f"<span>{words(1, 5)}</span>", paragraph])()
 
     def side() -> str:
         kind = rng.random()
         if kind < 0.25:
             tag = rng.choice(["nav", "header", "footer", "aside"])
             start = rng.choice(["", "&copy; ", "&copy; 2020 "]) if tag == "footer" else ""
+            start = f"<h1>{words(1, 3)}</h1>" if tag == "header" and rng.random() < 0.5 else start
             return f"<{tag}{names(SIDE_NAMES) if rng.random() < 0.3 else ''}>{start}{menu() if tag == 'nav' else filler()}{filler() if rng.random() < 0.4 else ''}</{tag}>"
         if kind < 0.33:
-            return f"<form><label>{words(1, 3)}</label><input name=q><p>{sentence()}</p><button>{words(1, 2)}</button></form>"
+            return f"<form{names(SIDE_NAMES) if rng.random() < 0.3 else ''}><label>{words(1, 3)}</label><input name=q><p>{paragraph()}</p><button>{words(1, 2)}</button></form>"
         if kind < 0.5:
             tag = rng.choice(["section", "div", "ol"])
-            return f"<{tag}{names(['comment', 'comments', 'respond', 'reply', 'disqus'])}><h3>{words(1, 3)}</h3>" + "".join(f"<{'li' if tag == 'ol' else 'div'}><p>{paragraph()}</p></{'li' if tag == 'ol' else 'div'}>" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+            return f"<{tag}{names(['comment', 'comments', 'respond', 'reply', 'disqus'])}>{heading()}" + "".join(f"<{'li' if tag == 'ol' else 'div'}><p>{paragraph()}</p></{'li' if tag == 'ol' else 'div'}>" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
         return f"<div{names(SIDE_NAMES)}>{''.join(filler() for _ in range(rng.randint(1, 2)))}</div>"
 
     def main_block() -> str:
@@ -292,9 +304,9 @@ def labelled_pages(pages: int = 220, seed: int = 11) -> list[tuple[list[Block],
     for _ in range(pages):
         title = f"<h1>{mark}{words(2, 9)}</h1>"
         inside = [f"<header>{title}</header>" if rng.random() < 0.15 else title] if rng.random() < 0.9 else []
-        for _ in range(rng.choice([1, 2, 4, 8, 14])):
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 8, 14])):
             inside.append(main_block())
-            if rng.random() < 0.08:
+            if rng.random() < 0.12:
                 inside.append(side())
         if rng.random() < 0.25:
             inside.append(side())
@@ -316,7 +328,7 @@ def labelled_pages(pages: int = 220, seed: int = 11) -> list[tuple[list[Block],
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 220, seed: int = 11) -> Crf:
+def trained(pages: int = 600, seed: int = 11) -> Crf:
     """The model; the same for every input."""
     return Crf.fit(labelled_pages(pages, seed))
 
