@@ -1,0 +1,364 @@
+"""The operators against brute force, other libraries, exact round trips and held-out accuracy."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from quirefold.llm import bpe, components, html, language, lines, minhash, packing, pii, planes, quality, queries, vectors
+
+P = pytest.importorskip("public_tokenizers")
+WORDS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def word_ids(text):
+    from tokenizers import Tokenizer
+
+    if not hasattr(word_ids, "library"):
+        word_ids.library = Tokenizer.from_file(WORDS)
+        word_ids.library.encode_special_tokens = True
+    return word_ids.library.encode(text or "", add_special_tokens=False).ids
+
+
+PIECES = ["", " ", "a", "The", "THE", "don't", "we'LL", "é", "é", "Ünï", "straße", "İ", "Σίσυφος", "中文", "😀", "12", "3.5%", "...", "###", "\n", "\t", "\r\n", "\x1c", "\x85", " ", "  ", ",", "'s", "foo_bar", "<|endoftext|>"]
+
+
+def test_word_tokenizer():
+    from quirefold.llm.tokens import tokenizer
+
+    rng, own = random.Random(1), tokenizer(WORDS)
+    for _ in range(3000):
+        text = "".join(rng.choice(PIECES) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == word_ids(text), repr(text)
+
+
+def test_byte_bpe():
+    import tiktoken
+
+    own, rng = bpe.byte_bpe(BYTES, P.PATTERN), random.Random(2)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    cases = ["".join(rng.choice(PIECES) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    cases += ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcé") for _ in range(9000)), "x" * 100 + " " * 50 + "y\n\n\n z"]
+    for text in cases:
+        ids = np.frombuffer(own.ids(text), "<u4").tolist()
+        assert ids == library.encode_ordinary(text), repr(text[:80])
+        assert own.text_bytes(ids) == text.encode()
+
+
+def test_merge_takes_the_leftmost_pair_of_lowest_rank():
+    rng = random.Random(3)
+    ranks = {bytes([c]): c for c in range(256)}
+    for k in range(40):  # a made-up vocabulary with overlapping tokens
+        ranks.setdefault(rng.choice(list(ranks)) + rng.choice(list(ranks)), 256 + k)
+
+    def plain(piece):
+        if piece in ranks:
+            return [ranks[piece]]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    letters = sorted({t[:1] for t in ranks if len(t) > 1} | {t[-1:] for t in ranks if len(t) > 1})
+    for _ in range(500):
+        piece = b"".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+        assert bpe.merge(piece, ranks, 8) == plain(piece)
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_planes(spark, docs, texts, bits):
+    got = planes.round_trip(docs, WORDS, bits=bits).orderBy("doc_id").collect()
+    start = 0
+    for r, doc in zip(got, sorted(texts), strict=True):
+        ids = np.array([*word_ids(texts[doc]), 2], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (doc, start, len(ids) // 4, ids)
+        start += len(ids) // 4
+
+
+def test_plane_blocks_and_random_access(tmp_path):
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, planes.BLOCK, 2 * planes.BLOCK + 5):
+        ids = rng.integers(0, 1 << 32, n, dtype="u8").astype("<u4")
+        for bits in (False, True):
+            assert (planes.from_planes(planes.to_planes(ids, bits), n) == ids).all()
+            with open(tmp_path / "f", "wb") as out:
+                f = planes.PlaneFile(out, bits)
+                f.add(pa.array([1]), [ids.tobytes()])
+                assert f.close() == n
+            r = planes.PlaneReader(pafs.LocalFileSystem().open_input_file(str(tmp_path / "f")))
+            a = n // 3
+            assert (r.ids(a, n - a) == ids[a:]).all() and r.documents().column("n").to_pylist() == [n]
+
+
+def test_packing(docs, texts):
+    rows = packing.pack(docs, WORDS).collect()
+    used, per = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ids = np.array([*word_ids(texts[r.doc_id]), 2], "<u4")
+        assert bytes(r.ids) == ids[r.start : r.start + r.length].tobytes() and r.doc_tokens == len(ids)
+        used[r.sequence_id].append((r.offset, r.length))
+        per[r.doc_id].append((r.start, r.length))
+    for spans in [*used.values(), *per.values()]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+    assert all(sum(n for _, n in s) <= packing.SEQ_LEN for s in used.values()) and set(per) == set(texts)
+    assert len(used) <= math.ceil(sum(r.length for r in rows) / packing.SEQ_LEN) + 1
+
+
+def test_histogram_packing_matches_one_by_one():
+    """Patterns with counts give as many packs as placing each piece in turn into the shortest pack."""
+    rng = random.Random(5)
+    for _ in range(50):
+        size = rng.choice([8, 16, 50])
+        pieces = sorted((rng.randint(1, size) for _ in range(rng.randint(1, 80))), reverse=True)
+        rooms: list[int] = []
+        for n in pieces:
+            best = max(range(len(rooms)), key=lambda k: rooms[k], default=None)
+            if best is None or rooms[best] < n:
+                rooms.append(size - n)
+            else:
+                rooms[best] -= n
+        found = packing.shortest_pack_first(Counter(pieces), size)
+        assert sum(many for many, _ in found) == len(rooms)
+        assert sorted(n for many, ls in found for n in ls * many) == sorted(pieces) and all(sum(ls) <= size for _, ls in found)
+
+
+def test_html_on_the_table(spark):
+    import html as entities
+
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>", article)]
+        assert html.main_text(r.html, html.trained()) == "\n".join(b for b in blocks if b)
+
+
+def test_html_on_unseen_templates():
+    pages = html.labelled_pages(120, 77)
+    wrong = sum(x != y for blocks, labels in pages for x, y in zip(html.trained().decode(blocks), labels))
+    assert wrong / sum(len(labels) for _, labels in pages) < 0.02
+
+
+def test_viterbi_is_the_best_sequence():
+    from itertools import product
+
+    rng, model = random.Random(6), html.trained()
+    for blocks, _ in html.labelled_pages(40, 5):
+        blocks = blocks[: rng.randint(1, 8)]
+        gain = [sum(model.by_name.get(f, 0) for f in b.features) for b in blocks]
+        score = lambda y: sum(g for g, v in zip(gain, y) if v) + sum(model.moves[a][b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert math.isclose(score(model.decode(blocks)), max(map(score, product((0, 1), repeat=len(blocks)))))
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_language_never_reads_labels_of_held_out_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    wrong = docs.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    assert sorted(language.identify(wrong).collect()) == sorted(language.identify(docs).collect())
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    found += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
+
+
+def test_pii(spark, docs, texts):
+    rng = random.Random(7)
+    parts = ["a@b.c", "x.y+z@q-r.co.uk", "@", ".", "_", "-", " ", "+", "(", ")", "1", "23", "255", "256", "0001", "4111 1111 1111 1111", "5500-0000-0000-0004", "+1 (212) 555-0100", "1.2.3.4", "é", "😀", "\n", "tel"]
+    made = {1_000_000 + k: "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for k in range(600)}
+    made[2_000_000] = "7 " * 2000 + "10.0.0.1 " * 700 + "é" * 300 + " a@b.cc" * 600
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    for r in pii.find(both).collect():
+        assert [tuple(x)[:4] for x in r.pii if x.kind in pii.BASE] == base_spans({**texts, **made}[r.doc_id]), r.doc_id
+
+
+def test_pii_added_kinds(spark):
+    rows = [(1, "iban DE89 3704 0044 0532 0130 00."), (2, "iban DE88 3704 0044 0532 0130 00."), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "mail bob@x.org, card 4111111111111111!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: [x.kind for x in r.pii] for r in pii.find(df).collect()} == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: ["email", "card"]}
+    assert {r.doc_id: r.text for r in pii.mask(df).collect()}[5] == "mail <EMAIL>, card <CARD>!"
+
+
+def test_quality(docs, texts):
+    for r in quality.judge(docs).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        ls = [x for x in texts[r.doc_id].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in texts[r.doc_id]), len(ls) - len(set(ls)), len(covered))
+
+
+def test_bad_host_is_rejected(spark):
+    good = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, "short" if k % 10 else good, "bad") for k in range(400)] + [(1000 + k, good if k % 50 else "x", f"h{k % 8}") for k in range(1600)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not got[0].base_failed and got[0].host_rejected and not got[0].kept and got[1001].kept and not got[1000].kept
+
+
+def test_lines(docs):
+    rows = docs.select("doc_id", "source", "text").collect()
+    pages, seen = Counter(r.source for r in rows), Counter((r.source, x) for r in rows for x in set(r.text.split("\n")) if x.strip())
+    for got, r in zip(sorted(lines.drop_boilerplate(docs).collect()), sorted(rows, key=lambda r: r.doc_id)):
+        kept = [x for x in r.text.split("\n") if not (seen[r.source, x] >= 3 and seen[r.source, x] > 0.05 * pages[r.source])]
+        assert got.text == "\n".join(kept) and got.n_lines - got.n_dropped == len(kept)
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(5001, 5400)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((40, 24))
+    v = np.concatenate([centers[rng.integers(0, 40, 500)] + rng.normal(0, s, (500, 24)) for s in (0.05, 0.2, 0.3)]).astype("f4")
+    v = np.concatenate([v, np.repeat(v[:1], 1500, axis=0) + rng.normal(0, 0.01, (1500, 24)).astype("f4"), v[:20]])  # a bucket beyond one block, and copies
+    labels = np.where(np.arange(len(v)) % 7 == 0, 1, 0)
+    got = {r.vec_id: r for r in vectors.link(spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, labels))], "vec_id long, embedding array<float>, label int")).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(linked, False)
+    found, true = np.array([got[i].n_links for i in range(len(v))]), linked.sum(axis=1)
+    assert (found <= true).all() and found.sum() >= 0.995 * true.sum()
+
+
+def plain_similarity(a, b):
+    """Longest common subsequence of labelled shingles, by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] / (len(a) + len(b) - row[-1]) if len(a) + len(b) else 0.0
+
+
+def test_alignment():
+    rng = random.Random(10)
+    for _ in range(200):
+        words = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 90))]
+        other = list(words)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 2)] = [rng.choice("xyzabc")] * rng.randint(0, 2)
+            other = other or ["a"]
+        a, b = (minhash.labelled_shingles(" ".join(w)) for w in (words, other))
+        exact, got = plain_similarity(a.tolist(), b.tolist()), minhash.aligned(a, b)
+        assert (got >= 0.8) == (exact >= 0.8) and (exact < 0.8 or math.isclose(got, exact))
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, passage = [], " ".join(rng.choice(vocabulary) for _ in range(60))
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([20, 80, 300, 1200]))]
+        rows.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            edited = list(base)
+            for _ in range(rng.choice([0, 1, len(base) // 60, len(base) // 25])):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            rows.append(" ".join(edited))
+        rows.append(passage + " " + " ".join(rng.choice(vocabulary) for _ in range(25)))
+    s = [minhash.labelled_shingles(t) for t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and minhash.aligned(s[i], s[j]) >= 0.8:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(group))
+    assert {r.doc_id for r in minhash.deduplicate(df).collect()} == set(group)
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole of run() on the smallest tables, each stage recomputed in plain Python from its contract."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs)
+    cache = language._Scores(model)
+    kept = [r.asDict() for r in docs.collect() if (p := language.score_text(cache, r.text))[0] != "und" and p[1] >= corpus_pipeline.MIN_SCORE]
+    pages, seen = Counter(r["source"] for r in kept), Counter((r["source"], x) for r in kept for x in set(r["text"].split("\n")) if x.strip())
+    for r in kept:
+        r["text"] = "\n".join(x for x in r["text"].split("\n") if not (seen[r["source"], x] >= 3 and seen[r["source"], x] > 0.05 * pages[r["source"]]))
+    s = {r["doc_id"]: minhash.labelled_shingles(r["text"]) for r in kept}
+    group = {k: k for k in s}
+    for i in s:
+        for j in s:
+            if j < i and group[i] != group[j] and minhash.aligned(s[i], s[j]) >= 0.8:
+                lo, hi = sorted((group[i], group[j]))
+                group = {k: lo if g == hi else g for k, g in group.items()}
+    expected = {}
+    for r in kept:
+        if group[r["doc_id"]] == r["doc_id"]:
+            text, out, at = r["text"], [], 0
+            for a, _, b, kind in base_spans(text):
+                if a >= at:
+                    out += [text[at:a], f"<{kind.upper()}>"]
+                at = max(at, b)
+            expected[r["doc_id"]] = np.array([*word_ids("".join(out) + text[at:]), 2], "<u4").tobytes()
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        got[r.doc_id].append((r.start, bytes(r.ids)))
+    assert {k: b"".join(x for _, x in sorted(v)) for k, v in got.items()} == expected
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "pages", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(names) and sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
