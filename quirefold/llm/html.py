@@ -144,6 +144,7 @@ def add_features(blocks: list[Block]) -> list[Block]:
             f"own:{own}",
             f"own:{own} in main:{'tag:article' in b.above or 'tag:main' in b.above}",
             f"near:{b.above[near] if near >= 0 else 'none'}",
+            f"own:{own} near:{b.above[near] if near >= 0 else 'none'}",
             f"size:{size}",
             f"links:{share}",
             f"marks:{min(3, marks)}",
@@ -269,7 +270,7 @@ def labelled_pages(pages: int = 600, seed: int = 11) -> list[tuple[list[Block],
         if kind < 0.25:
             tag = rng.choice(["nav", "header", "footer", "aside"])
             start = rng.choice(["", "&copy; ", "&copy; 2020 "]) if tag == "footer" else ""
-            start = f"<h1>{words(1, 3)}</h1>" if tag == "header" and rng.random() < 0.5 else start
+            start = f"<h1>{words(1, 3)}</h1>" if tag == "header" and rng.random() < 0.6 else start
             return f"<{tag}{names(SIDE_NAMES) if rng.random() < 0.3 else ''}>{start}{menu() if tag == 'nav' else filler()}{filler() if rng.random() < 0.4 else ''}</{tag}>"
         if kind < 0.33:
             return f"<form{names(SIDE_NAMES) if rng.random() < 0.3 else ''}><label>{words(1, 3)}</label><input name=q><p>{paragraph()}</p><button>{words(1, 2)}</button></form>"
