@@ -124,19 +124,19 @@ def replace_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_units FROM lineitem
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_units FROM lineitem
 """)
 def glyph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-03 W-04 W-05: where each part of a sequence begins."""
-    found = islands.before(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_quantity"), "o")
+    found = islands.before(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_quantity"), "o")
     return found.select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), whole(F.col("o")).alias("offset_units"))
 
 
 @query("""
-WITH x AS (SELECT *, lag(l_quantity) OVER w AS pq, lag(l_extendedprice) OVER w AS pp FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+WITH x AS (SELECT *, lag(l_quantity) OVER w AS pq, lag(l_extendedprice) OVER w AS pp FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
 y AS (SELECT *, CASE WHEN pq IS NOT NULL AND abs(l_quantity - pq) <= 20 AND greatest(l_extendedprice, pp) <= least(l_extendedprice, pp) * 2.5
   AND l_quantity - pq <= 15 AND l_quantity - pq > -10 THEN 0 ELSE 1 END AS new FROM x)
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM y
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM y
 """)
 def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-02 W-01: four conditions against the row before."""
@@ -146,7 +146,7 @@ def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
         p, q = F.col("l_extendedprice"), prev("l_extendedprice")
         return (F.abs(step) <= 20) & (F.greatest(p, q) <= F.least(p, q) * 2.5) & (step <= 15) & (step > -10)
 
-    found = islands.islands(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], continues)
+    found = islands.islands(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], continues)
     return found.select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), whole(F.col("island")).alias("island"))
 
 
