@@ -45,9 +45,19 @@ def number(token: bytes) -> float | None:
     return -value if b"-" in token[: m.start(1)] else value
 
 
+@dataclass(frozen=True)
+class Ref:
+    """A reference to an object of the file."""
+
+    number: int
+    generation: int
+
+
 class Lexer:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    """With ``refs``, two numbers and R inside arrays and dictionaries are a reference."""
+
+    def __init__(self, data: bytes, at: int = 0, refs: bool = False):
+        self.data, self.at, self.refs = data, at, refs
 
     def trivia(self) -> None:
         self.at = _TRIVIA.match(self.data, self.at).end()
@@ -125,6 +135,9 @@ class Lexer:
                 if kind == "value":
                     items.append(v)
                 elif kind == "word":
+                    if self.refs and v == b"R" and len(items) > 1 and all(isinstance(x, float) for x in items[-2:]):
+                        items[-2:] = [Ref(int(items[-2]), int(items[-1]))]
+                        continue
                     if v not in (b"true", b"false", b"null"):
                         self.at -= len(v)  # a lost closer: the operator comes next
                         break

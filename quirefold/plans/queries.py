@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
 from quirefold.operators import edit, interpret, islands, lines, session
+from quirefold.sources import pdf
 from quirefold.sources.typeset import typeset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,14 @@ def replace_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
+@query("SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL")
+def pdf_roundtrip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-01 S-03 S-06 K-02: documents typeset, put together as compressed files, read back and grouped into lines."""
+    pages = pdf.pages(pdf.documents(typeset(read(spark, sf_dir, "documents"))))
+    found = lines.group_lines(interpret.text_runs(pages))
+    return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
+
+
 # --- windows ---------------------------------------------------------------------------------------------------------
 
 
