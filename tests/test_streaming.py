@@ -15,8 +15,9 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, events.schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     gap = 3_600_000_000
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out = sessions.coalesced(stream, "user_id", "event_type", "t", "event_id", gap).writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    out.awaitTermination(240)
+    out = sessions.coalesced(stream, "user_id", "event_type", "t", "event_id", gap).writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "state")).start()
+    out.processAllAvailable()
+    out.stop()
     got = {(r.seq, r.burst) for r in spark.table("bursts").collect()}
     want = {(r.event_id, r.burst) for r in session.coalesced(events, "user_id", "event_type", "t", ["event_id"], gap).collect()}
     assert got == want
