@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,14 @@ def letters(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holding(family: str, release: Callable[[], None]) -> None:
+    """Called in a Python worker before it fills a cache: caches of other families are released, so a worker that
+    serves several stages holds one family at a time."""
+    for other in [k for k in _HELD if k != family]:
+        _HELD.pop(other)()
+    _HELD[family] = release
