@@ -1,8 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue (operator 8).
 
 A pre-token's bytes form a linked list; every adjacent pair that has a merge rank waits in that rank's bucket. A
-bitmap tree over the ranks answers "which is the lowest rank with entries" by find-first-set on each level, so the
-next merge costs a few word operations however long the pre-token is; entries made stale by an earlier merge are
+hierarchical bitmap over the ranks answers "which is the lowest rank with entries" by find-first-set on each level, so
+the next merge costs a few word operations however long the pre-token is; entries made stale by an earlier merge are
 skipped when they come up. Positions of one rank are taken from left to right. The result equals repeated merging of
 the leftmost pair of lowest rank.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,85 +28,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.llm.common import holding
 from quirefold.llm.tokens import ChunkCache
 
 
-class RankQueue:
-    """Buckets of positions per rank under a tree of 64-bit words; a set bit means that something below is waiting."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[dict[int, int]] = [{}]
-        while (ranks := (ranks + 63) // 64) > 1:
-            self.levels.append({})
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            at, bit = rank >> 6, 1 << (rank & 63)
-            word = words.get(at, 0)
-            words[at] = word | bit
-            if word:
-                return
-            rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position, or None."""
-        at = 0
-        for words in reversed(self.levels):
-            word = words.get(at, 0)
-            if not word:
-                return None
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            rank = at
-            for words in self.levels:
-                words[rank >> 6] &= ~(1 << (rank & 63))
-                if words[rank >> 6]:
-                    break
-                rank >>= 6
-        return at, position
-
+def merge(piece: bytes, ranks: dict[bytes, int], shift: int) -> list[int]:
+    """Ids of one pre-token; every rank is below ``4 ** shift``.
 
-def merge(piece: bytes, ranks: dict[bytes, int], size: int) -> list[int]:
-    """Ids of one pre-token; every rank is below ``size``."""
+    The queue is two levels of bitmaps with ``2 ** shift`` bits a word: bit k of a leaf word says that the bucket of
+    that rank has entries, bit k of the top word that leaf word k is not zero.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    token = [piece[i : i + 1] for i in range(n)]
+    n, get, low = len(piece), ranks.get, (1 << shift) - 1
+    token: list[bytes] = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     waiting = [-1] * n  # the rank under which the pair that starts here waits now; any other entry is stale
-    queue = RankQueue(size)
-
-    def offer(i: int) -> None:
-        rank = ranks.get(token[i] + token[after[i]], -1) if after[i] < n else -1
-        waiting[i] = rank
-        if rank >= 0:
-            queue.push(rank, i)
-
+    buckets: dict[int, list[int]] = {}
+    leaf: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
-        offer(i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            waiting[i] = rank
+            if rank in buckets:
+                buckets[rank].append(i)  # ascending, so a heap already
+            else:
+                buckets[rank] = [i]
+                word = rank >> shift
+                leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = leaf[word]
+        rank = word << shift | ((bits & -bits).bit_length() - 1)
+        bucket = buckets[rank]
+        i = heapq.heappop(bucket) if len(bucket) > 1 else bucket.pop()
+        if not bucket:
+            del buckets[rank]
+            leaf[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
         if waiting[i] != rank:
             continue
         j = after[i]
         token[i] += token[j]
         waiting[j] = -1
-        token[j] = b""
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+        for i in (i, before[i]):
+            if i < 0:
+                continue
+            j = after[i]
+            rank = get(token[i] + token[j]) if j < n else None
+            if rank is None:
+                waiting[i] = -1
+                continue
+            waiting[i] = rank
+            if rank in buckets:
+                heapq.heappush(buckets[rank], i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> shift
+                leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
+                top |= 1 << word
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i]])
@@ -123,25 +111,33 @@ class ByteBpe:
     """``ids(text)``: ids as little-endian unsigned 32-bit bytes; ``text_bytes(ids)``: the way back."""
 
     _TWO_SPACES = re.compile(r"\s\s")
+    _MARKS = ".,;:!?#*$%&\"()"
     _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 420_000):
         import regex
 
         self.ranks = load_ranks(path)
-        self.size = max(self.ranks.values()) + 1
+        self.shift = (max(self.ranks.values()).bit_length() + 1) // 2
         self.pattern = regex.compile(pattern)
         self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
         self.first = ChunkCache(self._encode, limit // 4)  # pieces as they are
-        self.spaced = ChunkCache(lambda chunk, cache: self._encode(" " + chunk, None), limit)  # pieces after one blank
-        self.newline = self._encode("\n", None)
-
-    def _encode(self, chunk: str, _cache: ChunkCache | None) -> bytes:
-        if len(chunk) > 2 and chunk[-1] in ".," and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            word = chunk[:-1]
-            return (self.spaced[word[1:]] if word[0] == " " else self.first[word]) + self.first[chunk[-1]]
-        ids = [i for match in self.pattern.finditer(chunk) for i in merge(match.group().encode(), self.ranks, self.size)]
-        return np.array(ids, "<u4").tobytes()
+        self.spaced = ChunkCache(lambda chunk, _: self._encode(" " + chunk, None), limit)  # pieces after one blank
+        self.newline = self._encode("\n", None)[0]
+
+    def _encode(self, chunk: str, _cache: ChunkCache | None) -> tuple[bytes, bool]:
+        if chunk[-1] in self._MARKS:  # a word and the marks after it are two pre-tokens
+            word = chunk.rstrip(self._MARKS)
+            if word[:1] == " " and word[1:].isalpha():
+                return self.spaced[word[1:]] + self.first[chunk[len(word) :]], False
+            if word.isalpha():
+                return self.first[word] + self.first[chunk[len(word) :]], False
+        if chunk[1:].isalpha() and max(chunk) < "Ā" and (chunk[0] == " " or chunk[0].isalpha()):
+            return array("I", merge(chunk.encode(), self.ranks, self.shift)).tobytes(), True
+        ids = array("I")
+        for match in self.pattern.finditer(chunk):
+            ids.extend(merge(match.group().encode(), self.ranks, self.shift))
+        return ids.tobytes(), True
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -166,6 +162,7 @@ _OPEN: dict[tuple[str, str], ByteBpe] = {}
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One per Python worker and file."""
+    holding("bytes", _OPEN.clear)
     if (path, pattern) not in _OPEN:
         _OPEN[path, pattern] = ByteBpe(path, pattern)
     return _OPEN[path, pattern]
@@ -196,7 +193,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
         codec = byte_bpe(path, pattern)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            found = [codec.text_bytes(x.values.to_pylist()) if x.is_valid else None for x in lists]
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = [codec.text_bytes(values[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

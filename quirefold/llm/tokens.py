@@ -2,35 +2,40 @@
 
 The vocabulary drops white space and never merges across it, so a text's ids are the ids of its blank-separated
 chunks in order. Each worker keeps a bounded cache of chunks; a miss asks the library. A chunk of plain Latin letters
-is looked up in lower case, and one closing punctuation mark is split off, because the vocabulary's own normaliser
+is looked up in lower case, and closing punctuation marks are split off, because the vocabulary's own normaliser
 and splitter do the same.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
+from quirefold.llm.common import holding
 
 #: Token that ends each document.
 END = 2
 
 
 class ChunkCache(dict):
-    """chunk -> little-endian unsigned 32-bit ids; two generations, so that common chunks survive and memory is bounded."""
+    """chunk -> little-endian unsigned 32-bit ids; two generations, so that common chunks survive and memory is bounded.
+
+    ``encode(chunk, cache)`` makes what is missing; pieces that it puts together from other entries aren't kept, so it
+    returns whether to keep them.
+    """
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
+        found, keep = self.old.get(chunk), True
         if found is None:
-            found = self.encode(chunk, self)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(chunk) <= 64:
+            found, keep = self.encode(chunk, self)
+        if keep and len(chunk) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = found
         return found
 
@@ -38,7 +43,9 @@ class ChunkCache(dict):
 class WordTokenizer:
     """``ids(text)``: the ids of a whole text as little-endian unsigned 32-bit bytes, without special tokens."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    _MARKS = ".,;:!?#*$%&\"()"
+
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,14 +53,16 @@ class WordTokenizer:
         self.library.encode_special_tokens = True
         self.cache = ChunkCache(self._encode, limit)
 
-    def _encode(self, chunk: str, cache: ChunkCache) -> bytes:
+    def _encode(self, chunk: str, cache: ChunkCache) -> tuple[bytes, bool]:
         if not chunk:
-            return b""
-        if chunk[-1] in ".,!?;:%" and len(chunk) > 1 and chunk[:-1].isalpha() and chunk[-2] < "ƀ":
-            return cache[chunk[:-1]] + cache[chunk[-1]]
-        if max(chunk) < "Ā" and chunk.isalpha() and not chunk.islower() and (low := chunk.lower()) != chunk:
-            return cache[low]
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            return b"", True
+        if chunk[-1] in self._MARKS:
+            word = chunk.rstrip(self._MARKS)
+            if word.isalpha() and max(word) < "Ā":
+                return cache[word] + cache[chunk[len(word) :]], False
+        if max(chunk) < "Ā" and chunk.isalpha() and (low := chunk.lower()) != chunk:
+            return cache[low], False
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes(), True
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -66,6 +75,7 @@ _OPEN: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     """One per Python worker and file."""
+    holding("words", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = WordTokenizer(path)
     return _OPEN[path]
