@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.llm.common import holding
+
 UNDETERMINED = "und"
 #: What splits words: anything but letters (and marks), so digits and punctuation say nothing.
 _NOT_WORD = re.compile(r"[\W\d_]+")
@@ -82,7 +84,7 @@ class BackoffModel:
 class _Scores(dict):
     """word -> row of ``self.rows``, filled on demand; emptied beyond ``limit`` words, so memory is bounded."""
 
-    def __init__(self, model: BackoffModel, limit: int = 400_000):
+    def __init__(self, model: BackoffModel, limit: int = 250_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit, len(model.langs)))
@@ -137,6 +139,7 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
+        holding("language", lambda: own.__dict__.pop("cache", None))
         if not hasattr(own, "cache"):  # the broadcast value lives as long as the Python worker
             own.cache = _Scores(own)
         cache = own.cache

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import written
-from quirefold.llm.planes import encode
+from quirefold.llm.tokens import END, tokenizer
 
 SEQ_LEN = 4096
 #: Windows per length.
@@ -90,19 +90,25 @@ class Slots:
 def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
     """doc_id, start, length, doc_tokens, salt, ids: 16-bit ids if all of a piece fit, else 32-bit."""
 
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_qf_t"))
+    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = tokenizer(tokenizer_path), np.array([END], "<u4").tobytes()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, "<u4")
-                for start in range(0, len(ids), seq_len):
-                    part = ids[start : start + seq_len]
-                    for col, x in zip(cols, (doc, start, len(part), len(ids), (part.astype("<u2") if part.max() < 1 << 16 else part).tobytes())):
-                        col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    made = encode(docs, tokenizer_path, key, text).mapInArrow(cut, "doc_id bigint, start bigint, length int, doc_tokens bigint, ids binary")
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                cols: list[list] = [[], [], [], [], []]
+                for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = np.frombuffer(words.ids(t) + end, "<u4")
+                    for start in range(0, len(ids), seq_len):
+                        piece = ids[start : start + seq_len]
+                        for col, x in zip(cols, (doc, start, len(piece), len(ids), (piece.astype("<u2") if piece.max() < 1 << 16 else piece).tobytes())):
+                            col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    made = source.mapInArrow(cut, "doc_id bigint, start bigint, length int, doc_tokens bigint, ids binary")
     return made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
 
 
