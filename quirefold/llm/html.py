@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: HTML's elements without content, those whose text is not shown, and those that don't break a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object textarea select button head title canvas audio video datalist".split())
-RAW = frozenset("script style textarea title iframe noscript template".split())
+RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 #: The elements that give a page its structure.
 STRUCTURE = frozenset("article aside footer form header main nav section".split())
@@ -39,6 +39,30 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I | re.A)
+
+
+def _raw_end(page: str, at: int, tag: str) -> int:
+    """Where the end tag of a raw element stands whose text begins at ``at``; the page's end if there is none.
+
+    Nothing else in the text counts, but for a script start tag after ``<!--`` in a script: its end tag is text.
+    """
+    if tag != "script":
+        m = _RAW_END[tag].search(page, at)
+        return m.start() if m else len(page)
+    comment = inner = False
+    while m := _SCRIPT.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            comment, at = True, at if comment else at - 2  # '<!-->' is a whole comment
+        elif m[0] == "-->":
+            comment = inner = False
+        elif m[1] and not inner:
+            return m.start()
+        else:
+            inner = comment and not m[1]
+    return len(page)
 
 
 @dataclass
@@ -56,7 +80,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, features, hidden
     parts: list[str] = []
-    link, hidden, raw = 0, 0, ""
+    page, at = page or "", 0
+    link, hidden = 0, 0
     links = 0  # open a elements
     above: tuple[str, ...] = ()
 
@@ -76,11 +101,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[k:]
 
-    for m in _TOKEN.finditer(page or ""):
-        tag = m[2] or m[5]
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, tag = m.end(), m[2] or m[5]
         if not tag:
             token = m[0]
-            if raw or hidden or token.startswith(("<!", "<?")):
+            if hidden or token.startswith(("<!", "<?")):
                 continue
             if not parts:
                 above = tuple(f for _, fs, _ in stack for f in fs)
@@ -89,11 +115,6 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 link += len(token.strip())
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
-        if raw:
-            if closing and tag == raw:
-                raw = ""
-                pop(max(k for k, x in enumerate(stack) if x[0] == tag))
-            continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
@@ -101,8 +122,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (tag, "template")), -1)
+            if k >= 0 and stack[k][0] == tag:  # what is in a template ends nothing outside
                 pop(k)
             continue
         if tag in VOID:
@@ -125,7 +146,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         hidden += hides
         links += tag == "a"
         if tag in RAW:
-            raw = tag
+            at = _raw_end(page, at, tag)
     flush()
     return blocks
 

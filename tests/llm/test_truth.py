@@ -154,6 +154,25 @@ def test_html_on_the_table(spark):
         assert html.main_text(r.html, html.trained()) == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<script>if(a<b && c=='\"')f()</SCRIPT >",
+        "<script><!-- f()</script>",
+        "<script><!--> f()</script>",
+        "<script><!-- '<script>x</script>' --></script>",
+        "<style>a{b:c} /* <!-- <x */</style>",
+        "<title>1 <a 2</title>",
+        "<textarea><!-- <p </textarea>",
+        "<noscript><img alt='</noscript>",
+        "<template><b>x<template>y</template></div>z</template>",
+    ],
+)
+def test_html_after_raw_elements(head):
+    assert [b.text for b in html.leaf_blocks(f"<div>{head}<article><p>Main text.</p><p>More.</p></article></div>")] == ["Main text.", "More."]
+
+
 def test_html_on_unseen_templates():
     pages = html.labelled_pages(120, 77)
     wrong = sum(x != y for blocks, labels in pages for x, y in zip(html.trained().decode(blocks), labels))
