@@ -4,6 +4,10 @@ Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-9
 raise or lower its score. Base kinds (email, ip, card, phone) are reported whenever their own test holds; the added
 kinds (iban, ssn) only with a score of ``min_score`` or more.
 
+An account number (iban) ends where its country's length says, so what follows it takes no part; for countries that
+aren't listed, each beginning of the match that ends at a blank is tested, the longest first. Words that raise a score
+are looked for on both sides of a span, words that lower it only before it.
+
 Positions are code points, ends exclusive. They come from the lengths of the pieces between matches; prefix sums are
 taken in blocks, so a text with very many matches stays affordable.
 
@@ -18,14 +22,25 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import ROW, whole_row
 
-#: The patterns, in the order in which kinds are listed. Lookbehinds and possessive quantifiers only
-#: keep the search linear: no match starts inside a run of the same characters, unless one has just ended there.
+#: Lengths of account numbers by country (IBAN registry and the countries that use the form without it).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")"
+_IBAN = "|".join(
+    [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()] + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"]
+)
+#: The patterns, in the order in which kinds are listed. Lookbehinds and possessive quantifiers of the
+#: base kinds only keep the search linear: no match starts inside a run of the same characters, unless one has just
+#: ended there. An iban is captured ahead of an empty match, so that a false start doesn't hide a number behind it.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -85,6 +100,18 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _confirmed_part(kind: str, match: Column) -> Column:
+    """The match if it passes its test; of an account number of an unlisted country the part that does; else null."""
+    if kind != "iban":
+        return F.when(confirmed(kind, match), match)
+
+    def beginnings(parts: Column) -> Column:
+        return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), " "))
+
+    tried = F.when(match.rlike(f"^{_LISTED}"), F.array(match)).otherwise(_let(F.split(match, " "), beginnings))
+    return F.get(F.filter(tried, lambda x: (F.char_length(F.regexp_replace(x, " ", "")) >= 15) & confirmed(kind, x)), 0)
+
+
 def _starts(steps: Column) -> Column:
     """Exclusive prefix sums of an array of longs."""
     add = lambda s, x: s + x
@@ -100,25 +127,27 @@ def _starts(steps: Column) -> Column:
 
 def _proposed(text: Column, kind: str) -> Column:
     """array<struct<start,rank,end,kind,match>> of the confirmed matches of one kind."""
-    pattern, rank = PATTERNS[kind], list(PATTERNS).index(kind)
+    pattern, rank, ahead = PATTERNS[kind], list(PATTERNS).index(kind), kind == "iban"
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
 
     def placed(m: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
-            steps = F.transform(m, lambda x, i: (F.char_length(F.get(gaps, i)) + F.char_length(x)).cast("long"))
+            steps = F.transform(m, lambda x, i: (F.char_length(F.get(gaps, i)) + (0 if ahead else F.char_length(x))).cast("long"))
+            placed_at = lambda s, x: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.char_length(x)).alias("end"), F.lit(kind).alias("kind"))
             return _let(
                 _let(steps, _starts),
                 lambda at: F.filter(
-                    F.transform(m, lambda x, i: F.when(confirmed(kind, x), _let(F.get(at, i) + F.char_length(F.get(gaps, i)), lambda s: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.char_length(x)).alias("end"), F.lit(kind).alias("kind"))))),
+                    F.transform(m, lambda x, i: _let(_confirmed_part(kind, x), lambda part: F.when(part.isNotNull(), _let(F.get(at, i) + F.char_length(F.get(gaps, i)) - int(ahead), lambda s: placed_at(s, part))))),
                     lambda x: x.isNotNull(),
                 ),
             )
 
         # most matches fail their test; then nothing has to be placed
-        return F.when(F.exists(m, lambda x: confirmed(kind, x)), _let(F.split(text, pattern, -1), with_gaps)).otherwise(none)
+        pieces = F.split(F.concat(F.lit(" "), text) if ahead else text, pattern, -1)  # an empty match at the very start would not split
+        return F.when(F.exists(m, lambda x: _confirmed_part(kind, x).isNotNull()), _let(pieces, with_gaps)).otherwise(none)
 
     sign = F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]")
-    return F.when(sign, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
+    return F.when(sign, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))), placed)).otherwise(none)
 
 
 def spans(text: Column, min_score: float = 0.5, window: int = 40) -> Column:
@@ -126,9 +155,10 @@ def spans(text: Column, min_score: float = 0.5, window: int = 40) -> Column:
 
     def scored(s: Column) -> Column:
         near = lambda words: _let(F.substring(text, F.greatest(s["start"] - window + 1, F.lit(1)).cast("int"), (F.least(s["start"], F.lit(window))).cast("int")), lambda c: c.rlike(words))
+        after = lambda words: F.substring(text, (s["end"] + 1).cast("int"), F.lit(window)).rlike(words)
         score = F.lit(0.0)
         for kind in reversed(PATTERNS):
-            own = F.lit(SCORES[kind]) + F.when(near(RAISE[kind]), 0.2).otherwise(0.0) - F.when(near(LOWER[kind]), 0.3).otherwise(0.0)
+            own = F.lit(SCORES[kind]) + F.when(near(RAISE[kind]) | after(RAISE[kind]), 0.2).otherwise(0.0) - F.when(near(LOWER[kind]), 0.3).otherwise(0.0)
             score = F.when(s["kind"] == kind, own).otherwise(score)
         return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 

@@ -233,6 +233,16 @@ def test_pii_added_kinds(spark):
     assert {r.doc_id: r.text for r in pii.mask(df).collect()}[5] == "mail <EMAIL>, card <CARD>!"
 
 
+def test_iban_before_other_words_and_context_behind(spark):
+    de, xx = "DE89370400440532013000", "ZZ22370400440532013000"
+    texts = [f"IBAN {de} Please pay", f"{de} OK thanks", "DE89 3704 0044 0532 0130 00 12 EUR", f"{de} {de}", f"see AB12 {de} or BE12 DE89 3704 0044 0532 0130 00 A1", f"é😀 {xx} OK", f"{de}7", f"x{de}", "123-45-6789 is my social security number", "123-45-6789 is a number"]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.pii if x.kind not in pii.BASE] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, found in enumerate([[5], [0], [0], [0, 23], [9, 40], [3], [], []]):
+        assert [(kind, start) for kind, start, _ in got[k]] == [("iban", x) for x in found], texts[k]
+        assert all(texts[k][a:b].replace(" ", "") in (de, xx) for _, a, b in got[k]), texts[k]
+    assert got[8] == [("ssn", 0, 11)] and got[9] == []
+
+
 def test_quality(docs, texts):
     for r in quality.judge(docs).collect():
         words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
