@@ -2,7 +2,8 @@
 
 A line is boilerplate on a host if more than ``max_ratio`` of the host's pages contain it, and at least
 ``min_pages`` pages do. Each page counts a line once. Boilerplate lines are dropped from the host's pages; the other
-lines stay as they are, in order.
+lines stay as they are, in order. Without ``count_copies`` pages of a host with the same text count as one page, both
+for the line and for the host, so that a large group of copies doesn't make its own text boilerplate.
 
 Plan: lines are identified by two 64-bit hashes and counted with map-side partial sums, so a hot line or host costs
 a row per task. A host has at most (mean lines per page / ``max_ratio``) boilerplate lines, so they are gathered to
@@ -25,19 +26,21 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, count_copies: bool = True) -> DataFrame:
     """host, n_pages, keys: the hashes of the host's boilerplate lines."""
     rows = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("t"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("n_pages"))
+    once = (lambda df: df) if count_copies else (lambda df: df.distinct())
+    page = [] if count_copies else [_key(F.col("t")).alias("page")]
+    totals = once(rows.select("host", *page)).groupBy("host").agg(F.count("*").alias("n_pages"))
     lines = F.array_distinct(F.transform(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")), _key))
-    counts = rows.select("host", F.explode(lines).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = once(rows.select("host", *page, F.explode(lines).alias("k"))).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(totals, "host").where(F.col("n") > F.col("n_pages") * max_ratio)
     return often.groupBy("host").agg(F.max("n_pages").alias("n_pages"), F.collect_list("k").alias("keys"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, broadcast_lines: int = 100_000) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 3, broadcast_lines: int = 100_000, count_copies: bool = True) -> DataFrame:
     """All columns of ``pages`` with the cleaned text, then n_lines and n_dropped (replaced if the input has them)."""
-    found = written(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate").withColumnRenamed("host", "_qf_host").select("_qf_host", "keys")
+    found = written(boilerplate(pages, host, text, max_ratio, min_pages, count_copies), "boilerplate").withColumnRenamed("host", "_qf_host").select("_qf_host", "keys")
     size = found.agg(F.sum(F.size("keys"))).first()[0] or 0
     rows = whole_row(pages, _qf_h=F.col(host), _qf_t=F.col(text))
     joined = rows.join(F.broadcast(found) if size <= broadcast_lines else found, F.col("_qf_h") == F.col("_qf_host"), "left")

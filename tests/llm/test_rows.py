@@ -55,6 +55,15 @@ def test_lines(odd, none):
     assert lines.drop_boilerplate(none).count() == 0
 
 
+def test_pipeline_keeps_a_text_of_a_group_of_copies(spark):
+    import corpus_pipeline
+
+    rows = [(k, "one of many\nof the same" if k < 20 else f"menu\npage {k}", "en", "a", 9) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {k: ("one of many\nof the same", 23) if k < 20 else (f"page {k}", 7) for k in range(60)}
+
+
 def test_language(odd, none):
     out = language.identify(odd)
     got = by_id(out.collect())
