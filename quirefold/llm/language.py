@@ -3,7 +3,10 @@
 ``train`` counts, with Spark, lower-cased words per language over labelled rows and keeps the most frequent ones;
 character n-grams (words padded by one blank) are counted from the same word counts. ``predict`` scores each whole
 text: a known word adds its per-language log frequency; an unseen word falls back to its longest known n-grams,
-each level shorter when a gram is unknown. The score is the posterior probability of the language after the
+each level shorter when a gram is unknown. A run of more than ``LONG`` letters, as in scripts without blanks, is no
+word: all its positions are walked by their n-grams, and each ``LONG`` letters say as much as a word. Its n-grams are
+learned as well, from runs of any length (counted by Spark; the ``2 * max_grams`` commonest (n-gram, language) pairs
+of words of more than 40 letters are taken). The score is the posterior probability of the language after the
 evidence is tempered per word, so that it lies between 0 and 1.
 
 Bounds (all documented parameters): the model is fitted on at most ``sample_rows`` labelled rows (those of smallest
@@ -30,6 +33,8 @@ from quirefold.llm.common import holding
 
 UNDETERMINED = "und"
 #: What splits words: anything but letters (and marks), so digits and punctuation say nothing.
+#: Fixed value: letters in a row beyond which they are no word of a vocabulary.
+LONG = 64
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
 
@@ -40,23 +45,25 @@ class BackoffModel:
         self.langs, self.words, self.word_rows, self.grams, self.gram_rows, self.max_n = langs, words, word_rows, grams, gram_rows, max_n
 
     @classmethod
-    def from_counts(cls, counts: list[tuple[str, str, int]], max_words: int, max_grams: int, max_n: int) -> "BackoffModel":
-        """counts: (word, language, n); at most a bounded vocabulary, as ``train`` collects it."""
-        langs = sorted({lang for _, lang, _ in counts})
+    def from_counts(cls, counts: list[tuple[str, str, int]], max_words: int, max_grams: int, max_n: int, more: list[tuple[str, str, int]] = ()) -> "BackoffModel":
+        """counts: (word, language, n), more: (n-gram, language, n); bounded, as ``train`` collects them."""
+        langs = sorted({lang for _, lang, _ in [*counts, *more]})
         at = {lang: k for k, lang in enumerate(langs)}
         words: dict[str, int] = {}
         grams: dict[str, int] = {}
         of_word = np.array([words.setdefault(w, len(words)) for w, _, _ in counts], int)
         word_n = np.zeros((len(words), len(langs)))
-        np.add.at(word_n, (of_word, [at[lang] for _, lang, _ in counts]), [n for _, _, n in counts])
+        np.add.at(word_n, (of_word, np.array([at[lang] for _, lang, _ in counts], int)), [n for _, _, n in counts])
         gram_at, word_at = [], []
         for word, k in words.items():
             padded = f" {word} "
             found = [grams.setdefault(padded[i : i + size], len(grams)) for size in range(1, max_n + 1) for i in range(len(padded) - size + 1)]
             gram_at += found
             word_at += [k] * len(found)
+        of_gram = np.array([grams.setdefault(g, len(grams)) for g, _, _ in more], int)
         gram_n = np.zeros((len(grams), len(langs)))
-        np.add.at(gram_n, gram_at, word_n[word_at])
+        np.add.at(gram_n, np.array(gram_at, int), word_n[np.array(word_at, int)])
+        np.add.at(gram_n, (of_gram, np.array([at[lang] for _, lang, _ in more], int)), [n for _, _, n in more])
 
         def logs(index: dict[str, int], n: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
             names = list(index)
@@ -71,14 +78,30 @@ class BackoffModel:
         known = self.words.get(word)
         if known is not None:
             return self.word_rows[known]
-        padded, found = f" {word[:64]} ", []
-        for i in range(len(padded)):
-            for size in range(min(self.max_n, len(padded) - i), 0, -1):
-                row = self.grams.get(padded[i : i + size])
-                if row is not None:
-                    found.append(row)
-                    break
-        return self.gram_rows[found].mean(axis=0) if found else np.zeros(len(self.langs))
+        total, n = self._walked(f" {word} ")
+        return total / n if n else np.zeros(len(self.langs))
+
+    def of_run(self, run: str) -> tuple[np.ndarray, float]:
+        """For a run of more than ``LONG`` letters: the mean over its positions, counted as so many words, and their number."""
+        total, n = self._walked(f" {run} ")
+        weight = len(run) / LONG
+        return (total * (weight / n) if n else np.zeros(len(self.langs))), weight
+
+    def _walked(self, padded: str, block: int = 4096) -> tuple[np.ndarray, int]:
+        """Sum over positions of the longest known n-gram's row, and the number of positions with one."""
+        total, n = np.zeros(len(self.langs)), 0
+        for start in range(0, len(padded), block):
+            found = []
+            for i in range(start, min(start + block, len(padded))):
+                for size in range(min(self.max_n, len(padded) - i), 0, -1):
+                    row = self.grams.get(padded[i : i + size])
+                    if row is not None:
+                        found.append(row)
+                        break
+            if found:
+                total += self.gram_rows[found].sum(axis=0)
+                n += len(found)
+        return total, n
 
 
 class _Scores(dict):
@@ -101,19 +124,32 @@ def score_text(cache: _Scores, text: str | None, temper: float = 8.0, block: int
     words = [w for w in _NOT_WORD.split(text.lower()) if w] if text else []
     if not words or not model.langs:
         return UNDETERMINED, 0.0
-    total = np.zeros(len(model.langs))
+    total, n = np.zeros(len(model.langs)), 0.0
+    for run in (w for w in words if len(w) > LONG):  # not cached: they may be as long as a text
+        row, weight = model.of_run(run)
+        total, n = total + row, n + weight
+    words = [w for w in words if len(w) <= LONG]
+    n += len(words)
     for i in range(0, len(words), block):
         part = words[i : i + block]
         if len(cache) + len(part) > cache.limit:
             cache.clear()
         total += cache.rows[[cache[w] for w in part]].sum(axis=0)
     # the mean log ratio per word, counted as ``temper`` words at most: long texts don't all get exactly 1.0
-    total = (total - total.max()) * min(len(words), temper) / len(words)
+    total = (total - total.max()) * min(n, temper) / n
     p = np.exp(total)
     best = int(p.argmax())
     return model.langs[best], float(p[best] / p.sum())
 
 
+def _long_grams(runs: DataFrame, max_n: int) -> DataFrame:
+    """w, l, n: how often each n-gram is in the words ``w`` of language ``l``; words are read in pieces of 64 letters."""
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), "w", F.lit(" ")), F.lit(rf"(?s)(?=(.{{1,{63 + max_n}}})).{{1,64}}"), F.lit(1))
+    sized = lambda size: F.when(F.length("p") >= size, F.transform(F.sequence(F.lit(1), F.least(F.lit(64), F.length("p") - size + 1)), lambda i: F.substring("p", i, size)))
+    grams = F.flatten(F.filter(F.array(*[sized(size) for size in range(1, max_n + 1)]), lambda x: x.isNotNull()))
+    return runs.select("l", F.explode(pieces).alias("p")).select("l", F.explode(grams).alias("w")).groupBy("w", "l").agg(F.count("*").alias("n"))
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 100_000, max_n: int = 4) -> BackoffModel:
     """Fit on labelled rows. Bounded: ``sample_rows`` rows, then the ``2 * max_words`` commonest (word, language) pairs."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.lit(17)).alias("h"))
@@ -121,11 +157,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     n = rows.select(F.count("*").alias("n")).first()["n"]
     if n > sample_rows:
         rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    counts = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where("w != '' and length(w) <= 40").groupBy("w", "l").agg(F.count("*").alias("n"))
+    words = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where("w != ''")
+    counts = words.where("length(w) <= 40").groupBy("w", "l").agg(F.count("*").alias("n"))
+    grams = _long_grams(words.where("length(w) > 40"), max_n)
     top = counts.where("n > 1").orderBy(F.desc("n"), "w", "l").limit(2 * max_words).collect()
     if not top:
         top = counts.orderBy(F.desc("n"), "w", "l").limit(2 * max_words).collect()
-    return BackoffModel.from_counts([(r["w"], r["l"], r["n"]) for r in top], max_words, max_grams, max_n)
+    more = grams.orderBy(F.desc("n"), "w", "l").limit(2 * max_grams).collect()
+    return BackoffModel.from_counts([(r["w"], r["l"], r["n"]) for r in top], max_words, max_grams, max_n, [(r["w"], r["l"], r["n"]) for r in more])
 
 
 def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

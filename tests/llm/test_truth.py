@@ -204,6 +204,20 @@ def test_language_never_reads_labels_of_held_out_rows(spark, docs):
     assert sorted(language.identify(wrong).collect()) == sorted(language.identify(docs).collect())
 
 
+def test_language_of_runs_without_blanks(spark):
+    rng = random.Random(9)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, run("abcd", 300), "x") for k in range(20)] + [(20 + k, run("cdef", 300), "y") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    padded = [(f" {t} ", lang) for _, t, lang in rows[:40]]
+    want = Counter((t[i : i + n], lang) for t, lang in padded for n in range(1, 5) for i in range(len(t) - n + 1))
+    assert {(r.w, r.l): r.n for r in language._long_grams(df.selectExpr("text AS w", "lang AS l"), 4).collect()} == want
+    cache = language._Scores(model)
+    assert language.score_text(cache, run("cdef", 64) + run("abcd", 9000))[0] == "x"
+    assert language.score_text(cache, run("abcd", 64) + run("cdef", 9000))[0] == "y" and not cache
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
