@@ -5,13 +5,15 @@ character n-grams (words padded by one blank) are counted from the same word cou
 text: a known word adds its per-language log frequency; an unseen word falls back to its longest known n-grams,
 each level shorter when a gram is unknown. A run of more than ``LONG`` letters, as in scripts without blanks, is no
 word: all its positions are walked by their n-grams, and each ``LONG`` letters say as much as a word. Its n-grams are
-learned as well, from runs of any length (counted by Spark; the ``2 * max_grams`` commonest (n-gram, language) pairs
-of words of more than 40 letters are taken). The score is the posterior probability of the language after the
+learned as well, from runs of any length (counted by Spark in words of more than 40 letters). The score is the posterior probability of the language after the
 evidence is tempered per word, so that it lies between 0 and 1.
 
-Bounds (all documented parameters): the model is fitted on at most ``sample_rows`` labelled rows (those of smallest
-hash), keeps ``max_words`` words and ``max_grams`` n-grams, and so has a fixed largest size; only this model is
-collected and broadcast.
+Bounds (all documented parameters) hold per language, so that every label with a text that has a letter is in the
+model, however rare: about ``sample_rows`` labelled rows (those of smallest hash), ``max_words`` words and ``max_grams``
+n-grams are shared out evenly, but a language gets ``lang_rows``, ``lang_words`` and ``lang_grams`` at least, the most
+frequent ones; room that is left goes by total frequency. The model grows with the number of languages, not with the
+rows; only this model is collected and broadcast. Frequencies are smoothed by the same share in every language, so
+that a language with few rows doesn't attract what is unknown.
 
 Defined results: null text, empty text or text without a letter -> ``und`` with score 0.0; an empty training table
 -> every text ``und``; ties go to the alphabetically first language; repeated rows count as often as they occur;
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.common import holding
+from quirefold.llm.common import holding, letters, written
 
 UNDETERMINED = "und"
 #: What splits words: anything but letters (and marks), so digits and punctuation say nothing.
 #: Fixed value: letters in a row beyond which they are no word of a vocabulary.
 LONG = 64
+#: Fixed value: hashes are taken modulo this.
+_HASHES = 1 << 40
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
 
@@ -45,7 +49,7 @@ class BackoffModel:
         self.langs, self.words, self.word_rows, self.grams, self.gram_rows, self.max_n = langs, words, word_rows, grams, gram_rows, max_n
 
     @classmethod
-    def from_counts(cls, counts: list[tuple[str, str, int]], max_words: int, max_grams: int, max_n: int, more: list[tuple[str, str, int]] = ()) -> "BackoffModel":
+    def from_counts(cls, counts: list[tuple[str, str, int]], max_words: int, max_grams: int, max_n: int, more: list[tuple[str, str, int]] = (), lang_words: int = 10_000, lang_grams: int = 25_000) -> "BackoffModel":
         """counts: (word, language, n), more: (n-gram, language, n); bounded, as ``train`` collects them."""
         langs = sorted({lang for _, lang, _ in [*counts, *more]})
         at = {lang: k for k, lang in enumerate(langs)}
@@ -65,13 +69,17 @@ class BackoffModel:
         np.add.at(gram_n, np.array(gram_at, int), word_n[np.array(word_at, int)])
         np.add.at(gram_n, (of_gram, np.array([at[lang] for _, lang, _ in more], int)), [n for _, _, n in more])
 
-        def logs(index: dict[str, int], n: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
-            names = list(index)
-            order = sorted(range(len(names)), key=lambda k, total=n.sum(axis=1).tolist(): (-total[k], names[k]))[:most]
-            n = n[order] + 0.5
-            return {names[k]: i for i, k in enumerate(order)}, np.log(n / n.sum(axis=0))
+        def logs(index: dict[str, int], n: np.ndarray, most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
+            names, own = list(index), set()
+            for column in n.T:
+                own.update(sorted(np.flatnonzero(column).tolist(), key=lambda k: (-column[k], names[k]))[: max(most // len(langs), least)])  # noqa: B023
+            order = sorted(range(len(names)), key=lambda k, total=n.sum(axis=1).tolist(): (k not in own, -total[k], names[k]))[: max(most, len(own))]
+            n = n[order]
+            all_n = n.sum(axis=0)
+            unseen = 0.5 / all_n[all_n > 0].mean() if len(order) else 1.0
+            return {names[k]: i for i, k in enumerate(order)}, np.log((n / np.maximum(all_n, 1) + unseen) / (1 + unseen * len(order)))
 
-        return cls(langs, *logs(words, word_n, max_words), *logs(grams, gram_n, max_grams), max_n)
+        return cls(langs, *logs(words, word_n, max_words, lang_words), *logs(grams, gram_n, max_grams, lang_grams), max_n)
 
     def of_word(self, word: str) -> np.ndarray:
         """Log frequencies of a known word, else the mean over positions of the longest known n-gram's."""
@@ -109,6 +117,7 @@ class _Scores(dict):
 
     def __init__(self, model: BackoffModel, limit: int = 250_000):
         super().__init__()
+        limit = min(limit, max(60_000, 4_000_000 // max(1, len(model.langs))))  # a row is as wide as there are languages
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit, len(model.langs)))
 
@@ -150,21 +159,50 @@ def _long_grams(runs: DataFrame, max_n: int) -> DataFrame:
     return runs.select("l", F.explode(pieces).alias("p")).select("l", F.explode(grams).alias("w")).groupBy("w", "l").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 100_000, max_n: int = 4) -> BackoffModel:
-    """Fit on labelled rows. Bounded: ``sample_rows`` rows, then the ``2 * max_words`` commonest (word, language) pairs."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.lit(17)).alias("h"))
-    # one threshold on the hash keeps about sample_rows rows without a sort or a gathering task
-    n = rows.select(F.count("*").alias("n")).first()["n"]
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+def _most_frequent(counts: DataFrame, name: str, most: int, least: int) -> list[tuple[str, str, int]]:
+    """(w, l, n) of about the max(most / languages, least) most frequent w of each language l; ties by hash.
+
+    The numbers of w by l and n, a short table, give the bounds, so that nothing is sorted or gathered by language.
+    """
+    counts = written(counts, name)
+    levels: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("l", "n").agg(F.count("*").alias("c")).collect():
+        levels.setdefault(r["l"], []).append((r["n"], r["c"]))
+    bounds = []
+    for lang, found in levels.items():
+        left, bound = max(most // len(levels), least), (0, 0)
+        for n, c in sorted(found, reverse=True):
+            if c > left:
+                bound = (n, _HASHES * left // c)
+                break
+            left -= c
+        bounds.append((lang, *bound))
+    if not bounds:
+        return []
+    schema = T.StructType([counts.schema["l"], T.StructField("low", T.LongType()), T.StructField("tie", T.LongType())])
+    kept = counts.join(F.broadcast(counts.sparkSession.createDataFrame(bounds, schema)), "l")
+    kept = kept.where((F.col("n") > F.col("low")) | ((F.col("n") == F.col("low")) & (F.pmod(F.xxhash64("w", F.lit(19)), F.lit(_HASHES)) < F.col("tie"))))
+    return sorted((r["w"], r["l"], r["n"]) for r in kept.select("w", "l", "n").collect())
+
+
+def train(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 100_000, max_n: int = 4,
+    lang_rows: int = 5_000, lang_words: int = 10_000, lang_grams: int = 25_000,
+) -> BackoffModel:
+    """Fit on labelled rows. Bounded per language: rows, then twice its share of (word, language) and of n-gram pairs."""
+    rows = docs.where(letters(F.col(text)) & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(_HASHES)).alias("h"))
+    # a threshold on the hash per language keeps about its share without a sort or a gathering task, one row at least
+    stats = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("first")).collect()
+    share = max(sample_rows // max(1, len(stats)), lang_rows)
+    if any(r["n"] > share for r in stats):
+        bounds = [(r["l"], max(r["first"], _HASHES * share // r["n"])) for r in stats]
+        schema = T.StructType([rows.schema["l"], T.StructField("bound", T.LongType())])
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, schema)), "l").where(F.col("h") <= F.col("bound"))
     words = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where("w != ''")
     counts = words.where("length(w) <= 40").groupBy("w", "l").agg(F.count("*").alias("n"))
-    grams = _long_grams(words.where("length(w) > 40"), max_n)
-    top = counts.where("n > 1").orderBy(F.desc("n"), "w", "l").limit(2 * max_words).collect()
-    if not top:
-        top = counts.orderBy(F.desc("n"), "w", "l").limit(2 * max_words).collect()
-    more = grams.orderBy(F.desc("n"), "w", "l").limit(2 * max_grams).collect()
-    return BackoffModel.from_counts([(r["w"], r["l"], r["n"]) for r in top], max_words, max_grams, max_n, [(r["w"], r["l"], r["n"]) for r in more])
+    top = _most_frequent(counts, "words", 2 * max_words, 2 * lang_words)
+    more = _most_frequent(_long_grams(words.where("length(w) > 40"), max_n), "grams", 2 * max_grams, 2 * lang_grams)
+    return BackoffModel.from_counts(top, max_words, max_grams, max_n, more, lang_words, lang_grams)
 
 
 def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

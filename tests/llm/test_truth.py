@@ -218,6 +218,19 @@ def test_language_of_runs_without_blanks(spark):
     assert language.score_text(cache, run("abcd", 64) + run("cdef", 9000))[0] == "y" and not cache
 
 
+def test_rare_language_stays_in_the_model(spark):
+    rng = random.Random(10)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(pool, k=12)), "big") for k in range(2000)] + [(2000, "uno dos tres", "few"), (2001, "vier fünf", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for bounds in ({}, {"sample_rows": 90, "max_words": 30, "max_grams": 60, "lang_rows": 40, "lang_words": 20, "lang_grams": 30}):
+        model = language.train(df, **bounds)
+        cache = language._Scores(model)
+        assert model.langs == ["big", "few", "rare"]
+        assert [language.score_text(cache, t)[0] for t in ("tres dos", "fünf vier", " ".join(pool[:50]))] == ["few", "rare", "big"]
+    assert len(model.words) <= 60 and len(model.grams) <= 90
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
