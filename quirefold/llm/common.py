@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +16,17 @@ ROW = "_qf_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir was given.
 
-    Only where the session leaves it unset (tests, one machine) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made in local mode (tests, one machine); on a cluster that is an error.
     """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-qf-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -57,6 +63,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, columns: list[int], rows: int = 2000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows and about ``size`` bytes in the given string columns, one row at least."""
+    upto = np.zeros(batch.num_rows, "i8")
+    for k in columns:
+        upto += pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+    upto, at = np.cumsum(upto), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 

@@ -10,11 +10,12 @@ transposed to 4 byte planes or 32 bit planes, each compressed with zstandard on
 block, JSON, compressed), its length, and the magic bytes again. With the chunk index any range of ids can be read
 without the blocks before it.
 
-Documents are range-partitioned by key, so the files in index order hold them in ascending order and the start of a
-document is the number of ids before it.
+Documents are range-partitioned by key and hash of the text, so the files in index order hold them in ascending order
+of keys and the start of a document is the number of ids before it.
 
-Defined results: null or empty text -> the end id alone; null key sorts first; equal keys are ordered by text; an
-empty table gives a data set without files, which reads as no rows.
+Defined results: null or empty text -> the end id alone; null key sorts first; equal keys are ordered by the hash of
+their texts, so copies of one row stand together; other columns, whatever their names, are not stored; an empty table
+gives a data set without files, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from quirefold.llm.common import scratch
+from quirefold.llm.common import scratch, slices
 from quirefold.llm.tokens import END, tokenizer
 
 MAGIC = b"QFPLANE1"
@@ -244,6 +245,56 @@ class PlanesReader(DataSourceReader):
                 held, done, i = held[ends[j - 1] - done :], int(ends[j - 1]), j
 
 
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids with the end id, in the order of ``docs``."""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_qf_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = tokenizer(path)
+        for batch in batches:
+            for part in slices(batch, [1]):
+                ids, ends = words.encoded(part.column(1), END)
+                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * ends).astype("i4")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "ids"])
+
+    return source.mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def write(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id", text: str = "text", bits: bool = False) -> None:
+    """Encode ``docs`` and write them to the folder ``out`` in ascending key order.
+
+    Ranges are cut by (key, hash of the text), so that rows of one key, or without one, may be many tasks' work.
+    """
+    docs.sparkSession.dataSource.register(PlanesSource)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_qf_t"))
+    order = ["doc_id", F.xxhash64("_qf_t")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_qf_t")
+    encode(ordered, tokenizer_path, "doc_id", "_qf_t").write.format("qf_planes").option("path", out).option("bits", str(bits).lower()).mode("append").save()
+
+
+def read(self, partition: PlanePart) -> Iterator[pa.RecordBatch]:
+        if partition is None or not isinstance(partition, PlanePart):
+            return
+        store, folder = _store(self.path)
+        with store.open_input_file(f"{folder}/{partition.file}") as source:
+            reader = PlaneReader(source)
+            docs = reader.documents()
+            counts = docs.column("n").to_numpy()
+            ends = np.cumsum(counts)
+            held, done, block, i = np.array([], "<u4"), 0, 0, 0  # ids from position ``done`` on that are decoded
+            while i < len(counts):
+                j = i
+                while block < len(reader.index["blocks"]) and done + len(held) < ends[i] or block < len(reader.index["blocks"]) and len(held) < 4 * BLOCK:
+                    held = np.concatenate([held, reader.block(block)])
+                    block += 1
+                while j < len(counts) and ends[j] <= done + len(held):
+                    j += 1
+                starts = ends[i:j] - counts[i:j]
+                ids = [held[a - done : b - done].tobytes() for a, b in zip(starts, ends[i:j])]
+                yield pa.RecordBatch.from_arrays([docs.column("key").slice(i, j - i), pa.array(starts + partition.base, pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                held, done, i = held[ends[j - 1] - done :], int(ends[j - 1]), j
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids with the end id, in the order of ``docs``."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_qf_t"))
