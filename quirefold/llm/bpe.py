@@ -1,106 +1,138 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue (operator 8).
 
-A pre-token's bytes form a linked list; every adjacent pair that has a merge rank waits in that rank's bucket. A
-hierarchical bitmap over the ranks answers "which is the lowest rank with entries" by find-first-set on each level, so
-the next merge costs a few word operations however long the pre-token is; entries made stale by an earlier merge are
-skipped when they come up. Positions of one rank are taken from left to right. The result equals repeated merging of
-the leftmost pair of lowest rank.
-
-Texts are split by the pattern into pre-tokens; each is merged on its own. A text is cut before white space that
-follows other characters, where a pre-token always begins, and each worker keeps a bounded cache of the pieces, so a
-common word is merged once.
-
-Defined results: null or empty text -> no ids, empty bytes; ids outside the vocabulary are an error; repeated rows
-are each answered; no shuffle, whole texts.
+The bytes of one or many pre-tokens form a linked list; every adjacent pair of a pre-token that has a merge rank waits
+in that rank's bucket. A hierarchical bitmap over the ranks answers "which is the lowest rank with entries" by
+find-first-set on each level, so the next bucket costs a few word operations however long the list is; entries made
+stale by an earlier merge are skipped when they come up. Positions of one rank are taken from left to right. The result
+equals repeated merging of the leftmost pair of lowest rank, in each pre-token.
+
+Texts are split by the pattern into pre-tokens; each is merged on its own. Texts are taken in blocks of bounded size.
+Arrow cuts a block at blanks and line ends, where a pre-token always begins unless two white spaces meet (such texts
+are cut by the pattern's own rules), and numbers the different pieces; only different words, marks and other pieces are
+looked up in the worker's bounded caches, and ids are gathered by number. Decoding gathers the bytes of all ids of a
+batch from one table. ``round_trip`` does both in one pass over the workers.
+
+Defined results: null or empty text -> no ids, empty bytes; ids outside the vocabulary are an error; null ids give null;
+repeated rows are each answered; other columns, whatever their names, take no part in encoding, and a column named
+``decoded`` is replaced by decoding; an empty table gives no rows; no shuffle, whole texts.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.common import holding
-from quirefold.llm.tokens import ChunkCache
+from quirefold.llm.common import holding, slices
+from quirefold.llm.tokens import ChunkCache, gathered
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], shift: int) -> list[int]:
-    """Ids of one pre-token; every rank is below ``4 ** shift``.
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int], shift: int) -> list[list[int]]:
+    """Ids of each pre-token; every rank is below ``4 ** shift``.
 
     The queue is two levels of bitmaps with ``2 ** shift`` bits a word: bit k of a leaf word says that the bucket of
     that rank has entries, bit k of the top word that leaf word k is not zero.
     """
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, get, low = len(piece), ranks.get, (1 << shift) - 1
-    token: list[bytes] = [piece[i : i + 1] for i in range(n)]
+    get, low = ranks.get, (1 << shift) - 1
+    whole = [get(p) for p in pieces]
+    data = b"".join([p for p, k in zip(pieces, whole) if k is None])
+    n = len(data)
+    token: list[bytes] = [data[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = [-1] * n  # the rank under which the pair that starts here waits now; any other entry is stale
+    waiting = [get(data[i : i + 2], -1) for i in range(n)]  # the rank under which the pair that starts here waits now; any other entry is stale
+    at = 0
+    for p, k in zip(pieces, whole):
+        if k is None and p:  # no pair reaches over the end of a pre-token
+            before[at] = -1
+            at += len(p)
+            after[at - 1] = waiting[at - 1] = -1
     buckets: dict[int, list[int]] = {}
     leaf: dict[int, int] = {}
     top = 0
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            waiting[i] = rank
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
             if rank in buckets:
-                buckets[rank].append(i)  # ascending, so a heap already
+                buckets[rank].append(i)
             else:
                 buckets[rank] = [i]
-                word = rank >> shift
-                leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
-                top |= 1 << word
+    for rank in buckets:
+        leaf[rank >> shift] = leaf.get(rank >> shift, 0) | 1 << (rank & low)
+        top |= 1 << (rank >> shift)
+    dead = bytearray(n)
     while top:
         word = (top & -top).bit_length() - 1
         bits = leaf[word]
-        rank = word << shift | ((bits & -bits).bit_length() - 1)
-        bucket = buckets[rank]
-        i = heapq.heappop(bucket) if len(bucket) > 1 else bucket.pop()
-        if not bucket:
-            del buckets[rank]
-            leaf[word] = bits = bits & (bits - 1)
-            if not bits:
-                top &= top - 1
-        if waiting[i] != rank:
-            continue
-        j = after[i]
-        token[i] += token[j]
-        waiting[j] = -1
-        after[i] = j = after[j]
-        if j < n:
-            before[j] = i
-        for i in (i, before[i]):
-            if i < 0:
+        lowest = word << shift | ((bits & -bits).bit_length() - 1)
+        leaf[word] = bits = bits & (bits - 1)
+        if not bits:
+            top &= top - 1
+        bucket = buckets.pop(lowest)
+        bucket.sort()
+        for done, i in enumerate(bucket):
+            if waiting[i] != lowest:
                 continue
             j = after[i]
-            rank = get(token[i] + token[j]) if j < n else None
-            if rank is None:
-                waiting[i] = -1
-                continue
-            waiting[i] = rank
-            if rank in buckets:
-                heapq.heappush(buckets[rank], i)
-            else:
-                buckets[rank] = [i]
-                word = rank >> shift
-                leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
+            token[i] = merged = token[i] + token[j]
+            waiting[j], dead[j] = -1, 1
+            after[i] = j = after[j]
+            back = False
+            waiting[i] = -1
+            if j >= 0:
+                before[j] = i
+                rank = get(merged + token[j])
+                if rank is not None:
+                    waiting[i] = rank
+                    if rank in buckets:
+                        buckets[rank].append(i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> shift
+                        leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
+                        top |= 1 << word
+                        back = rank < lowest
+            i = before[i]
+            if i >= 0:
+                rank = get(token[i] + merged, -1)
+                waiting[i] = rank
+                if rank >= 0:
+                    if rank in buckets:
+                        buckets[rank].append(i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> shift
+                        leaf[word] = leaf.get(word, 0) | 1 << (rank & low)
+                        top |= 1 << word
+                        back = back or rank < lowest
+            if back and done + 1 < len(bucket):  # a lower rank goes first
+                buckets[lowest] = bucket[done + 1 :] + buckets.get(lowest, [])
+                word = lowest >> shift
+                leaf[word] = leaf.get(word, 0) | 1 << (lowest & low)
                 top |= 1 << word
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[token[i]])
-        i = after[i]
+                break
+    out, at = [], 0
+    for p, k in zip(pieces, whole):
+        if k is not None:
+            out.append([k])
+        else:
+            stop = at + len(p)
+            out.append([ranks[token[i]] for i in range(at, stop) if not dead[i]])
+            at = stop
     return out
 
 
+def merge(piece: bytes, ranks: dict[bytes, int], shift: int) -> list[int]:
+    """Ids of one pre-token."""
+    return merge_all([piece], ranks, shift)[0]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: one base64 token and its rank a line."""
     with open(path, "rb") as lines:
@@ -108,53 +140,86 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """``ids(text)``: ids as little-endian unsigned 32-bit bytes; ``text_bytes(ids)``: the way back."""
+    """``encoded(texts)``: ids of whole texts; ``bytes_of(ids)``: the way back."""
 
-    _TWO_SPACES = re.compile(r"\s\s")
-    _MARKS = ".,;:!?#*$%&\"()"
+    #: Two white spaces in a row, or one of the characters that mark a piece.
+    _RARE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}|[\x01\x02]"
+    #: A piece: its lead (none: a blank; 1: a line end; 2: nothing), letters, marks.
+    _PLAIN = r"^(?P<lead>[\x01\x02]?)(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,;:!?#*$%&\"()]*)$"
     _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
 
-    def __init__(self, path: str, pattern: str, limit: int = 420_000):
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
         import regex
 
         self.ranks = load_ranks(path)
         self.shift = (max(self.ranks.values()).bit_length() + 1) // 2
         self.pattern = regex.compile(pattern)
-        self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
-        self.first = ChunkCache(self._encode, limit // 4)  # pieces as they are
-        self.spaced = ChunkCache(lambda chunk, _: self._encode(" " + chunk, None), limit)  # pieces after one blank
-        self.newline = self._encode("\n", None)[0]
-
-    def _encode(self, chunk: str, _cache: ChunkCache | None) -> tuple[bytes, bool]:
-        if chunk[-1] in self._MARKS:  # a word and the marks after it are two pre-tokens
-            word = chunk.rstrip(self._MARKS)
-            if word[:1] == " " and word[1:].isalpha():
-                return self.spaced[word[1:]] + self.first[chunk[len(word) :]], False
-            if word.isalpha():
-                return self.first[word] + self.first[chunk[len(word) :]], False
-        if chunk[1:].isalpha() and max(chunk) < "Ā" and (chunk[0] == " " or chunk[0].isalpha()):
-            return array("I", merge(chunk.encode(), self.ranks, self.shift)).tobytes(), True
-        ids = array("I")
-        for match in self.pattern.finditer(chunk):
-            ids.extend(merge(match.group().encode(), self.ranks, self.shift))
-        return ids.tobytes(), True
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(tokens), "u1")
+        self.token_sizes = np.array([len(t) for t in tokens], "i8")
+        self.words = ChunkCache(lambda words: self._merged([w.encode() for w in words]), limit)
+        self.others = ChunkCache(self._others, limit // 4)
+
+    def _merged(self, pieces: list[bytes], block: int = 4096) -> list[bytes]:
+        """Ids of each pre-token; ``block`` of them share a queue."""
+        return [array("I", ids).tobytes() for i in range(0, len(pieces), block) for ids in merge_all(pieces[i : i + block], self.ranks, self.shift)]
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        parts = [[m.group().encode() for m in self.pattern.finditer(p)] for p in pieces]
+        ids = iter(self._merged([x for xs in parts for x in xs]))
+        return [b"".join([next(ids) for _ in xs]) for xs in parts]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, ends: text k has ids[ends[k]:ends[k + 1]]); null counts as empty."""
+        texts = texts.fill_null("")
+        rare = pc.match_substring_regex(texts, self._RARE)
+        usual = pc.binary_join_element_wise("\x02", pc.replace_substring(texts.filter(pc.invert(rare)), "\n", " \x01"), "")
+        split = pc.split_pattern(usual, " ")
+        pieces, ends = split.flatten(), split.offsets.to_numpy().astype("i8")
+        cut = [["\x02" + x for x in self._CUT.split(t)] for t in texts.filter(rare).to_pylist()]
+        pieces = pa.concat_arrays([pieces, pa.array([x for xs in cut for x in xs], pa.string())])
+        ends = np.concatenate([ends - ends[0], ends[-1] - ends[0] + np.cumsum([len(xs) for xs in cut], dtype="i8")])
+        ids, n = self._pieces(pieces)
+        upto = np.concatenate([np.zeros(1, "i8"), np.cumsum(n)])
+        own = np.diff(upto[ends])
+        if cut:  # back to the order of the texts
+            place = np.argsort(np.argsort(rare.to_numpy(zero_copy_only=False), kind="stable"))
+            ids, own = gathered(ids, own, place)
+        return ids, np.concatenate([np.zeros(1, "i8"), np.cumsum(own)])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has)."""
+        numbered = pieces.dictionary_encode()
+        different = numbered.dictionary
+        parted = pc.extract_regex(different, pattern=self._PLAIN)
+        odd = parted.is_null()
+        led = pc.match_substring_regex(different, r"^[\x01\x02]")
+        blank = pc.if_else(led, "", " ")
+        word, marks = parted.field("word").fill_null(""), parted.field("marks").fill_null("")
+        no_word = pc.equal(word, "")
+        word = pc.if_else(no_word, "", pc.binary_join_element_wise(blank, word, ""))
+        rest = pc.if_else(odd, pc.if_else(led, pc.utf8_slice_codeunits(different, 1), different), marks)
+        rest = pc.if_else(no_word, pc.binary_join_element_wise(blank, rest, ""), rest)
+        lead = pc.if_else(pc.starts_with(different, "\x01"), "\n", "")
+        words, others, leads = word.dictionary_encode(), rest.dictionary_encode(), lead.dictionary_encode()
+        own = [x for found, cache in ((leads, self.others), (words, self.words), (others, self.others)) for x in cache.of(found.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, own), "i8", len(own)) // 4
+        parts = np.stack([leads.indices.to_numpy(), words.indices.to_numpy() + len(leads.dictionary), others.indices.to_numpy() + len(leads.dictionary) + len(words.dictionary)], axis=1)
+        flat, n = gathered(np.frombuffer(b"".join(own), "<u4"), sizes, parts.reshape(-1).astype("i8"))
+        return gathered(flat, n.reshape(-1, 3).sum(axis=1), numbered.indices.to_numpy())
+
+    def bytes_of(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, ends: list k has bytes[ends[k]:ends[k + 1]])."""
+        found, n = gathered(self.token_bytes, self.token_sizes, ids)
+        return found, np.concatenate([np.zeros(1, "i8"), np.cumsum(n)])[ends]
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self._TWO_SPACES.search(text):
-            return b"".join(map(self.first.__getitem__, self._CUT.split(text)))
-        first, spaced, out = self.first.__getitem__, self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            out.append(self.newline)
-            if parts[0]:
-                out.append(first(parts[0]))
-            out.extend(map(spaced, parts[1:]))
-        return b"".join(out[1:])
+        return self.encoded(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
     def text_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.bytes_of(np.array(ids, "i8"), np.array([0, len(ids)]))[0].tobytes()
 
 
 _OPEN: dict[tuple[str, str], ByteBpe] = {}
@@ -168,33 +233,52 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids array<int>; one row per input row."""
-    source = docs.select(F.col(key), F.col(text).alias("_qf_t"))
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids.astype("i4")))
+
+
+def _binary(found: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(np.ascontiguousarray(found))])
+
+
+def _run(docs: DataFrame, path: str, pattern: str, key: str, text: str, back: bool) -> DataFrame:
+    source = docs.select(F.col(key), F.col(text).cast("string").alias("_qf_t"))
+    names = [key, "ids", "decoded"][: 2 + back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(path, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                found = [codec.ids(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                values = pa.array(np.frombuffer(b"".join(found), "<u4").astype("int32"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "ids"])
+            for part in slices(batch, [1], size=8 << 20):
+                ids, ends = codec.encoded(part.column(1))
+                cols = [part.column(0), _lists(ids, ends)]
+                yield pa.RecordBatch.from_arrays([*cols, _binary(*codec.bytes_of(ids, ends))] if back else cols, names=names)
+
+    kinds = [source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return source.mapInArrow(run, T.StructType(kinds[: 2 + back]))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids array<int>; one row per input row."""
+    return _run(docs, path, pattern, key, text, False)
+
 
-    return source.mapInArrow(run, T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids array<int>, decoded (binary: the bytes that these ids stand for); one row per input row."""
+    return _run(docs, path, pattern, key, text, True)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """All columns, then decoded (binary): the bytes that the ids stand for; null ids give null."""
+    encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(path, pattern)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            found = [codec.text_bytes(values[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            found = _binary(*codec.bytes_of(lists.flatten().to_numpy(), np.concatenate([np.zeros(1, "i8"), np.cumsum(sizes, dtype="i8")])))
+            found = pc.if_else(lists.is_valid(), found, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     return source.mapInArrow(cut, "doc_id bigint, start bigint, length int, doc_tokens bigint, task bigint, rank bigint, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, broadcast_rows: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32 bit): one row per piece."""
     rows = written(pieces(docs, tokenizer_path, key, text, seq_len), "pieces")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,17 +2,22 @@
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for IBANs), and words near a span
 raise or lower its score. Base kinds (email, ip, card, phone) are reported whenever their own test holds; the added
-kinds (iban, ssn) only with a score of ``min_score`` or more.
+kinds (iban, ssn, secret, token) only with a score of ``min_score`` or more. A secret is a private-key header or a key
+with a provider's prefix and length; a token is any long run of letters and digits, with eight different characters or
+more, that a word like token, key or password stands beside.
 
 An account number (iban) ends where its country's length says, so what follows it takes no part; for countries that
 aren't listed, each beginning of the match that ends at a blank is tested, the longest first. Words that raise a score
 are looked for on both sides of a span, words that lower it only before it.
 
 Positions are code points, ends exclusive. They come from the lengths of the pieces between matches; prefix sums are
-taken in blocks, so a text with very many matches stays affordable.
+taken in blocks. Context and masked text are cut from the text's pieces of ``PIECE`` characters, so that no span walks
+the text from its start, and a text with very many spans costs in proportion to their number.
 
-Defined results: null text counts as empty; a text without spans has an empty array; repeated rows are each
-answered; there is no shuffle, so any key or host may be hot.
+Defined results: null text counts as empty; a text without spans has an empty array; spans of different kinds may
+overlap, and are ordered by start, then kind as listed; repeated rows are each answered; ``find`` returns the key and
+the spans alone, ``mask`` all columns, whatever their names; an empty table gives no rows; there is no shuffle, so any
+key or host may be hot.
 """
 
 from __future__ import annotations
@@ -42,10 +47,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{20,90}|[rs]k_live_[A-Za-z0-9]{20,90}|AIza[A-Za-z0-9_-]{35}|hf_[A-Za-z0-9]{34}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_])",
+    "token": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,80}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed span, words that raise it and words that lower it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.9, "token": 0.4}
 RAISE = {
     "email": r"(?i)\b(e-?mail|mail|contact|correo|courriel|kontakt)\b",
     "ip": r"(?i)\b(ip|address|host|server|login)\b",
@@ -53,6 +60,8 @@ RAISE = {
     "phone": r"(?i)\b(phone|tel|telephone|call|mobile|fax|telefon|teléfono|téléphone)\b",
     "iban": r"(?i)\b(iban|account|bank|konto|cuenta|compte)\b",
     "ssn": r"(?i)\b(ssn|social|security)\b",
+    "secret": r"(?i)(secret|token|key|password)",
+    "token": r"(?i)(?<![a-z])(secret|token|api_?key|access_?key|key|passwd|password|passwort|pwd|auth|authorization|bearer|credentials?|contraseña|clave)(?![a-z])",
 }
 LOWER = {
     "email": r"(?i)\b(example|noreply)\b",
@@ -61,9 +70,13 @@ LOWER = {
     "phone": r"(?i)\b(isbn|serial|order)\b",
     "iban": r"(?i)\b(serial|order)\b",
     "ssn": r"(?i)\b(serial|order|part)\b",
+    "secret": r"(?i)\bexample\b",
+    "token": r"(?i)\b(sha1|sha256|md5|checksum|commit|digest|isbn)\b",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _BLOCK = 256
+#: Characters in a piece of a text from which context and masked text are cut.
+PIECE = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -97,6 +110,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.char_length(_digits(match)).between(9, 15)
     if kind == "iban":
         return _mod97(match)
+    if kind == "token":
+        return match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.substring(match, 1, 200), ""))) > 8)
     return F.lit(True)
 
 
@@ -146,24 +161,47 @@ def _proposed(text: Column, kind: str) -> Column:
         pieces = F.split(F.concat(F.lit(" "), text) if ahead else text, pattern, -1)  # an empty match at the very start would not split
         return F.when(F.exists(m, lambda x: _confirmed_part(kind, x).isNotNull()), _let(pieces, with_gaps)).otherwise(none)
 
-    sign = F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]")
+    sign = {"email": F.contains(text, F.lit("@")), "secret": text.rlike("-----BEGIN |AKIA|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|k_live_|AIza|hf_|eyJ")}.get(kind, text.rlike("[0-9]"))
     return F.when(sign, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))), placed)).otherwise(none)
 
 
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters a to b (exclusive) of the text in pieces; empty if there are none."""
+    whole = lambda k: F.coalesce(F.get(pieces, k.cast("int")), F.lit(""))
+    first, last = F.floor(a / PIECE), F.floor(b / PIECE)
+    here, until = (a % PIECE + 1).cast("int"), (b % PIECE).cast("int")
+    between = F.when(last > first + 1, F.array_join(F.slice(pieces, (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int")), "")).otherwise("")
+    return F.when(b <= a, "").when(first == last, F.substring(whole(first), here, (b - a).cast("int"))).otherwise(F.concat(F.substring(whole(first), here, F.lit(PIECE)), between, F.substring(whole(last), F.lit(1), until)))
+
+
 def spans(text: Column, min_score: float = 0.5, window: int = 40) -> Column:
     """array<struct<start,rank,end,kind,score>> by start, then kind as listed; text must not be null."""
 
-    def scored(s: Column) -> Column:
-        near = lambda words: _let(F.substring(text, F.greatest(s["start"] - window + 1, F.lit(1)).cast("int"), (F.least(s["start"], F.lit(window))).cast("int")), lambda c: c.rlike(words))
-        after = lambda words: F.substring(text, (s["end"] + 1).cast("int"), F.lit(window)).rlike(words)
-        score = F.lit(0.0)
-        for kind in reversed(PATTERNS):
-            own = F.lit(SCORES[kind]) + F.when(near(RAISE[kind]) | after(RAISE[kind]), 0.2).otherwise(0.0) - F.when(near(LOWER[kind]), 0.3).otherwise(0.0)
-            score = F.when(s["kind"] == kind, own).otherwise(score)
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+    def scored(pieces: Column):
+        def of(s: Column) -> Column:
+            def judged(near: Column) -> Column:
+                before, after = near["before"], near["after"]
+                score = F.lit(0.0)
+                for kind in reversed(PATTERNS):
+                    own = F.lit(SCORES[kind]) + F.when(before.rlike(RAISE[kind]) | after.rlike(RAISE[kind]), 0.2).otherwise(0.0) - F.when(before.rlike(LOWER[kind]), 0.3).otherwise(0.0)
+                    score = F.when(s["kind"] == kind, own).otherwise(score)
+                return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
-    found = F.concat(*[_proposed(text, kind) for kind in PATTERNS])
-    return F.sort_array(F.filter(F.transform(found, scored), lambda s: s["kind"].isin(*BASE) | (s["score"] >= min_score)))
+            around = F.struct(_cut(pieces, F.greatest(s["start"] - window, F.lit(0)), s["start"]).alias("before"), _cut(pieces, s["end"], s["end"] + window).alias("after"))
+            return _let(around, judged)
+
+        return of
+
+    def kept(found: Column) -> Column:
+        judged = _let(_pieces(text), lambda pieces: F.transform(found, scored(pieces)))
+        return F.sort_array(F.filter(judged, lambda s: s["kind"].isin(*BASE) | (s["score"] >= min_score)))
+
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
+    return _let(F.concat(*[_proposed(text, kind) for kind in PATTERNS]), lambda found: F.when(F.size(found) > 0, kept(found)).otherwise(none))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_score: float = 0.5) -> DataFrame:
@@ -172,16 +210,34 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_score: fl
     return rows.select(F.col(key), spans(F.col("_qf_t"), min_score).alias("pii"))
 
 
+def _highest(ends: Column) -> Column:
+    """For each element the highest one before it, 0 for the first; in blocks, like ``_starts``."""
+    zero = F.lit(0).cast("long")
+    most = lambda s, x: F.greatest(s, x)
+
+    def from_blocks(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(a, b * _BLOCK + 1, _BLOCK), zero, most))
+        bases = F.aggregate(blocks, F.array(zero), lambda s, x: F.concat(s, F.array(F.greatest(F.element_at(s, -1), x))))
+        return _let(bases, lambda base: F.transform(a, lambda _, i: F.aggregate(F.slice(a, i - i % _BLOCK + 1, i % _BLOCK), F.get(base, F.floor(i / _BLOCK).cast("int")), most)))
+
+    return _let(ends, from_blocks)
+
+
 def masked(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in capitals and angle brackets; overlapping spans become one."""
+    """The text with each span replaced by its kind in capitals and angle brackets; overlapping spans become one.
+
+    ``found`` must have a span.
+    """
+
+    def joined(v: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            done = F.get(v["done"], i)
+            return F.when(x["start"] >= done, F.concat(_cut(v["pieces"], done, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
 
-    def step(s: Column, x: Column) -> Column:
-        overlaps = x["start"] < s["pos"]
-        piece = F.concat(F.substring(text, (s["pos"] + 1).cast("int"), (x["start"] - s["pos"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), F.when(overlaps, s["out"]).otherwise(F.concat(s["out"], F.array(piece))).alias("out"))
+        end = F.greatest(F.element_at(v["done"], -1), F.element_at(found, -1)["end"])
+        return F.concat(F.array_join(F.transform(found, part), ""), _cut(v["pieces"], end, F.char_length(text).cast("long")))
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return _let(F.struct(_pieces(text).alias("pieces"), _highest(F.transform(found, lambda x: x["end"])).alias("done")), joined)
 
 
 def mask(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:

@@ -272,50 +272,6 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id", t
     encode(ordered, tokenizer_path, "doc_id", "_qf_t").write.format("qf_planes").option("path", out).option("bits", str(bits).lower()).mode("append").save()
 
 
-def read(self, partition: PlanePart) -> Iterator[pa.RecordBatch]:
-        if partition is None or not isinstance(partition, PlanePart):
-            return
-        store, folder = _store(self.path)
-        with store.open_input_file(f"{folder}/{partition.file}") as source:
-            reader = PlaneReader(source)
-            docs = reader.documents()
-            counts = docs.column("n").to_numpy()
-            ends = np.cumsum(counts)
-            held, done, block, i = np.array([], "<u4"), 0, 0, 0  # ids from position ``done`` on that are decoded
-            while i < len(counts):
-                j = i
-                while block < len(reader.index["blocks"]) and done + len(held) < ends[i] or block < len(reader.index["blocks"]) and len(held) < 4 * BLOCK:
-                    held = np.concatenate([held, reader.block(block)])
-                    block += 1
-                while j < len(counts) and ends[j] <= done + len(held):
-                    j += 1
-                starts = ends[i:j] - counts[i:j]
-                ids = [held[a - done : b - done].tobytes() for a, b in zip(starts, ends[i:j])]
-                yield pa.RecordBatch.from_arrays([docs.column("key").slice(i, j - i), pa.array(starts + partition.base, pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-                held, done, i = held[ends[j - 1] - done :], int(ends[j - 1]), j
-
-
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids with the end id, in the order of ``docs``."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_qf_t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = tokenizer(path), np.array([END], "<u4").tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words.ids(t) + end for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
-
-    return source.mapInArrow(run, "doc_id bigint, ids binary")
-
-
-def write(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id", text: str = "text", bits: bool = False) -> None:
-    """Encode ``docs`` and write them to the folder ``out`` in ascending key order."""
-    docs.sparkSession.dataSource.register(PlanesSource)
-    ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_qf_t")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_qf_t")
-    encode(ordered, tokenizer_path, "doc_id", "_qf_t").write.format("qf_planes").option("path", out).option("bits", str(bits).lower()).mode("append").save()
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of a data set that ``write`` made."""
     spark.dataSource.register(PlanesSource)

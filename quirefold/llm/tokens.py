@@ -49,7 +49,7 @@ class ChunkCache(dict):
         return list(map(self.__getitem__, chunks))
 
 
-def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the entries ``which`` of ``flat``, one behind another, their sizes); ``sizes`` are those of all entries."""
     starts, n = np.cumsum(sizes) - sizes, sizes[which]
     upto = np.cumsum(n) - n
@@ -127,8 +127,8 @@ class WordTokenizer:
         parts = np.empty((len(chunks), 2), "i8")
         parts[:, 0] = pc.if_else(odd, len(own), words.indices).to_numpy(zero_copy_only=False)
         parts[:, 1] = others.indices.to_numpy() + len(words.dictionary)
-        flat, n = _gathered(np.frombuffer(b"".join(own), "<u4"), np.append(sizes, 0), parts.reshape(-1))
-        ids, n = _gathered(flat, n.reshape(-1, 2).sum(axis=1), numbered.indices.to_numpy())
+        flat, n = gathered(np.frombuffer(b"".join(own), "<u4"), np.append(sizes, 0), parts.reshape(-1))
+        ids, n = gathered(flat, n.reshape(-1, 2).sum(axis=1), numbered.indices.to_numpy())
         upto = np.concatenate([np.zeros(1, "i8"), np.cumsum(n)])
         ends = split.offsets.to_numpy()
         return ids, np.diff(upto[ends - ends[0]])
