@@ -148,7 +148,7 @@ class ByteBpe:
     _PLAIN = r"^(?P<lead>[\x01\x02]?)(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]*)(?P<marks>[.,;:!?#*$%&\"()]*)$"
     _CUT = re.compile(r"(?<=\S)(?=[ \n\t])")
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         import regex
 
         self.ranks = load_ranks(path)
@@ -248,7 +248,7 @@ def _run(docs: DataFrame, path: str, pattern: str, key: str, text: str, back: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(path, pattern)
         for batch in batches:
-            for part in slices(batch, [1], size=8 << 20):
+            for part in slices(batch, [1], size=4 << 20):
                 ids, ends = codec.encoded(part.column(1))
                 cols = [part.column(0), _lists(ids, ends)]
                 yield pa.RecordBatch.from_arrays([*cols, _binary(*codec.bytes_of(ids, ends))] if back else cols, names=names)

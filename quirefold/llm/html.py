@@ -8,7 +8,9 @@ labelled pages: ``labelled_pages`` builds them from templates in which every blo
 number of pages that does not depend on the input.
 
 Defined results: null or empty html -> empty text; a page without a main block -> empty text; cut-off pages, open
-tags and unknown references are read as far as they go; repeated rows are each answered; no shuffle.
+tags and unknown references are read as far as they go, pages of any length in one pass; a block whose labels score
+alike is not main text; repeated rows are each answered; input columns named like the results are replaced; an empty
+table gives no rows; no shuffle.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ STRUCTURE = frozenset("article aside footer form header main nav section".split(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I | re.A)
@@ -137,11 +139,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 if name not in INLINE:
                     break
-        names = [f"tag:{tag}"]
+        names, hides = [f"tag:{tag}"], tag in HIDDEN
         if attrs:
             for a in _ATTR.finditer(attrs):
-                names += [f"name:{w}" for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-        hides = tag in HIDDEN or bool(attrs and _HIDE.search(attrs))
+                name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if name in ("class", "id", "role"):
+                    names += [f"name:{w}" for w in _WORD.findall(value.lower())]
+                elif name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.lower() == "true":
+                    hides = True
         stack.append((tag, tuple(names), hides))
         hidden += hides
         links += tag == "a"

@@ -22,24 +22,24 @@ rows with null label or text are no training rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.common import holding, letters, written
+from quirefold.llm.common import holding, letters, slices, written
 
 UNDETERMINED = "und"
-#: What splits words: anything but letters (and marks), so digits and punctuation say nothing.
+#: What splits words: anything but letters and marks, so digits and punctuation say nothing.
+_NOT_WORD = r"[^\p{L}\p{M}]+"
 #: Fixed value: letters in a row beyond which they are no word of a vocabulary.
 LONG = 64
 #: Fixed value: hashes are taken modulo this.
 _HASHES = 1 << 40
-_NOT_WORD = re.compile(r"[\W\d_]+")
 
 
 class BackoffModel:
@@ -127,28 +127,48 @@ class _Scores(dict):
         return at
 
 
-def score_text(cache: _Scores, text: str | None, temper: float = 8.0, block: int = 50_000) -> tuple[str, float]:
-    """(language, posterior) of one whole text."""
-    model = cache.model
-    words = [w for w in _NOT_WORD.split(text.lower()) if w] if text else []
-    if not words or not model.langs:
-        return UNDETERMINED, 0.0
-    total, n = np.zeros(len(model.langs)), 0.0
-    for run in (w for w in words if len(w) > LONG):  # not cached: they may be as long as a text
-        row, weight = model.of_run(run)
-        total, n = total + row, n + weight
-    words = [w for w in words if len(w) <= LONG]
-    n += len(words)
-    for i in range(0, len(words), block):
-        part = words[i : i + block]
-        if len(cache) + len(part) > cache.limit:
-            cache.clear()
-        total += cache.rows[[cache[w] for w in part]].sum(axis=0)
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, weights) of different words; those without a letter (empty ones) are to be left out by the caller."""
+        rows, weights = np.zeros((len(words), len(self.model.langs))), np.ones(len(words))
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        for i in range(0, len(short), self.limit // 2):
+            part = short[i : i + self.limit // 2]
+            if len(self) + len(part) > self.limit:
+                self.clear()
+            rows[part] = self.rows[[self[words[k]] for k in part]]
+        for k, w in enumerate(words):
+            if len(w) > LONG:  # not cached: they may be as long as a text
+                rows[k], weights[k] = self.model.of_run(w)
+        return rows, weights
+
+
+def score_texts(cache: _Scores, lowered: pa.Array, temper: float = 8.0) -> tuple[list[str], np.ndarray]:
+    """(languages, posteriors) of whole lower-case texts, the different words of all of them looked up once."""
+    langs = cache.model.langs
+    split = pc.split_pattern_regex(lowered.fill_null(""), _NOT_WORD)
+    numbered = split.flatten().dictionary_encode()
+    worded = pc.match_substring_regex(numbered.dictionary, r"\p{L}").to_numpy(zero_copy_only=False)
+    rows, weights = np.zeros((len(worded), len(langs))), np.zeros(len(worded))
+    if langs and worded.any():
+        rows[worded], weights[worded] = cache.of_words(numbered.dictionary.filter(pa.array(worded)).to_pylist())
+    which, starts = numbered.indices.to_numpy(), split.offsets.to_numpy()
+    starts = (starts - starts[0])[:-1]  # every text has a piece, if only an empty one
+    n = np.add.reduceat(weights[which], starts) if len(starts) else np.zeros(0)
+    if not langs or not len(starts):
+        return [UNDETERMINED] * len(starts), np.zeros(len(starts))
+    total = np.stack([np.add.reduceat(column[which], starts) for column in np.ascontiguousarray(rows.T)], axis=1)
     # the mean log ratio per word, counted as ``temper`` words at most: long texts don't all get exactly 1.0
-    total = (total - total.max()) * min(n, temper) / n
-    p = np.exp(total)
-    best = int(p.argmax())
-    return model.langs[best], float(p[best] / p.sum())
+    some = n > 0
+    p = np.exp((total - total.max(axis=1, keepdims=True)) * (np.minimum(n, temper) / np.where(some, n, 1))[:, None])
+    best = p.argmax(axis=1)
+    score = np.where(some, p[np.arange(len(best)), best] / p.sum(axis=1), 0.0)
+    return [langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), some.tolist())], score
+
+
+def score_text(cache: _Scores, text: str | None) -> tuple[str, float]:
+    """(language, posterior) of one whole text."""
+    found, score = score_texts(cache, pa.array([text.lower() if text else ""], pa.string()))
+    return found[0], float(score[0])
 
 
 def _long_grams(runs: DataFrame, max_n: int) -> DataFrame:
@@ -190,7 +210,7 @@ def train(
     lang_rows: int = 5_000, lang_words: int = 10_000, lang_grams: int = 25_000,
 ) -> BackoffModel:
     """Fit on labelled rows. Bounded per language: rows, then twice its share of (word, language) and of n-gram pairs."""
-    rows = docs.where(letters(F.col(text)) & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(_HASHES)).alias("h"))
+    rows = docs.where(letters(F.col(text)) & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(17)), F.lit(_HASHES)).alias("h"))
     # a threshold on the hash per language keeps about its share without a sort or a gathering task, one row at least
     stats = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("first")).collect()
     share = max(sample_rows // max(1, len(stats)), lang_rows)
@@ -198,7 +218,7 @@ def train(
         bounds = [(r["l"], max(r["first"], _HASHES * share // r["n"])) for r in stats]
         schema = T.StructType([rows.schema["l"], T.StructField("bound", T.LongType())])
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, schema)), "l").where(F.col("h") <= F.col("bound"))
-    words = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where("w != ''")
+    words = rows.select("l", F.explode(F.split(F.lower("t"), _NOT_WORD)).alias("w")).where(letters(F.col("w")))
     counts = words.where("length(w) <= 40").groupBy("w", "l").agg(F.count("*").alias("n"))
     top = _most_frequent(counts, "words", 2 * max_words, 2 * lang_words)
     more = _most_frequent(_long_grams(words.where("length(w) > 40"), max_n), "grams", 2 * max_grams, 2 * lang_grams)
@@ -212,7 +232,7 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_qf_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.lower(F.col(text)).alias("_qf_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
@@ -221,8 +241,9 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
             own.cache = _Scores(own)
         cache = own.cache
         for batch in batches:
-            found = [score_text(cache, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            for part in slices(batch, [batch.num_columns - 1], size=8 << 20):
+                found, score = score_texts(cache, part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema)

@@ -82,13 +82,16 @@ class PlaneFile:
         self.blocks.append(entry)
 
     def add(self, keys: pa.Array, ids: list[bytes]) -> None:
+        self.add_all(keys, np.frombuffer(b"".join(ids), "<u4"), [len(x) // 4 for x in ids])
+
+    def add_all(self, keys: pa.Array, ids: np.ndarray, counts: list[int]) -> None:
+        """Documents with their ids one behind another and the number of ids of each."""
         self.keys.append(keys)
-        self.counts += [len(x) // 4 for x in ids]
-        for x in ids:
-            self.rest.append(x)
-            self.held += len(x) // 4
-            if self.held >= 16 * BLOCK:
-                self._flush(False)
+        self.counts += counts
+        self.rest.append(ids.tobytes())
+        self.held += len(ids)
+        if self.held >= 16 * BLOCK:
+            self._flush(False)
 
     def _flush(self, all_of_it: bool) -> None:
         ids = np.frombuffer(b"".join(self.rest), "<u4")
@@ -160,7 +163,7 @@ class PlanePart(InputPartition):
 
 
 class PlanesSource(DataSource):
-    """Options: path, bits (true: 32 bit planes; default: 4 byte planes)."""
+    """Options: path, bits (true: 32 bit planes; default: 4 byte planes), tokenizer (a file: rows to write hold texts)."""
 
     @classmethod
     def name(cls) -> str:
@@ -173,14 +176,17 @@ class PlanesSource(DataSource):
         return PlanesReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> "PlanesWriter":
-        return PlanesWriter(self.options["path"], self.options.get("bits", "false") == "true")
+        return PlanesWriter(self.options["path"], self.options.get("bits", "false") == "true", self.options.get("tokenizer"))
 
 
 class PlanesWriter(DataSourceArrowWriter):
-    """Takes rows (doc_id, ids) in the order in which they are to be stored."""
+    """Takes rows (doc_id, ids), or (doc_id, text) with a tokenizer, in the order in which they are to be stored.
+
+    Texts are encoded here and not in a stage before, so that a task needs one Python worker and not two.
+    """
 
-    def __init__(self, path: str, bits: bool):
-        self.path, self.bits = path, bits
+    def __init__(self, path: str, bits: bool, tokenizer: str | None = None):
+        self.path, self.bits, self.tokenizer = path, bits, tokenizer
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
         from pyspark import TaskContext
@@ -192,9 +198,14 @@ class PlanesWriter(DataSourceArrowWriter):
         with store.open_output_stream(f"{folder}/{file}", compression=None) as out:
             target = PlaneFile(out, self.bits)
             for batch in iterator:
-                for i in range(0, batch.num_rows, 1000):
-                    part = batch.slice(i, 1000)
-                    target.add(part.column("doc_id").cast(pa.int64()), part.column("ids").to_pylist())
+                if self.tokenizer:
+                    for part in slices(batch, [batch.schema.get_field_index("text")]):
+                        ids, ends = tokenizer(self.tokenizer).encoded(part.column("text"), END)
+                        target.add_all(part.column("doc_id").cast(pa.int64()), ids, np.diff(ends).tolist())
+                else:
+                    for i in range(0, batch.num_rows, 1000):
+                        part = batch.slice(i, 1000)
+                        target.add(part.column("doc_id").cast(pa.int64()), part.column("ids").to_pylist())
             n = target.close()
         return Wrote(number, file, n, len(target.counts))
 
@@ -245,31 +256,16 @@ class PlanesReader(DataSourceReader):
                 held, done, i = held[ends[j - 1] - done :], int(ends[j - 1]), j
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids with the end id, in the order of ``docs``."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_qf_t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(path)
-        for batch in batches:
-            for part in slices(batch, [1]):
-                ids, ends = words.encoded(part.column(1), END)
-                column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * ends).astype("i4")), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "ids"])
-
-    return source.mapInArrow(run, "doc_id bigint, ids binary")
-
-
 def write(docs: DataFrame, tokenizer_path: str, out: str, key: str = "doc_id", text: str = "text", bits: bool = False) -> None:
     """Encode ``docs`` and write them to the folder ``out`` in ascending key order.
 
     Ranges are cut by (key, hash of the text), so that rows of one key, or without one, may be many tasks' work.
     """
     docs.sparkSession.dataSource.register(PlanesSource)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_qf_t"))
-    order = ["doc_id", F.xxhash64("_qf_t")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_qf_t")
-    encode(ordered, tokenizer_path, "doc_id", "_qf_t").write.format("qf_planes").option("path", out).option("bits", str(bits).lower()).mode("append").save()
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    ordered.write.format("qf_planes").option("path", out).option("bits", str(bits).lower()).option("tokenizer", tokenizer_path).mode("append").save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,10 @@ block only the sums and one edge per vector (to the smallest vector of its local
 pairs. Components are contracted over these edges.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components, and null labels link with
-nothing (n_links 0, own component); vectors of different length link with nothing; repeated rows are vectors of
-their own and count as links of each other; an empty table gives no rows.
+nothing (n_links 0, own component); vectors of different length don't link with each other; rows without a key link
+with nothing (component null, kept); repeated rows are vectors of their own and count as links of each other; keys are
+taken to be unique otherwise; a cosine equal to the threshold links; other columns, whatever their names, take no part;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,11 +66,16 @@ def bucket_keys(unit: np.ndarray, k: int, tables: int) -> np.ndarray:
     return (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("u4")
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _units(raw: list[bytes]) -> np.ndarray:
+    return unit_vectors(np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1))
+
+
 def compare(unit: np.ndarray, keys: np.ndarray, table: int, ids: np.ndarray, weight: np.ndarray, block: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links that count here, smallest id of the local component) per vector of a unit of work.
 
@@ -115,7 +122,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
     """key, n_links, component_id, kept: one row per input row."""
     v = F.col("v")
-    usable = v.isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    usable = F.col("id").isNotNull() & v.isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label")).withColumn("ok", F.coalesce(usable, F.lit(False)))
     same = F.when(F.col("ok"), F.struct(F.xxhash64("label", "v").alias("x"), F.xxhash64("v", "label", F.lit(5)).alias("y")))
     rows = rows.withColumn("same", same)
@@ -132,7 +139,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
             for dim in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
                 x = part.column(3).flatten().to_numpy().reshape(-1, dim)
-                yield part, x, bucket_keys(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), k, tables)
+                yield part, x, bucket_keys(unit_vectors(x), k, tables)
 
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, keys in unit_batches(batches):
