@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a cut of lineage that outlives executors."""
+_PASSING: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: a cut of lineage that outlives executors.
+
+    Within ``passing`` the table is dropped at the end, unless ``keep``.
+    """
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that ``written`` made."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside serve only results that are written with ``keep`` before the end; they are dropped then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        dropped(spark, *_PASSING.pop())
+
+
 def whole_row(df: DataFrame, **keys: Column) -> DataFrame:
     """``keys`` beside one struct of all columns of ``df``, so that own columns never clash with the input's.
 
