@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import half_up
 from quirefold.operators.islands import islands
+from quirefold.operators.summary import shared, spaced_pieces
 
 #: Largest step across, largest size ratio, largest gap and largest step back within a line, in em, and
 #: the gap from which a blank is put between runs.
@@ -43,6 +44,11 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def in_reading_order(df: DataFrame, keys: list[str], page: list[str], height: str, ties: list[str]) -> DataFrame:
+    """``df`` with line_seq: by page, from the top down, then by the ties."""
+    return df.withColumn("line_seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*page, F.desc(height), *ties)))
+
+
 def group_lines(runs: DataFrame, shared_streams: DataFrame | None = None) -> DataFrame:
     """doc_id, page_index, line_seq (reading order), text, run_seqs, n_runs, x, y, width, size, font_name, fill, blockers, box.
 
@@ -66,22 +72,14 @@ def group_lines(runs: DataFrame, shared_streams: DataFrame | None = None) -> Dat
     part = F.struct("along", "across", "run_seq", "far", "text", "effective_size", "font_name", "fill", "x", "y", "angle", utf16_length(F.col("text")).alias("units"), "n_glyphs", "blockers")
     lines = rows.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(part)).alias("p"), F.min("run_seq").alias("first"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
-    def spaced(p: Column) -> Column:
-        def piece(r: Column, i: Column) -> Column:
-            nxt = F.get(p, i + 1)
-            wide = (nxt["along"] - r["far"] > F.greatest(r["effective_size"], F.lit(1e-6)) * BLANK) & ~r["text"].endswith(" ") & ~nxt["text"].startswith(" ")
-            return F.when(wide, F.concat(r["text"], F.lit(" "))).otherwise(r["text"])
-
-        return F.transform(p, piece)
-
-    lines = lines.withColumn("run_texts", spaced(F.col("p"))).withColumn("text", F.array_join("run_texts", ""))
+    apart = lambda r, nxt: nxt["along"] - r["far"] > F.greatest(r["effective_size"], F.lit(1e-6)) * BLANK
+    lines = lines.withColumn("run_texts", spaced_pieces(F.col("p"), lambda r: r["text"], apart)).withColumn("text", F.array_join("run_texts", ""))
     strongest = F.element_at(F.array_sort(F.transform("p", lambda r, i: F.struct((-r["units"]).alias("u"), i.alias("i"), r.alias("r")))), 1)["r"]
     lines = lines.withColumn("main", strongest)
     all_blockers = F.array_distinct(F.flatten(F.transform("p", lambda r: r["blockers"])))
     sums = lambda f: F.aggregate("p", F.lit(0).cast("long"), lambda s, r: s + r[f])
     mapped = (F.trim("text") != "") & (sums("units") > 0.6 * sums("n_glyphs"))
-    order = Window.partitionBy("doc_id").orderBy("page_index", F.desc("y"), "x", "first")
-    return lines.select(
+    found = lines.select(
         "doc_id",
         "page_index",
         "text",
@@ -97,9 +95,10 @@ def group_lines(runs: DataFrame, shared_streams: DataFrame | None = None) -> Dat
         F.when(mapped, F.array_remove(all_blockers, "no-unicode")).otherwise(all_blockers).alias("blockers"),
         F.struct("x0", "y0", "x1", "y1").alias("box"),
         "first",
-    ).withColumn("line_seq", F.row_number().over(order)).drop("first")
+    )
+    return in_reading_order(found, ["doc_id"], ["page_index"], "y", ["x", "first"]).drop("first")
 
 
 def shared_streams(uses: DataFrame) -> DataFrame:
     """doc_id, stream_key of the streams that several pages show; uses: doc_id, page_index, stream_key."""
-    return uses.groupBy("doc_id", "stream_key").agg(F.count_distinct("page_index").alias("pages")).where("pages > 1").select("doc_id", "stream_key")
+    return shared(uses, ["doc_id", "stream_key"], "page_index").select("doc_id", "stream_key")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, interpret, islands, lines, session
+from quirefold.operators import edit, interpret, islands, lines, session, summary
 from quirefold.sources import pdf
 from quirefold.sources.typeset import typeset
 
@@ -213,8 +213,8 @@ SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS units FROM (SELECT *
 """)
 def dominant_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-04: the largest part, the first one on a tie; a maximum of a struct, without a sort."""
-    best = F.max(F.struct("l_quantity", (-F.col("l_linenumber")).alias("a"), (-F.col("l_partkey")).alias("b"), (-F.col("l_suppkey")).alias("c"), "l_partkey")).alias("m")
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(best).select("l_orderkey", "m.l_partkey", whole(F.col("m.l_quantity")).alias("units"))
+    found = summary.dominant(read(spark, sf_dir, "lineitem").withColumn("part", F.col("l_partkey")), ["l_orderkey"], "l_quantity", ["l_linenumber", "l_partkey", "l_suppkey"], ["part"])
+    return found.select("l_orderkey", F.col("part").alias("l_partkey"), whole(F.col("l_quantity")).alias("units"))
 
 
 @query("""
@@ -222,8 +222,8 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS line_no
 """)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-01 O-02 W-08: positions in an order of three keys and a tie-break."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", whole(F.col("l_linenumber")).alias("line_no"), whole(F.row_number().over(w)).alias("line_seq"))
+    found = lines.in_reading_order(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_shipdate"], "l_quantity", ["l_linenumber", "l_partkey", "l_suppkey"])
+    return found.select("l_orderkey", "l_partkey", "l_suppkey", whole(F.col("l_linenumber")).alias("line_no"), whole(F.col("line_seq")).alias("line_seq"))
 
 
 @query("""
@@ -253,10 +253,9 @@ SELECT l_partkey, CAST(min(l_quantity) AS BIGINT) AS x0, CAST(max(l_quantity + 1
 """)
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-05 P-03: the box around all boxes of a part."""
-    li = read(spark, sf_dir, "lineitem")
-    return li.groupBy("l_partkey").agg(
-        whole(F.min("l_quantity")).alias("x0"), whole(F.max(F.col("l_quantity") + 1)).alias("x1"), whole(F.min("l_linenumber")).alias("y0"), whole(F.max(F.col("l_linenumber") + 1)).alias("y1")
-    )
+    q, y = F.col("l_quantity"), F.col("l_linenumber")
+    found = summary.enclosing(read(spark, sf_dir, "lineitem"), ["l_partkey"], q, y, q + 1, y + 1)
+    return found.select("l_partkey", *[whole(F.col(c)).alias(c) for c in ("x0", "x1", "y0", "y1")])
 
 
 @query("""
@@ -266,22 +265,21 @@ SELECT conv_id, md5(string_agg(piece, '' ORDER BY turn, role, text)) AS text_md5
 """)
 def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-03 W-02 SO-04: turns in order, a blank between two unless one is there."""
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
-    text = lambda i: F.get("p", i)["text"]
-    piece = F.transform("p", lambda r, i: F.when(text(i + 1).isNotNull() & ~r["text"].endswith(" ") & ~text(i + 1).startswith(" "), F.concat(r["text"], F.lit(" "))).otherwise(r["text"]))
-    return turns.select("conv_id", F.md5(F.array_join(piece, "")).alias("text_md5"), F.size("p").cast("long").alias("n_turns"))
+    found = summary.assembled(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], "text")
+    return found.select("conv_id", F.md5("text").alias("text_md5"), F.col("n_parts").alias("n_turns"))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_orderkey) AS n_pages FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")
 def shared_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-07: parts that more than one order shows."""
-    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_pages")).where("n_pages > 1")
+    return summary.shared(read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_orderkey").withColumnRenamed("n_owners", "n_pages")
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
 def repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-08 A-17: texts that occur twice or more, by hash, and their first owner."""
-    return read(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    texts = read(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
+    return summary.repeated(texts, ["text_md5"], "doc_id").withColumnRenamed("first_owner", "first_doc")
 
 
 @query("""
@@ -290,32 +288,31 @@ SELECT l_orderkey, CAST(floor(2 * med + 0.5) AS BIGINT) AS median_2, CAST(sum(ab
 """)
 def median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-12: the median and the sum of absolute deviations, doubled to whole numbers."""
-    per = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("med"), F.collect_list("l_quantity").alias("q"))
-    dev = F.aggregate("q", F.lit(0.0), lambda s, x: s + F.abs(2 * x - 2 * F.col("med")))
-    return per.select("l_orderkey", geometry.half_up(2 * F.col("med")).cast("long").alias("median_2"), whole(dev).alias("deviation_2"), F.size("q").cast("long").alias("n"))
+    per = summary.deviations(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity")
+    return per.select("l_orderkey", geometry.half_up(2 * F.col("median")).cast("long").alias("median_2"), whole(2 * F.col("deviation")).alias("deviation_2"), "n")
 
 
 @query("""
-SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS errors, count(*) FILTER (WHERE o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%') AS warnings, min(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS worst FROM orders GROUP BY o_orderstatus
+SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS errors, count(*) FILTER (WHERE o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%') AS warnings, count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%' AND o_orderpriority NOT LIKE '2%' AND o_orderpriority NOT LIKE '3%') AS infos, CAST(min(CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 2 ELSE 3 END) AS BIGINT) AS worst FROM orders GROUP BY o_orderstatus
 """)
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-09 A-10 O-04: counts by severity and the worst one."""
-    level = F.substring("o_orderpriority", 1, 1).cast("long")
-    return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(level == 1).alias("errors"), F.count_if(level.isin(2, 3)).alias("warnings"), F.min(level).alias("worst"))
+    first = F.substring("o_orderpriority", 1, 1)
+    level = F.when(first == "1", "error").when(first.isin("2", "3"), "warn").otherwise("info")
+    return summary.by_severity(read(spark, sf_dir, "orders"), ["o_orderstatus"], level).select("o_orderstatus", "errors", "warnings", "infos", whole(F.col("worst")).alias("worst"))
 
 
 @query("SELECT quality, bool_or(toxic = 1) AS any_toxic, bool_and(toxic = 1) AS all_toxic, count(*) AS n FROM labels GROUP BY quality")
 def any_all_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-15: any and every."""
-    return read(spark, sf_dir, "labels").groupBy("quality").agg(F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.bool_and(F.col("toxic") == 1).alias("all_toxic"), F.count("*").alias("n"))
+    return summary.any_and_all(read(spark, sf_dir, "labels"), ["quality"], F.col("toxic") == 1).withColumnsRenamed({"some": "any_toxic", "every": "all_toxic"})
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS n FROM ((SELECT text FROM documents) EXCEPT ALL (SELECT text FROM documents JOIN labels USING (doc_id))) GROUP BY text")
 def text_multiset_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-16: the multiset of texts without the labelled ones."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    key = F.md5("text").alias("text_md5")
-    return docs.select(key).exceptAll(docs.join(labels, "doc_id").select(key)).groupBy("text_md5").agg(F.count("*").alias("n"))
+    return summary.multiset_difference(docs, docs.join(labels, "doc_id"), F.md5("text").alias("text_md5"))
 
 
 # --- joins and sets --------------------------------------------------------------------------------------------------
@@ -324,7 +321,7 @@ def text_multiset_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)")
 def locked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-13: documents that no label locks."""
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_anti")
+    return summary.unlocked(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").where("toxic = 1"), ["doc_id"])
 
 
 @query("""
@@ -333,7 +330,8 @@ SELECT o_orderkey, CAST(l_linenumber AS BIGINT) AS pos, l_partkey, p_brand, CAST
 def edits_lines_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-01 J-02 J-03: inner, inner, left."""
     o, li, p = (read(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))
-    joined = o.select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    runs = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    joined = summary.edited_runs(o.select("o_orderkey"), o.select("o_orderkey"), runs, p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), ["o_orderkey"], [], ["l_partkey"])
     return joined.select("o_orderkey", whole(F.col("l_linenumber")).alias("pos"), "l_partkey", "p_brand", whole(F.col("l_quantity")).alias("units"))
 
 
@@ -343,8 +341,10 @@ SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 5000 THEN n_name END, r_name, '
 def stream_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-04: the first stream if there is one, else the second."""
     s, n, r = (read(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.select("s_suppkey", F.coalesce(F.when(F.col("s_acctbal") > 5000, F.col("n_name")), "r_name", F.lit("none")).alias("stream"))
+    rows = s.select("s_suppkey", F.when(F.col("s_acctbal") > 5000, F.col("s_nationkey")).alias("own"), "s_nationkey")
+    names = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("other"), F.col("r_name").alias("name"))
+    own = n.select(F.col("n_nationkey").alias("first"), F.col("n_name").alias("name"))
+    return summary.own_or_other(rows, (own, F.col("own") == F.col("first")), (names, F.col("s_nationkey") == F.col("other")), "name", "stream", "none").select("s_suppkey", "stream")
 
 
 @query("""
@@ -353,49 +353,40 @@ SELECT p_partkey, CAST(coalesce(arg_max(w, seq), 1000) AS BIGINT) AS width FROM
 """)
 def width_ranges_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-09: the last range that holds a code, else the default; ranges are exploded to codes, so the join is by equality."""
-    n = read(spark, sf_dir, "nation")
-    codes = n.select("n_nationkey", (100 * F.col("n_regionkey") + F.col("n_nationkey")).alias("w"), F.explode(F.sequence(F.col("n_nationkey"), F.col("n_nationkey") + 10)).alias("code"))
-    last = codes.groupBy("code").agg(F.max_by("w", "n_nationkey").alias("w"))
-    return read(spark, sf_dir, "part").join(last, F.col("p_size") == F.col("code"), "left").select("p_partkey", F.coalesce("w", F.lit(1000)).cast("long").alias("width"))
+    n, at = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    ranges = n.select(at.alias("seq"), at.alias("lo"), (at + 10).alias("hi"), (100 * F.col("n_regionkey") + at).alias("width"))
+    codes = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("code"))
+    return summary.last_range(codes, "code", ranges, 1000).select("p_partkey", "width")
 
 
-_TREE = """
-WITH RECURSIVE tree(kind, id, name, depth) AS (
-  SELECT 'r', CAST(r_regionkey AS BIGINT), r_name, 0 FROM region
-  UNION ALL
-  SELECT e.kind, e.id, tree.name, tree.depth + 1
-  FROM tree JOIN (SELECT 'r' AS up, CAST(n_regionkey AS BIGINT) AS up_id, 'n' AS kind, CAST(n_nationkey AS BIGINT) AS id FROM nation
-                  UNION ALL SELECT 'n', CAST(c_nationkey AS BIGINT), 'c', c_custkey FROM customer) e ON tree.kind = e.up AND tree.id = e.up_id
-)
-SELECT kind, id, name, CAST(depth AS BIGINT) AS depth FROM tree
-"""
-
-
-@query(_TREE)
+@query("""
+SELECT 'r' AS kind, CAST(r_regionkey AS BIGINT) AS id, r_name AS name, CAST(0 AS BIGINT) AS depth FROM region
+UNION ALL SELECT 'n', CAST(n_nationkey AS BIGINT), r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'c', CAST(c_custkey AS BIGINT), r_name, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
 def page_tree_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-05: what the root of a tree says holds for everything below it."""
-    for name in ("region", "nation", "customer"):
-        read(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(_TREE)
+    r, n, c = (read(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    level = lambda df, kind, id_, up: df.select(F.lit(kind).alias("kind"), whole(F.col(id_)).alias("id"), whole(F.col(up)).alias("up"))
+    roots = r.select(F.lit("r").alias("kind"), whole(F.col("r_regionkey")).alias("id"), F.col("r_name").alias("value"))
+    return summary.inherited(roots, [level(n, "n", "n_nationkey", "n_regionkey"), level(c, "c", "c_custkey", "c_nationkey")]).withColumnRenamed("value", "name")
 
 
-_FORMS = """
-WITH RECURSIVE flat(root, id, depth, path) AS (
-  SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0, '/' || n_nationkey || '/' FROM nation
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(c_custkey AS BIGINT) AS up, CAST(c_custkey * 7 % (SELECT count(*) FROM customer) + 1 AS BIGINT) AS id FROM customer),
+flat(root, id, depth, path) AS (
+  SELECT up, up, 0, [up] FROM e
   UNION ALL
-  SELECT flat.root, e.id, flat.depth + 1, flat.path || e.id || '/'
-  FROM flat JOIN (SELECT CAST(n_nationkey AS BIGINT) AS up, CAST((n_nationkey * 7 + n_regionkey) % 25 AS BIGINT) AS id FROM nation) e ON flat.id = e.up
-  WHERE flat.depth < 8 AND instr(flat.path, '/' || e.id || '/') = 0
+  SELECT flat.root, e.id, flat.depth + 1, list_append(flat.path, e.id) FROM flat JOIN e ON flat.id = e.up WHERE flat.depth < 8 AND NOT list_contains(flat.path, e.id)
 )
-SELECT root, id, CAST(depth AS BIGINT) AS depth, path FROM flat
-"""
-
-
-@query(_FORMS)
+SELECT root, id, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path FROM flat
+""")
 def form_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-14: nested uses, flattened, with the depth limit and the guard against cycles."""
-    read(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql(_FORMS)
+    """I-14: nested uses, flattened, with the depth limit and the guard against cycles; customers stand in for forms."""
+    customers = read(spark, sf_dir, "customer").select(whole(F.col("c_custkey")).alias("up"))
+    uses = customers.withColumn("id", F.col("up") * 7 % F.lit(customers.count()) + 1)
+    found = summary.flattened(customers.select(F.col("up").alias("id")), uses)
+    return found.select("root", "id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 @query("""
@@ -403,9 +394,8 @@ SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'
 """)
 def edited_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-01 SO-02: a union of keys, less those still in use."""
-    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    either = o.where("o_orderstatus = 'O'").select("o_orderkey").union(li.where("l_returnflag = 'R'").select("l_orderkey")).distinct()
-    return either.join(li.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return summary.touched(o.where("o_orderstatus = 'O'"), li.where("l_returnflag = 'R'"), still_used=li.where("l_linestatus = 'F'"), key="o_orderkey")
 
 
 @query("SELECT conv_id, turn, true AS whole FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations) WHERE nxt IS NOT NULL")
@@ -474,8 +464,7 @@ def subset_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c AS ch, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
 def unencodable_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-13 A-11: characters outside a font's repertoire (here ASCII), and how often; the rest never leaves its row."""
-    chars = read(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace("text", r"[\x00-\x7F]", ""), "")).alias("ch"))
-    return chars.where("ch != ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return summary.outside(read(spark, sf_dir, "documents"), "text", r"\x00-\x7F")
 
 
 @query(f"SELECT doc_id, md5(translate(text, '{fonts.FOLD_FROM}', '{fonts.FOLD_TO.replace(chr(39), chr(39) * 2)}')) AS folded_md5 FROM documents")
@@ -516,7 +505,5 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(list_min(list_filte
 """)
 def zoom_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-06 P-18: the next level above and below."""
-    levels, at = F.array(*[F.lit(z) for z in (25, 50, 75, 100, 150, 200, 400)]), F.col("l_quantity") * 8
-    return read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", whole(F.col("l_linenumber")).alias("pos"), F.array_min(F.filter(levels, lambda z: z > at)).cast("long").alias("zoom_in"), F.array_max(F.filter(levels, lambda z: z < at)).cast("long").alias("zoom_out")
-    )
+    step = summary.zoom_steps(F.col("l_quantity") * 8)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), step["up"].cast("long").alias("zoom_in"), step["down"].cast("long").alias("zoom_out"))
\ No newline at end of file

@@ -1,4 +1,9 @@
-"""Edit sessions as streams: the coalescer of ``operators.session`` with its state kept between micro-batches."""
+"""Edit sessions as streams: the coalescer of ``operators.session`` with its state kept between micro-batches.
+
+Timeouts are by the clock, so an idle stream would run empty batches without end; switch them off with
+``spark.sql.streaming.noDataMicroBatches.enabled=false`` where that matters: sessions are then forgotten with the next
+batch that has rows.
+"""
 
 from __future__ import annotations
 
