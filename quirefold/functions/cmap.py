@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from quirefold.functions.fonts import ASCENT, DESCENT, DEFAULT_WIDTH, char_width
+from quirefold.functions.fonts import ASCENT, DEFAULT_WIDTH, DESCENT, char_width, encoded_text, face_of
 from quirefold.functions.lexer import Name, operations
 
 #: Most codes that one range may name.
@@ -99,27 +99,40 @@ class Glyph:
 
 class Font:
     """Decodes strings to glyphs. ``spec`` is a plain dictionary (JSON): base, type0, widths {code: w}, first, missing,
-    default_width, to_unicode (hex of the program), differences {code: text}, encoding (a Python codec), cid_widths
-    [[first, last, w], ...] where later entries win."""
+    default_width, to_unicode (hex of the program), differences {code: text}, encoding (a Python codec, or standard, symbol,
+    dingbats or none), cid_widths [[first, last, w], ...] where later entries win, cmap (hex of an embedded encoding
+    program) or cmap_name, ascent and descent (thousandths), subset, type3."""
 
     def __init__(self, spec: dict):
         self.spec = spec
         self.base = spec.get("base", "Helvetica")
         self.type0 = bool(spec.get("type0"))
-        self.face = "Courier" if "Courier" in self.base else "Helvetica"
-        self.ascent, self.descent = ASCENT[self.face], DESCENT[self.face]
+        self.face = face_of(self.base)
+        self.ascent = spec["ascent"] / 1000 if spec.get("ascent") else ASCENT[self.face]
+        self.descent = spec["descent"] / 1000 if spec.get("descent") else DESCENT[self.face]
         self.cmap = parse_cmap(bytes.fromhex(spec["to_unicode"])) if spec.get("to_unicode") else None
-        self.codes = CMap(codespaces=[(0, 0xFFFF, 2)])
+        name = spec.get("cmap_name") or "Identity-H"
+        self.codes = parse_cmap(bytes.fromhex(spec["cmap"])) if spec.get("cmap") else CMap(codespaces=[(0, 0xFFFF, 2)], vertical=name == "Identity-V")
+        self.issues = [] if spec.get("cmap") or name in ("Identity-H", "Identity-V") else [f"predefined-cmap:{name}"]
         self.widths = {int(k): float(v) for k, v in spec.get("widths", {}).items()}
         self.differences = {int(k): v for k, v in spec.get("differences", {}).items()}
         self.codec = spec.get("encoding", "cp1252")
 
+    @property
+    def vertical(self) -> bool:
+        return self.type0 and self.codes.vertical
+
+    def _named(self, code: int) -> str:
+        """What the encoding says about a code of a simple font, differences first."""
+        return self.differences.get(code) or encoded_text(self.codec, code)
+
     def _text(self, code: int, n: int) -> str:
         if self.cmap and (found := self.cmap.uni.get((n, code))):
             return found
-        if self.type0:
-            return ""
-        return self.differences.get(code) or bytes([code]).decode(self.codec, "ignore")
+        return "" if self.type0 else self._named(code)
+
+    def _cid(self, code: int, n: int) -> int:
+        return self.codes.cids.get((n, code), 0) if self.codes.cids else code
 
     def _width(self, code: int, cid: int, text: str) -> float:
         if self.type0:
@@ -134,8 +147,29 @@ class Font:
     def glyphs(self, data: bytes) -> list[Glyph]:
         out = []
         for code, n in self.codes.decode(data) if self.type0 else [(b, 1) for b in data]:
-            text = self._text(code, n)
-            out.append(Glyph(code, n, code, text, self._width(code, code, text)))
+            text, cid = self._text(code, n), self._cid(code, n)
+            out.append(Glyph(code, n, cid, text, self._width(code, cid, text)))
+        return out
+
+    def repertoire(self) -> list[tuple[int, int, str, float, int]]:
+        """(code, byte length, text, width, rank) of all codes that can be written: rank 0 by ToUnicode, 1 by the
+        encoding, 2 plain ASCII. Codes of a subset count only where widths attest them; none in vertical fonts and in
+        fonts with an unknown predefined map."""
+        if self.vertical or self.issues:
+            return []
+        found = []
+        for (n, code), text in (self.cmap.uni if self.cmap else {}).items():
+            if self.type0 or code < 256:
+                found.append((code, n if self.type0 else 1, text, 0))
+        if not self.type0:
+            found += [(code, 1, text, 1) for code in range(256) if (text := self._named(code))]
+            found += [(code, 1, chr(code), 2) for code in range(32, 127) if self.codec != "none" and not self._named(code)]
+        out = []
+        for code, n, text, rank in found:
+            cid = self._cid(code, n)
+            attested = any(lo <= cid <= hi for lo, hi, _ in self.spec.get("cid_widths", [])) if self.type0 else code in self.widths
+            if text and not (self.type0 and cid == 0 and code) and (attested or not self.spec.get("subset")):
+                out.append((code, n, text, self._width(code, cid, text), rank))
         return out
 
     @cached_property

@@ -15,20 +15,74 @@ HELVETICA = (
 )
 #: Helvetica's letters that are no base letter with an accent.
 HELVETICA_OTHER = {"ß": 611, "æ": 889, "Æ": 1000, "ø": 611, "Ø": 778, "ì": 278, "í": 278, "î": 278, "ï": 278, "ð": 556, "þ": 556, "Ð": 722, "Þ": 667, "¡": 333, "¿": 611, "«": 556, "»": 556, "©": 737, "®": 737, "°": 400, "·": 278, "–": 556, "—": 1000, "‘": 222, "’": 222, "“": 333, "”": 333, "•": 350, "…": 1000, "€": 556}
-ASCENT = {"Helvetica": 0.718, "Courier": 0.629}
-DESCENT = {"Helvetica": -0.207, "Courier": -0.157}
+#: Advance widths of Helvetica-Bold, Times-Roman and Times-Bold for character codes 32 to 126.
+OTHER_FACES = {
+    "Helvetica-Bold": (
+        278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611,
+        975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556,
+        333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584,
+    ),
+    "Times-Roman": (
+        250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444,
+        921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500,
+        333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541,
+    ),
+    "Times-Bold": (
+        250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500,
+        930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500,
+        333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520,
+    ),
+}
+ASCENT = {"Helvetica": 0.718, "Helvetica-Bold": 0.718, "Courier": 0.629, "Times-Roman": 0.683, "Times-Bold": 0.683}
+DESCENT = {"Helvetica": -0.207, "Helvetica-Bold": -0.207, "Courier": -0.157, "Times-Roman": -0.217, "Times-Bold": -0.217}
 #: Width of a glyph that the face doesn't have.
 DEFAULT_WIDTH = 500
+#: The standard encoding where it differs from ASCII; two strings of codes and characters each.
+STANDARD = {39: "’", 96: "‘"} | dict(zip([*range(161, 176), *range(177, 181), *range(182, 190), 191, *range(193, 201), 202, 203, *range(205, 209), 225, 227, *range(232, 236), 241, 245, *range(248, 252)], "¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ–†‡·¶•‚„”»…‰¿`´ˆ˜¯˘˙¨˚¸˝˛ˇ—ÆªŁØŒºæıłøœß"))
+#: The symbol encoding where it differs from ASCII.
+SYMBOL = (
+    dict(zip([34, 36, 39, 42, 45, 64, 92, 94], "∀∃∋∗−≅∴⊥")) | dict(zip(range(65, 91), "ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ")) | dict(zip(range(97, 123), "αβχδεφγηιϕκλμνοπθρστυϖωξψζ"))
+    | dict(zip([163, 165, *range(171, 178), 179, 180, *range(182, 189), 206, 213, 214, 229, 242], "≤∞↔←↑→↓°±≥×∂•÷≠≡≈…∈∏√∑∫"))
+)
+#: Dingbats that don't follow from their code.
+DINGBATS = dict(zip([0x25, 0x2A, 0x2B, 0x48, 0x6C, 0x6E, 0x73, 0x74, 0x75, 0x77, 0xA8, 0xA9, 0xAA, 0xAB, 0xD5, 0xD6, 0xD7], "☎☛☞★●■▲▼◆◗♣♦♥♠→↔↕"))
+
+
+def encoded_text(encoding: str, code: int) -> str:
+    """The text of a code: a Python codec, or one of the encodings that fonts alone use; empty if there is none."""
+    if encoding == "none":
+        return ""
+    if encoding == "standard":
+        return STANDARD.get(code) or (chr(code) if 32 <= code < 127 else "")
+    if encoding == "symbol":
+        return SYMBOL.get(code) or (chr(code) if 32 <= code < 65 or code in b"[]_{|}" else "")
+    if encoding == "dingbats":
+        first = 0x2700 if code < 0x7F else 0x2760 if code < 0xA8 else 0x2460 if code < 0xB6 else 0x2776 if code < 0xD4 else 0x2794
+        base = 0x20 if code < 0x7F else 0xA0 if code < 0xA8 else 0xAC if code < 0xB6 else 0xB6 if code < 0xD4 else 0xD4
+        return DINGBATS.get(code) or (" " if code == 32 else chr(first + code - base) if 33 <= code < 0x7F or 0xA1 <= code < 0xFF and code != 0xF0 else "")
+    return bytes([code]).decode(encoding, "ignore")
+
+
+def face_of(base: str) -> str:
+    """The standard face whose widths stand in for a font, by its name."""
+    name = base.split("+")[-1].lower()
+    bold = "bold" in name or "black" in name or "heavy" in name
+    if "courier" in name or "mono" in name:
+        return "Courier"
+    if "times" in name or "roman" in name or "serif" in name and "sans" not in name:
+        return "Times-Bold" if bold else "Times-Roman"
+    return "Helvetica-Bold" if bold else "Helvetica"
 
 
 def char_width(char: str, face: str = "Helvetica") -> int:
     """Thousandths of an em; an accented letter is as wide as its base letter."""
     if face == "Courier":
         return 600
-    if char in HELVETICA_OTHER:
+    if face == "Helvetica" and char in HELVETICA_OTHER:
         return HELVETICA_OTHER[char]
     base = unicodedata.normalize("NFD", char)[:1]
-    return HELVETICA[ord(base) - 32] if " " <= base <= "~" else DEFAULT_WIDTH
+    table = OTHER_FACES.get(face, HELVETICA)
+    return table[ord(base) - 32] if " " <= base <= "~" else DEFAULT_WIDTH
 
 
 def width_rows(face: str = "Helvetica") -> list[tuple[str, int]]:
@@ -46,10 +100,10 @@ def style_flags(name: Column, flags: Column) -> Column:
     """struct<bold,italic,family> by name or descriptor flags (bit 1 fixed pitch, bit 2 serif, bit 7 italic, bit 19 bold)."""
     bit = lambda k: F.shiftright(F.coalesce(flags, F.lit(0)), k - 1).bitwiseAND(1) == 1
     mono = name.rlike("(?i)courier|mono|consol|typewriter") | bit(1)
-    serif = name.rlike("(?i)times|serif|roman|georgia|garamond|minion") & ~name.rlike("(?i)sans") | bit(2)
+    serif = name.rlike("(?i)times|serif|roman|georgia|garamond|minion|palatino|bookman|century|cambria|didot|baskerville|caslon|charter|book ?antiqua") & ~name.rlike("(?i)sans") | bit(2)
     return F.struct(
-        (name.rlike("(?i)bold|black|heavy|semibold|demi") | bit(19)).alias("bold"),
-        (name.rlike("(?i)italic|oblique") | bit(7)).alias("italic"),
+        (name.rlike("(?i)bold|black|heavy|semibold|demi|[-,]bd") | bit(19)).alias("bold"),
+        (name.rlike("(?i)italic|oblique|[-,](bd)?it([^a-z]|$)") | bit(7)).alias("italic"),
         F.when(mono, "monospace").when(serif, "serif").otherwise("sans-serif").alias("family"),
     )
 

@@ -69,9 +69,35 @@ def unfilter(name: bytes, data: bytes) -> bytes:
             out += data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n)
             at += 2 + n if n < 128 else 2
         return bytes(out)
+    if name in (b"LZWDecode", b"LZW"):
+        return lzw(data)
     raise ValueError(f"no such filter: {name!r}")
 
 
+def lzw(data: bytes) -> bytes:
+    """Variable-width codes, the highest bit first, each width used one code early; 256 clears, 257 ends."""
+    table: list[bytes] = []
+    out, width, held, bits, last = bytearray(), 9, 0, 0, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [], 9, b""
+            continue
+        own = bytes([code]) if code < 256 else table[code - 258] if code - 258 < len(table) else last + last[:1]
+        if last:
+            table.append(last + own[:1])
+        out += own
+        last = own
+        width = 9 + (len(table) >= 253) + (len(table) >= 765) + (len(table) >= 1789)
+    return bytes(out)
+
+
 @dataclass
 class PdfFile:
     """The objects of one file by number; later definitions win."""
@@ -182,11 +208,22 @@ class PdfFile:
         """The description that ``Font`` takes, as JSON."""
         name = lambda v: v.decode("latin-1") if isinstance(v, bytes) else ""
         spec: dict = {"base": name(self.look(font, b"BaseFont")), "type0": self.look(font, b"Subtype") == b"Type0"}
+        spec["subset"] = re.match(r"[A-Z]{6}\+", spec["base"]) is not None
+        holder = font
+        if spec["type0"]:
+            kids = self.look(font, b"DescendantFonts")
+            holder = kids[0] if isinstance(kids, list) and kids else None
+        for key, entry in (("ascent", b"Ascent"), ("descent", b"Descent"), ("flags", b"Flags")):
+            if isinstance(value := self.look(holder, b"FontDescriptor", entry), float):
+                spec[key] = value
         if (program := self.content(self.look(font, b"ToUnicode"))) is not None:
             spec["to_unicode"] = program.hex()
         if spec["type0"]:
-            below = self.look(font, b"DescendantFonts")
-            below = below[0] if isinstance(below, list) and below else None
+            below, encoding = holder, self.look(font, b"Encoding")
+            if isinstance(encoding, Stream) and (program := self.content(encoding)) is not None:
+                spec["cmap"] = program.hex()
+            elif isinstance(encoding, Name):
+                spec["cmap_name"] = name(encoding)
             widths, k, ranges = [self.get(w) for w in self.look(below, b"W") or []], 0, []
             while k + 1 < len(widths):
                 if isinstance(widths[k + 1], list):
@@ -204,7 +241,9 @@ class PdfFile:
         spec["missing"] = self.look(font, b"FontDescriptor", b"MissingWidth") or 0
         encoding = self.look(font, b"Encoding")
         base = self.look(encoding, b"BaseEncoding") if isinstance(encoding, dict) else encoding
-        spec["encoding"] = "mac_roman" if base == b"MacRomanEncoding" else "cp1252"
+        type3, symbolic = self.look(font, b"Subtype") == b"Type3", int(spec.get("flags", 0)) & 4
+        builtin = {"Symbol": "symbol", "ZapfDingbats": "dingbats"}.get(spec["base"], "none" if type3 or symbolic else "standard")
+        spec["encoding"] = {b"MacRomanEncoding": "mac_roman", b"WinAnsiEncoding": "cp1252", b"StandardEncoding": "standard"}.get(base, builtin)
         code, differences = 0, {}
         for item in (self.look(encoding, b"Differences") if isinstance(encoding, dict) else None) or []:
             if isinstance(item, float):
@@ -225,14 +264,43 @@ class PdfFile:
         return fonts, forms
 
 
-def build_pdf(contents: list[bytes], compress: bool = True, width: int = 612, height: int = 792) -> bytes:
-    """A file with one page per content stream, whose F1 is Helvetica."""
-    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
-    kids = []
-    for content in contents:
+def name_bytes(name: str) -> bytes:
+    """A name with its slash; what is no regular character becomes #XX."""
+    return b"/" + b"".join(bytes([c]) if 0x21 <= c <= 0x7E and c not in b"()<>[]{}/%#" else b"#%02X" % c for c in name.encode("latin-1", "replace"))
+
+
+def font_objects(spec: dict, first: int) -> list[bytes]:
+    """The objects of a font, numbered from ``first``; the first of them is the font."""
+    base = name_bytes(spec.get("base", "Helvetica"))
+    stream = lambda program: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(program), program)
+    unicode = stream(bytes.fromhex(spec["to_unicode"])) if spec.get("to_unicode") else None
+    if spec.get("type0"):
+        cmap = stream(bytes.fromhex(spec["cmap"])) if spec.get("cmap") else None
+        widths = b" ".join(b"%d %d %g" % (lo, hi, w) for lo, hi, w in spec.get("cid_widths", []))
+        below = b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont %s /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW %g /W [%s] >>" % (base, spec.get("default_width", 1000), widths)
+        more = [x for x in (unicode, cmap) if x is not None]
+        encoding = b"%d 0 R" % (first + 1 + len(more)) if cmap is not None else name_bytes(spec.get("cmap_name") or "Identity-H")
+        to = b" /ToUnicode %d 0 R" % (first + 2) if unicode is not None else b""
+        return [b"<< /Type /Font /Subtype /Type0 /BaseFont %s /Encoding %s /DescendantFonts [%d 0 R]%s >>" % (base, encoding, first + 1, to), below, *more]
+    named = {"cp1252": b" /Encoding /WinAnsiEncoding", "mac_roman": b" /Encoding /MacRomanEncoding", "standard": b" /Encoding /StandardEncoding"}.get(spec.get("encoding", "cp1252"), b"")
+    widths = {int(k): v for k, v in spec.get("widths", {}).items()}
+    listed = b" /FirstChar %d /LastChar %d /Widths [%s]" % (min(widths), max(widths), b" ".join(b"%g" % widths.get(k, 0) for k in range(min(widths), max(widths) + 1))) if widths else b""
+    to = b" /ToUnicode %d 0 R" % (first + 1) if unicode is not None else b""
+    return [b"<< /Type /Font /Subtype /Type1 /BaseFont %s%s%s%s >>" % (base, named, listed, to), *([unicode] if unicode is not None else [])]
+
+
+def build_pdf(contents: list[bytes], compress: bool = True, width: int = 612, height: int = 792, fonts: list[dict[str, str]] | None = None) -> bytes:
+    """A file with one page per content stream; fonts: per page, resource names and specifications (F1 is Helvetica if none)."""
+    fonts = fonts or [{"F1": json.dumps({"base": "Helvetica", "encoding": "cp1252"})}] * len(contents)
+    bodies, kids, at = [b"<< /Type /Catalog /Pages 2 0 R >>", b""], [], {}
+    for spec in dict.fromkeys(spec for page in fonts for spec in page.values()):
+        at[spec] = len(bodies) + 1
+        bodies += font_objects(json.loads(spec), at[spec])
+    for content, own in zip(contents, fonts):
         packed = zlib.compress(content) if compress else content
         kids.append(len(bodies) + 1)
-        bodies.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (len(bodies) + 2))
+        named = b" ".join(b"%s %d 0 R" % (name_bytes(name), at[spec]) for name, spec in own.items())
+        bodies.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << %s >> >> /Contents %d 0 R >>" % (named, len(bodies) + 2))
         bodies.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" if compress else b"", packed))
     bodies[1] = b"<< /Type /Pages /MediaBox [0 0 %d %d] /Count %d /Kids [%s] >>" % (width, height, len(kids), b" ".join(b"%d 0 R" % k for k in kids))
     out, offsets = bytearray(b"%PDF-1.7\n"), []

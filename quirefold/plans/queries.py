@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, interpret, islands, lines, session, summary
+from quirefold.operators import edit, encode, interpret, islands, lines, session, summary
 from quirefold.sources import pdf
 from quirefold.sources.typeset import typeset
 
@@ -129,6 +129,36 @@ def pdf_roundtrip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
+@query("""
+SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, CASE WHEN generate_subscripts(l, 1) = 1 AND trim(l[1]) <> '' THEN 'Edited: ' || l[1] ELSE unnest(l) END AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+""")
+def edit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-07 J-01 J-02 J-11 K-01 K-04 K-05 K-06 K-10: the first line of every document is edited; the files are written,
+    read again and grouped into lines."""
+    pages = typeset(read(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    runs = interpret.text_runs(pages)
+    found = lines.group_lines(runs)
+    first = found.where("line_seq = 1").select("doc_id", "line_seq", F.concat(F.lit("Edited: "), "text").alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
+    edited, _ = encode.apply_edits(pages, runs, found, first)
+    again = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(edited))))
+    return again.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
+
+
+_GREEK = ("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπ;ρστθωςχυζ")
+
+
+@query(f"""
+SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS text
+FROM (SELECT doc_id, string_split(translate(text, '{_GREEK[0]}', '{_GREEK[1]}') || chr(10) || '中文 😀 ' || doc_id, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+""")
+def composite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-20 J-10 F-05: texts in other scripts, typeset in a composite font with its own code map, written, read and grouped."""
+    texts = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.translate("text", *_GREEK), F.lit("\n中文 😀 "), F.col("doc_id").cast("string")).alias("text"))
+    found = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(typeset(texts)))))
+    return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
+
+
 # --- windows ---------------------------------------------------------------------------------------------------------
 
 

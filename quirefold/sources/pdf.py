@@ -79,13 +79,15 @@ def page_geometry(found: DataFrame) -> DataFrame:
 
 
 def documents(streams: DataFrame, compress: bool = True) -> DataFrame:
-    """doc_id, content: one file per document from its page streams (doc_id, page_index, content)."""
+    """doc_id, content: one file per document from its page streams (doc_id, page_index, content and, if there, fonts)."""
+    own = "fonts" in streams.columns
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("page_index")
-        return pd.DataFrame({"doc_id": [ordered["doc_id"].iloc[0]], "content": [build_pdf([bytes(c) for c in ordered["content"]], compress)]})
+        fonts = [dict(f or {}) for f in ordered["fonts"]] if own else None
+        return pd.DataFrame({"doc_id": [ordered["doc_id"].iloc[0]], "content": [build_pdf([bytes(c) for c in ordered["content"]], compress, fonts=fonts)]})
 
-    return streams.select("doc_id", "page_index", "content").groupBy("doc_id").applyInPandas(together, "doc_id bigint, content binary")
+    return streams.select("doc_id", "page_index", "content", *(["fonts"] if own else [])).groupBy("doc_id").applyInPandas(together, "doc_id bigint, content binary")
 
 
 def save(found: DataFrame, folder: str) -> None:
