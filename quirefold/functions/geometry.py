@@ -63,6 +63,23 @@ def overlap(r: Column, s: Column) -> Column:
     return (r["x"] < s["x"] + s["width"]) & (s["x"] < r["x"] + r["width"]) & (r["y"] < s["y"] + s["height"]) & (s["y"] < r["y"] + r["height"])
 
 
+def transformed_box(m: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """struct<x,y,width,height>: the upright box around a transformed box."""
+    corners = [apply(m, x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    xs, ys = [c["x"] for c in corners], [c["y"] for c in corners]
+    return rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+
+def union_rect(r: Column, s: Column) -> Column:
+    """The smallest rectangle around two."""
+    return rect(F.least(r["x"], s["x"]), F.least(r["y"], s["y"]), F.greatest(r["x"] + r["width"], s["x"] + s["width"]), F.greatest(r["y"] + r["height"], s["y"] + s["height"]))
+
+
+def baseline_ratio(ascent: Column, descent: Column) -> Column:
+    """How far below the top of a line its baseline is, as a share of the size; both in em, half of the leading above."""
+    return (1 - (ascent + descent)) / 2 + ascent
+
+
 def to_screen(rotation: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
     """struct<x,y> of a page point on a y-down screen for a page turned by 0, 90, 180 or 270 degrees."""
     sx = F.when(rotation == 90, y).when(rotation == 180, width - x).when(rotation == 270, height - y).otherwise(x)

@@ -253,15 +253,62 @@ class PdfFile:
                 code += 1
         return json.dumps({**spec, "differences": differences})
 
+    def fonts_of(self, holder: object) -> dict[str, str]:
+        return {k.decode("latin-1"): self.font_spec(v) for k, v in (self.look(holder, b"Resources", b"Font") or {}).items()}
+
+    def space_kind(self, value: object, depth: int = 0) -> str:
+        """gray, rgb, cmyk, tint or unknown."""
+        value = self.get(value)
+        family = self.get(value[0]) if isinstance(value, list) and value else value
+        if not isinstance(family, Name) or depth > 4:
+            return "unknown"
+        if family == b"ICCBased":
+            return {1.0: "gray", 3.0: "rgb", 4.0: "cmyk"}.get(self.look(value[1], b"N") if len(value) > 1 else None, "unknown")
+        if family in (b"Separation", b"DeviceN"):
+            return "tint"
+        return {b"DeviceGray": "gray", b"CalGray": "gray", b"DeviceRGB": "rgb", b"CalRGB": "rgb", b"Lab": "rgb", b"DeviceCMYK": "cmyk"}.get(bytes(family), "unknown")
+
+    def spaces_of(self, holder: object) -> dict[str, str]:
+        named = self.look(holder, b"Resources", b"ColorSpace") or {}
+        out = {}
+        for k, v in named.items():
+            for _ in range(4):  # a name may stand for another one
+                if not (isinstance(own := self.get(v), Name) and own in named):
+                    break
+                v = named[own]
+            out[k.decode("latin-1")] = self.space_kind(v)
+        return out
+
+    def signed(self) -> bool:
+        """True if the form of the file says that there are signatures."""
+        root = next((o for o in self.objects.values() if isinstance(o, dict) and o.get(b"Type") == b"Catalog"), None)
+        flags = self.look(root, b"AcroForm", b"SigFlags")
+        return isinstance(flags, float) and flags > 0
+
     def resources(self, holder: object) -> tuple[dict[str, str], dict[str, dict]]:
-        """Fonts and forms by resource name."""
-        fonts = {k.decode("latin-1"): self.font_spec(v) for k, v in (self.look(holder, b"Resources", b"Font") or {}).items()}
-        forms = {}
+        """Fonts by resource name; forms by the page's resource name, and those only shown by other forms by their object."""
+        forms: dict[str, dict] = {}
+
+        def add(at: str, value: object, key: str) -> None:
+            data = self.content(value)
+            if data is None or at in forms:
+                return
+            matrix = self.look(value, b"Matrix")
+            own = self.look(value, b"Resources")
+            forms[at] = found = {"content": data, "matrix": [float(x) for x in matrix] if isinstance(matrix, list) and len(matrix) == 6 else None, "key": key, "fonts": self.fonts_of(value) if own else None, "names": None}
+            if own:
+                found["names"] = {}
+                for k, v in (self.look(value, b"Resources", b"XObject") or {}).items():
+                    if self.look(v, b"Subtype") == b"Form":
+                        inner = f"{v.number} {v.generation} R" if isinstance(v, Ref) else f"{key}/{k.decode('latin-1')}"
+                        found["names"][k.decode("latin-1")] = f"#{inner}"
+                        add(f"#{inner}", v, inner)
+
         for k, v in (self.look(holder, b"Resources", b"XObject") or {}).items():
-            if self.look(v, b"Subtype") == b"Form" and (data := self.content(v)) is not None:
-                matrix = self.look(v, b"Matrix")
-                forms[k.decode("latin-1")] = {"content": data, "matrix": [float(x) for x in matrix] if isinstance(matrix, list) and len(matrix) == 6 else None}
-        return fonts, forms
+            if self.look(v, b"Subtype") == b"Form":
+                name = k.decode("latin-1")
+                add(name, v, f"{v.number} {v.generation} R" if isinstance(v, Ref) else name)
+        return self.fonts_of(holder), forms
 
 
 def name_bytes(name: str) -> bytes:

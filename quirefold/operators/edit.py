@@ -51,6 +51,11 @@ def distribute(lines: DataFrame, run_texts: str, new_text: str) -> DataFrame:
     return lines.withColumn("_qf_d", F.pandas_udf(_distributed, "struct<texts:array<string>,owner:int>")(run_texts, new_text)).withColumns({"texts": F.col("_qf_d.texts"), "owner": F.col("_qf_d.owner")}).drop("_qf_d")
 
 
+def source_text(content: Column, start: Column, end: Column) -> Column:
+    """The bytes of an operator as text."""
+    return F.decode(F.substring(content, (start + 1).cast("int"), (end - start).cast("int")), "ISO-8859-1")
+
+
 def conflicts(replacements: DataFrame, keys: list[str], start: str = "start", end: str = "end", ties: tuple[str, ...] = ()) -> DataFrame:
     """Replacements that begin before an earlier one of the same stream has ended; of equal ones the first by ``ties`` is earlier."""
     w = Window.partitionBy(*keys).orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,9 +81,27 @@ def splice(streams: DataFrame, replacements: DataFrame, keys: list[str], content
     return joined.withColumn(content, F.when(r.isNull() | ~fine, data).otherwise(F.unhex(F.concat(F.array_join(F.transform(r, piece), ""), tail)))).drop("_qf_r")
 
 
+#: What ``silenced`` reads of a run.
+NEEDED = ["op", "safe_delete", "font_size", "char_spacing", "word_spacing", "horiz_scale", "render_mode", "width_sum", "n_glyphs", "n_spaces", "tj_adjustment"]
+
+
+def pruned(edits: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Edits that change something: another text, or another way to fit than to keep the size and start at the left."""
+    joined = edits.join(lines.select(*keys, F.col("text").alias("_qf_old")), keys)
+    return joined.where(~(F.col("new_text").eqNullSafe(F.col("_qf_old")) & (F.col("overflow") == "keep") & (F.col("anchor") == "left"))).drop("_qf_old")
+
+
+def fit_check(width: Column, original: Column, unmapped: Column) -> Column:
+    """struct<width,original,fits,needs_fallback>: whether an edited text fits its line, and whether its font can draw it."""
+    return F.struct(width.alias("width"), original.alias("original"), (width <= original * EXCESS).alias("fits"), (F.size(unmapped) > 0).alias("needs_fallback"))
+
+
 def silenced(run: str = "", original: Column | None = None) -> Column:
     """struct<mode,text>: what stands in for a text-showing operator so that it draws nothing but moves as before.
 
+    ``original`` is the operator's own text, which stays, invisible, where its movement can't be computed; without it
+    the text of such rows lacks it, and the caller has to put it in.
+
     Columns: op, safe_delete, font_size, char_spacing, word_spacing, horiz_scale, render_mode, width_sum, n_glyphs,
     n_spaces, tj_adjustment.
     """

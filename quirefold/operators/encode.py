@@ -99,7 +99,8 @@ def encoded(texts: DataFrame, keys: list[str], reverse: DataFrame) -> DataFrame:
     """
     keyed = [F.col(k) for k in keys]
     at = texts.select(*keyed, "font", "text", F.explode(F.sequence(F.lit(1), F.char_length("text"))).alias("at")).where("char_length(text) > 0")
-    tried = at.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.char_length("text") - F.col("at") + 1)), lambda n: F.col("text").substr(F.col("at"), n))).alias("unicode"))
+    longest = reverse.agg(F.max(F.char_length("unicode"))).first()[0] or 1  # 4 at most, and 1 for most fonts
+    tried = at.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("at") + 1)), lambda n: F.col("text").substr(F.col("at"), n))).alias("unicode"))
     hits = tried.join(F.broadcast(reverse), ["font", "unicode"]).groupBy(*keys, "font", "at").agg(F.max_by(F.struct(F.char_length("unicode").alias("n"), "code", "byte_len", "width"), F.char_length("unicode")).alias("hit"))
     chars = at.select(*keyed, "font", "at", F.col("text").substr(F.col("at"), F.lit(1)).alias("ch")).join(hits, [*keys, "font", "at"], "left")
     lost = chars.where("hit is null").select("font", "ch").distinct()
@@ -200,9 +201,11 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset")))
     wide = per.where("fit.overflow").select(*line, F.lit("overflow").alias("code"), F.lit("info").alias("level"), F.lit("").alias("detail"))
     blocks = per.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"))
-    gone = pieces.withColumn("silent", edit.silenced()).select("doc_id", "page_index", "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
+    old = pieces.join(pages.select("doc_id", "page_index", F.col("content").alias("_qf_content")), ["doc_id", "page_index"])
+    gone = old.withColumn("silent", edit.silenced(original=edit.source_text(F.col("_qf_content"), F.col("start"), F.col("end")))).select("doc_id", "page_index", "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
     spliced = edit.splice(pages, gone, ["doc_id", "page_index"]).join(blocks, ["doc_id", "page_index"], "left")
     fallback = F.when(F.contains(F.col("block"), F.lit(FALLBACK_NAME)), F.map_concat("fonts", F.create_map(F.lit(FALLBACK_NAME), F.lit(FALLBACK)))).otherwise(F.col("fonts"))
     content = F.when(F.col("block").isNull(), F.col("content")).otherwise(wrapped(F.col("content"), F.coalesce("block", F.lit(""))))
     edited = spliced.withColumn("content", content).withColumn("fonts", fallback).drop("block")
-    return edited, locked.union(lost).union(wide)
+    clash = edit.conflicts(gone, ["doc_id", "page_index"]).select("doc_id", "page_index", F.lit(None).cast("int").alias("line_seq"), F.lit("conflict").alias("code"), F.lit("error").alias("level"), F.lit("").alias("detail"))
+    return edited, locked.union(lost).union(wide).union(clash)

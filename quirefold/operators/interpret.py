@@ -1,7 +1,9 @@
 """From page content to operators and positioned text runs.
 
-Streams are rows (doc_id, page_index, content, fonts, forms): content is the page's bytes, fonts maps resource names
-to a font description (JSON), forms maps names to struct<content,matrix>. One row is one page, so the fold over its
+Streams are rows (doc_id, page_index, content, fonts, forms, spaces): content is the page's bytes, fonts maps resource
+names to a font description (JSON), forms maps names to struct<content,matrix> and, where a form has resources of its
+own, fonts, names (its names of forms to keys of this map) and key (its object); spaces maps names of colour spaces to
+gray, rgb, cmyk or tint. One row is one page, so the fold over its
 operators needs no shuffle; the two Python stages here (operators, runs) are narrow, and everything after them is
 built-in expressions. A page that can't be read gives the runs up to the fault and no failure of the job.
 """
@@ -14,7 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quirefold.functions.cmap import Font
 from quirefold.functions.lexer import Name, Op, operations
@@ -24,7 +29,7 @@ RUNS = (
     "doc_id bigint, page_index int, run_seq int, stream_key string, start bigint, end bigint, op string, font_name string, font_size double, char_spacing double, word_spacing double, "
     "horiz_scale double, leading double, rise double, render_mode int, ctm array<double>, text_matrix array<double>, text string, n_glyphs int, n_spaces int, width_sum double, "
     "tj_adjustment double, advance double, x double, y double, x0 double, y0 double, x1 double, y1 double, effective_size double, text_to_page double, angle double, fill array<double>, "
-    "safe_delete boolean, actual_text string"
+    "safe_delete boolean, actual_text string, vertical boolean"
 )
 #: Deepest nesting of forms.
 FORM_DEPTH = 8
@@ -73,6 +78,35 @@ class State:
     rise: float = 0.0
     mode: int = 0
     fill: tuple[float, ...] | None = (0.0, 0.0, 0.0)
+    space: str = "gray"
+
+
+#: Colour spaces that need no resource.
+DEVICE = {"DeviceGray": "gray", "G": "gray", "CalGray": "gray", "DeviceRGB": "rgb", "RGB": "rgb", "CalRGB": "rgb", "Lab": "rgb", "DeviceCMYK": "cmyk", "CMYK": "cmyk"}
+
+
+def rgb(space: str, parts: list[float]) -> tuple[float, ...] | None:
+    """Components as red, green and blue; a tint is ink on white; an unknown space goes by their number."""
+    parts = [min(1.0, max(0.0, p)) for p in parts]
+    if space == "tint" and parts:
+        return (1 - parts[-1],) * 3
+    wanted = {"gray": 1, "rgb": 3, "cmyk": 4}.get(space, len(parts))
+    if len(parts) < wanted or wanted not in (1, 3, 4):
+        return None
+    if wanted == 1:
+        return (parts[0],) * 3
+    return tuple((1 - p) * (1 - parts[3]) for p in parts[:3]) if wanted == 4 else tuple(parts[:3])
+
+
+@dataclass
+class Form:
+    """What a form draws; without fonts or names of its own those of the stream that shows it count."""
+
+    content: bytes
+    matrix: Matrix
+    fonts: dict[str, Font] | None = None
+    names: dict[str, str] | None = None
+    key: str = ""
 
 
 @dataclass
@@ -80,15 +114,10 @@ class Page:
     """The fold over one page's operators."""
 
     fonts: dict[str, Font]
-    forms: dict[str, tuple[bytes, Matrix]]
+    forms: dict[str, Form]
+    spaces: dict[str, str] = field(default_factory=dict)
     runs: list[dict] = field(default_factory=list)
-
-    def rgb(self, kind: str, parts: list[float]) -> tuple[float, ...] | None:
-        if kind in ("g", "G") or kind not in ("rg", "RG", "k", "K") and len(parts) == 1:
-            return (parts[0],) * 3 if parts else None
-        if len(parts) == 4:
-            return tuple((1 - p) * (1 - parts[3]) for p in parts[:3])
-        return tuple(parts[:3]) if len(parts) == 3 else None
+    uses: list[str] = field(default_factory=list)
 
     def show(self, s: State, tm: Matrix, o: Op, key: str, items: list, marked: list[str]) -> Matrix:
         """Emits a run; returns the text matrix after it."""
@@ -148,11 +177,13 @@ class Page:
                 "width_sum": widths, "tj_adjustment": kerns, "advance": advance, "x": at[4], "y": at[5], "x0": min(xs, default=at[4]), "y0": min(ys, default=at[5]), "x1": max(xs, default=at[4]), "y1": max(ys, default=at[5]),
                 "effective_size": abs(at[0] * at[3] - at[1] * at[2]) / wide if wide else math.hypot(at[2], at[3]), "text_to_page": math.hypot(both[0], both[1]) or 1.0, "angle": math.atan2(at[1], at[0]),
                 "fill": list(s.fill) if s.fill else None, "safe_delete": False, "actual_text": marked[-1] if marked else None,
+                "vertical": s.font is not None and s.font.vertical,
             }
         )
         return after
 
-    def run(self, content: bytes, key: str, s: State, depth: int = 0, active: frozenset[str] = frozenset()) -> None:
+    def run(self, content: bytes, key: str, s: State, depth: int = 0, active: frozenset[str] = frozenset(), fonts: dict[str, Font] | None = None, names: dict[str, str] | None = None) -> None:
+        fonts = self.fonts if fonts is None else fonts
         stack: list[State] = []
         marked: list[str] = []
         tm = tlm = _EYE
@@ -170,8 +201,13 @@ class Page:
                 s = stack.pop() if stack else s
             elif op == "cm":
                 s.ctm = _mul(tuple(num(k) for k in range(6)), s.ctm)
-            elif op in ("g", "rg", "k", "sc", "scn"):
-                s.fill = None if name else self.rgb(op, nums)
+            elif op in ("g", "rg", "k"):
+                s.space = {"g": "gray", "rg": "rgb", "k": "cmyk"}[op]
+                s.fill = rgb(s.space, nums)
+            elif op == "cs":  # the colour stays until one is set
+                s.space = DEVICE.get(name) or self.spaces.get(name, "unknown")
+            elif op in ("sc", "scn"):
+                s.fill = None if name else rgb(s.space, nums)
             elif op in ("BMC", "BDC"):
                 actual = next((x.get(b"ActualText") for x in o.operands if isinstance(x, dict)), None)
                 text = (actual[2:].decode("utf-16-be", "replace") if actual[:2] == b"\xfe\xff" else actual.decode("latin-1")) if isinstance(actual, bytes) else ""
@@ -196,7 +232,7 @@ class Page:
             elif op == "Tr":
                 s.mode = int(num(0))
             elif op == "Tf":
-                s.font_name, s.size, s.font = name, num(0), self.fonts.get(name)
+                s.font_name, s.size, s.font = name, num(0), fonts.get(name)
             elif op in ("Td", "TD", "T*"):
                 if op == "TD":
                     s.leading = -num(1)
@@ -215,40 +251,75 @@ class Page:
                 items = last if isinstance(last, list) else [last]
                 tm = self.show(s, tm, o, key, [i for i in items if isinstance(i, (float, bytes)) and not isinstance(i, Name)], marked)
                 waiting = self.runs[before:] if len(self.runs) > before else waiting
-            elif op == "Do" and name in self.forms and depth < FORM_DEPTH and name not in active:
-                data, own = self.forms[name]
-                self.run(data, f"xobj:{name}", replace(s, ctm=_mul(own, s.ctm)), depth + 1, active | {name})
+            elif op == "Do" and (at := name if names is None else names.get(name, "")) in self.forms and depth < FORM_DEPTH and at not in active:
+                form = self.forms[at] if isinstance(self.forms[at], Form) else Form(*self.forms[at])
+                own = f"xobj:{form.key or name}"
+                self.uses.append(own)
+                self.run(form.content, own, replace(s, ctm=_mul(form.matrix, s.ctm)), depth + 1, active | {at}, fonts if form.fonts is None else form.fonts, names if form.names is None else form.names)
             if op in ("BT", "Td", "TD", "T*", "Tm"):
                 for r in waiting:
                     r["safe_delete"] = True
                 waiting = []
 
 
-def text_runs(streams: DataFrame) -> DataFrame:
-    """One row per text-showing operator that shows text."""
-    names = [c.split()[0] for c in RUNS.split(", ")]
-    has_forms = "forms" in streams.columns
+def _folded(batch: pa.RecordBatch, known: dict[str, Font]) -> Iterator[tuple[int, int, Page]]:
+    """(document, page index, the page after its fold) of each row of a batch."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def font(spec: str) -> Font:
+        if spec not in known:
+            known[spec] = Font(json.loads(spec))
+        return known[spec]
+
+    names = batch.schema.names
+    column = lambda c: batch.column(names.index(c)).to_pylist() if c in names else [None] * batch.num_rows
+    for doc, index, content, fonts, forms, spaces in zip(*map(column, ("doc_id", "page_index", "content", "fonts", "forms", "spaces"))):
+        made = {}
+        for name, f in forms or []:
+            own = {n: font(spec) for n, spec in f["fonts"]} if f.get("fonts") else None
+            made[name] = Form(f["content"], tuple(f["matrix"]) if f["matrix"] is not None else _EYE, own, dict(f["names"]) if f.get("names") is not None else None, f.get("key") or "")
+        page = Page({n: font(spec) for n, spec in fonts or []}, made, dict(spaces or []))
+        page.run(content, f"page:{index}", State())
+        yield doc, index, page
+
+
+def _streams(streams: DataFrame) -> DataFrame:
+    return streams.select("doc_id", "page_index", "content", "fonts", *[c for c in ("forms", "spaces") if c in streams.columns])
+
+
+def text_runs(streams: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per text-showing operator that shows text; ``columns`` beside doc_id and page_index, all if not given."""
+    schema = StructType.fromDDL(RUNS)
+    schema = StructType([f for f in schema if columns is None or f.name in ("doc_id", "page_index", *columns)])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Font] = {}
         held: list[dict] = []
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], kind) for n, kind in kinds.items()], names=list(kinds))
+
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                fonts = {}
-                for name, spec in dict(row.fonts or {}).items():
-                    if spec not in known:
-                        known[spec] = Font(json.loads(spec))
-                    fonts[name] = known[spec]
-                forms = {n: (f["content"], tuple(f["matrix"]) if f["matrix"] is not None else _EYE) for n, f in dict(row.forms or {}).items()} if has_forms else {}
-                page = Page(fonts, forms)
-                page.run(row.content, f"page:{row.page_index}", State())
+            for doc, index, page in _folded(batch, known):
                 for run in page.runs:
-                    run["doc_id"], run["page_index"] = row.doc_id, row.page_index
+                    run["doc_id"], run["page_index"] = doc, index
                 held += page.runs
                 if len(held) >= 5000:
-                    yield pd.DataFrame(held, columns=names)
+                    yield sent()
                     held = []
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield sent()
+
+    return _streams(streams).mapInArrow(rows, schema)
+
+
+def form_uses(streams: DataFrame) -> DataFrame:
+    """doc_id, page_index, stream_key: one row each time a page shows a form."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Font] = {}
+        for batch in batches:
+            found = [(doc, index, key) for doc, index, page in _folded(batch, known) for key in page.uses]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "page_index", "stream_key"])
 
-    return streams.select("doc_id", "page_index", "content", "fonts", *(["forms"] if has_forms else [])).mapInPandas(rows, RUNS)
+    return _streams(streams).mapInArrow(rows, "doc_id bigint, page_index int, stream_key string")

@@ -14,6 +14,10 @@ from quirefold.operators.summary import shared, spaced_pieces
 ACROSS, RATIO, GAP, BACK, BLANK = 0.45, 2.5, 2.5, 0.6, 0.18
 
 
+#: What ``group_lines`` reads of the runs.
+NEEDED = ["run_seq", "stream_key", "ctm", "angle", "x", "y", "x0", "y0", "x1", "y1", "advance", "text_to_page", "render_mode", "text", "effective_size", "font_name", "fill", "n_glyphs", "vertical"]
+
+
 def projected(runs: DataFrame) -> DataFrame:
     """Runs with along and across the baseline, their far end, and the bucket that lines never cross."""
     cos, sin = F.cos("angle"), F.sin("angle")
@@ -29,11 +33,24 @@ def projected(runs: DataFrame) -> DataFrame:
     )
 
 
+def page_space(runs: DataFrame, geometry: DataFrame) -> DataFrame:
+    """``runs`` with their display geometry relative to the visible box of their page; geometry: doc_id, page_index, offset_x, offset_y."""
+    joined = runs.join(geometry.select("doc_id", "page_index", F.col("offset_x").alias("_qf_x"), F.col("offset_y").alias("_qf_y")), ["doc_id", "page_index"])
+    moved = {c: F.col(c) - F.col("_qf_x" if c[0] == "x" else "_qf_y") for c in ("x", "y", "x0", "y0", "x1", "y1") if c in runs.columns}
+    return joined.withColumns(moved).drop("_qf_x", "_qf_y")
+
+
+def editable(lines: DataFrame) -> DataFrame:
+    """Lines that nothing blocks."""
+    return lines.where(F.size("blockers") == 0)
+
+
 def run_blockers(shared: Column | None = None) -> Column:
     """What keeps a run from being edited, as an array."""
     mode = F.col("render_mode")
     found = F.array(
         F.when(mode.isin(3, 7), "invisible").when(mode >= 4, "clipping-mode"),
+        F.when(F.col("vertical"), "vertical"),
         F.when(F.regexp_replace("text", r"[\s\p{Z}\x{FEFF}]", "") == "", "no-unicode"),
         F.when(F.lit(False) if shared is None else shared, "shared-xobject"),
     )
@@ -55,6 +72,7 @@ def group_lines(runs: DataFrame, shared_streams: DataFrame | None = None) -> Dat
     shared_streams: doc_id, stream_key of streams that more than one page shows.
     """
     rows = projected(runs)
+    rows = rows if "vertical" in rows.columns else rows.withColumn("vertical", F.lit(False))
     if shared_streams is not None:
         marks = shared_streams.select("doc_id", "stream_key").distinct().withColumn("_qf_shared", F.lit(True))
         rows = rows.join(marks, ["doc_id", "stream_key"], "left").withColumn("blockers", run_blockers(F.col("_qf_shared").isNotNull()))

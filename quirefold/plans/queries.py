@@ -50,7 +50,7 @@ def micros(ts: Column) -> Column:
 @query("SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL")
 def typeset_roundtrip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-08 I-13 A-02 A-03 O-02: every line of every document, recovered from its page."""
-    found = lines.group_lines(interpret.text_runs(typeset(read(spark, sf_dir, "documents"))))
+    found = lines.group_lines(interpret.text_runs(typeset(read(spark, sf_dir, "documents")), lines.NEEDED))
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -88,14 +88,14 @@ SELECT doc_id, CAST(sum(n * coalesce(width, {fonts.DEFAULT_WIDTH})) AS BIGINT) A
 """)
 def line_width_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-03 A-06 F-05: the width of all glyphs of a page, in thousandths of an em."""
-    runs = interpret.text_runs(typeset(read(spark, sf_dir, "documents")))
+    runs = interpret.text_runs(typeset(read(spark, sf_dir, "documents")), ["width_sum"])
     return runs.groupBy("doc_id").agg(whole(F.sum("width_sum")).alias("width_1000"))
 
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS n_spaces FROM documents")
 def word_space_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-06: single-byte blanks, to which word spacing applies."""
-    return interpret.text_runs(typeset(read(spark, sf_dir, "documents"))).groupBy("doc_id").agg(F.sum("n_spaces").cast("long").alias("n_spaces"))
+    return interpret.text_runs(typeset(read(spark, sf_dir, "documents")), ["n_spaces"]).groupBy("doc_id").agg(F.sum("n_spaces").cast("long").alias("n_spaces"))
 
 
 @query("""
@@ -104,7 +104,7 @@ SELECT doc_id, CAST(k - 1 AS BIGINT) AS n_delete, CAST(1 AS BIGINT) AS n_adjust
 """)
 def safe_neutralise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-06 I-16: operators followed by a new position are deleted, the last one of a page is replaced by its movement."""
-    mode = interpret.text_runs(typeset(read(spark, sf_dir, "documents"))).withColumn("mode", edit.silenced()["mode"])
+    mode = interpret.text_runs(typeset(read(spark, sf_dir, "documents")), edit.NEEDED).withColumn("mode", edit.silenced()["mode"])
     return mode.groupBy("doc_id").agg(F.count_if(F.col("mode") == "delete").alias("n_delete"), F.count_if(F.col("mode") == "adjust").alias("n_adjust"))
 
 
@@ -115,9 +115,11 @@ FROM (SELECT doc_id, list_slice(string_split(text, chr(10)), 2, 1000000) AS l FR
 def replace_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-01 K-03 K-06 O-03: the first line of every page is silenced in the bytes; the page is read again."""
     pages = typeset(read(spark, sf_dir, "documents"))
-    first = interpret.text_runs(pages).where("run_seq = 0")
-    gone = first.select("doc_id", "page_index", "start", "end", F.encode(edit.silenced()["text"], "ISO-8859-1").alias("bytes"))
-    found = lines.group_lines(interpret.text_runs(edit.splice(pages, gone, ["doc_id", "page_index"])))
+    first = interpret.text_runs(pages, ["run_seq", "start", "end", *edit.NEEDED]).where("run_seq = 0")
+    first = first.join(pages.select("doc_id", "page_index", "content"), ["doc_id", "page_index"])
+    silent = edit.silenced(original=edit.source_text(F.col("content"), F.col("start"), F.col("end")))
+    gone = first.select("doc_id", "page_index", "start", "end", F.encode(silent["text"], "ISO-8859-1").alias("bytes"))
+    found = lines.group_lines(interpret.text_runs(edit.splice(pages, gone, ["doc_id", "page_index"]), lines.NEEDED))
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -125,7 +127,7 @@ def replace_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_roundtrip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-01 S-03 S-06 K-02: documents typeset, put together as compressed files, read back and grouped into lines."""
     pages = pdf.pages(pdf.documents(typeset(read(spark, sf_dir, "documents"))))
-    found = lines.group_lines(interpret.text_runs(pages))
+    found = lines.group_lines(interpret.text_runs(pages, lines.NEEDED))
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -141,7 +143,7 @@ def edit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.group_lines(runs)
     first = found.where("line_seq = 1").select("doc_id", "line_seq", F.concat(F.lit("Edited: "), "text").alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
     edited, _ = encode.apply_edits(pages, runs, found, first)
-    again = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(edited))))
+    again = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(edited)), lines.NEEDED))
     return again.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -155,7 +157,7 @@ FROM (SELECT doc_id, string_split(translate(text, '{_GREEK[0]}', '{_GREEK[1]}')
 def composite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-20 J-10 F-05: texts in other scripts, typeset in a composite font with its own code map, written, read and grouped."""
     texts = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.translate("text", *_GREEK), F.lit("\n中文 😀 "), F.col("doc_id").cast("string")).alias("text"))
-    found = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(typeset(texts)))))
+    found = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(typeset(texts))), lines.NEEDED))
     return found.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -257,12 +259,13 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END, p_partkey) AS k FROM part) WHERE k = 1
+SELECT p_brand, left(p_name, 1) AS ch, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, left(p_name, 1) ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END, p_partkey) AS k FROM part) WHERE k = 1
 """)
 def reverse_map_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-07: of several codes for one text the best rank, then the lowest code."""
+    """F-07 P-12: of several codes for one text the best rank, then the lowest code."""
     rank = F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 30, 1).otherwise(2)
-    return islands.top_per_key(read(spark, sf_dir, "part"), ["p_brand"], [rank, F.col("p_partkey")]).select("p_brand", "p_partkey")
+    codes = read(spark, sf_dir, "part").select(F.col("p_brand").alias("font"), F.substring("p_name", 1, 1).alias("unicode"), F.col("p_partkey").alias("code"), F.lit(1).alias("byte_len"), F.lit(0.0).alias("width"), rank.alias("rank"))
+    return encode.reverse_map(codes).select(F.col("font").alias("p_brand"), F.col("unicode").alias("ch"), F.col("code").alias("p_partkey"))
 
 
 @query("""
@@ -536,4 +539,82 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(list_min(list_filte
 def zoom_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-06 P-18: the next level above and below."""
     step = summary.zoom_steps(F.col("l_quantity") * 8)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), step["up"].cast("long").alias("zoom_in"), step["down"].cast("long").alias("zoom_out"))
\ No newline at end of file
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), step["up"].cast("long").alias("zoom_in"), step["down"].cast("long").alias("zoom_out"))
+
+@query(f"""
+WITH w(code, width) AS (VALUES {_WIDTHS}),
+chars AS (SELECT doc_id, count(*) AS n, unicode(c) AS code FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ''), '')) AS c FROM documents) WHERE c <> '' GROUP BY doc_id, c)
+SELECT doc_id, CAST(sum(n * coalesce(width, {fonts.DEFAULT_WIDTH})) AS BIGINT) AS width_1000, CAST(sum(n) AS BIGINT) AS n_glyphs, CAST(0 AS BIGINT) AS n_unmapped FROM chars LEFT JOIN w USING (code) GROUP BY doc_id
+""")
+def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-11 F-08 K-13 P-11: every text in the codes of a font, with its width and what the font lacks."""
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.lit(encode.FALLBACK).alias("font"), F.regexp_replace("text", "\n", "").alias("text")).where("text != ''")
+    reverse = encode.reverse_map(encode.repertoire(texts.select("font")))
+    found = encode.encoded(texts, ["doc_id"], reverse)
+    return found.select("doc_id", whole(geometry.half_up(F.col("width"))).alias("width_1000"), whole(F.col("n_glyphs")).alias("n_glyphs"), F.size("unmapped").cast("long").alias("n_unmapped"))
+
+
+@query("""
+SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no, CAST(62 AS BIGINT) AS x, CAST(712 - 12 * generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS y FROM documents WHERE text IS NOT NULL
+""")
+def page_space_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-04: runs relative to the visible box of their page."""
+    pages = typeset(read(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    boxes = pages.select("doc_id", "page_index", F.array(*[F.lit(float(v)) for v in (0, 0, 612, 792)]).alias("media"), F.array(*[F.lit(float(v)) for v in (10, 20, 600, 780)]).alias("crop"), F.lit(0.0).alias("rotate"))
+    moved = lines.page_space(interpret.text_runs(pages, ["run_seq", "x", "y"]), pdf.page_geometry(boxes))
+    return moved.select("doc_id", whole(F.col("run_seq") + 1).alias("line_no"), whole(F.col("x")).alias("x"), whole(F.col("y")).alias("y"))
+
+
+@query("""
+SELECT doc_id, count(*) AS n_editable FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\\s]') GROUP BY doc_id
+""")
+def editable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-07 P-08: lines that nothing blocks; blank ones have no text to edit."""
+    found = lines.group_lines(interpret.text_runs(typeset(read(spark, sf_dir, "documents")), lines.NEEDED))
+    return lines.editable(found).groupBy("doc_id").agg(F.count("*").alias("n_editable"))
+
+
+@query("SELECT doc_id FROM documents WHERE replace(text, 'e', 'E') <> text OR doc_id % 3 = 0")
+def edit_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-03: edits that change neither the text nor how it is fitted drop out."""
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    edits = docs.select("doc_id", F.replace("text", F.lit("e"), F.lit("E")).alias("new_text"), F.when(F.col("doc_id") % 3 == 0, "shrink").otherwise("keep").alias("overflow"), F.lit("left").alias("anchor"))
+    return edit.pruned(edits, docs.select("doc_id", "text"), ["doc_id"]).select("doc_id")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT l_orderkey, n AS pos, least(-n, -n - 3, 0) AS x0, least(2 * q, 0) AS y0, greatest(-n, 0) AS x1, greatest(2 * q + 8, 1) AS y1 FROM x
+""")
+def rect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-03: a box turned by a matrix, and the box around it and another one."""
+    q, n = whole(F.col("l_quantity")), whole(F.col("l_linenumber"))
+    turned = geometry.transformed_box(geometry.matrix(0, 2, -1, 0, 0, 0), q, n, q + 4, n + 3)
+    both = geometry.union_rect(turned, geometry.rect(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("pos"), whole(both["x"]).alias("x0"), whole(both["y"]).alias("y0"), whole(both["x"] + both["width"]).alias("x1"), whole(both["y"] + both["height"]).alias("y1"))
+
+
+@query("SELECT p_partkey, '/' || replace(replace(p_brand || ' ' || p_name, '#', '#23'), ' ', '#20') AS token, printf('%08X', p_partkey) AS code_hex, p_partkey AS code FROM part")
+def name_and_code_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-09 F-03: names with their escapes, codes as bytes and back."""
+    data = encode.code_bytes(F.col("p_partkey"), F.lit(4))
+    return read(spark, sf_dir, "part").select("p_partkey", encode.name_token(F.concat_ws(" ", "p_brand", "p_name")).alias("token"), F.hex(data).alias("code_hex"), encode.code_number(data).alias("code"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS INTEGER) AS number, CAST(c_nationkey AS INTEGER) AS generation FROM customer")
+def stream_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-25: the object that the key of a form's stream names."""
+    key = F.concat(F.lit("xobj:"), F.col("c_custkey").cast("string"), F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" R"))
+    ref = pdf.stream_object(key)
+    return read(spark, sf_dir, "customer").select("c_custkey", ref["number"].alias("number"), ref["generation"].alias("generation"))
+
+
+@query("""
+SELECT p_partkey, CAST(floor(1000 * ((1 - (a + d)) / 2 + a) + 0.5) AS BIGINT) AS baseline_1000, CAST(floor(1000 * least(8.0, greatest(0.1, 900.0 / w)) + 0.5) AS BIGINT) AS scale_1000
+FROM (SELECT p_partkey, p_size / 100.0 AS a, p_size / 400.0 AS d, 100.0 * p_size AS w FROM part)
+""")
+def display_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-15 P-18: where a baseline lies in its line, and the scale that fits a width."""
+    a, d = F.col("p_size") / 100, F.col("p_size") / 400
+    scale = summary.zoom_scale(F.lit("width"), F.lit(900.0), F.lit(600.0), 100.0 * F.col("p_size"), F.lit(792.0))
+    return read(spark, sf_dir, "part").select("p_partkey", whole(geometry.half_up(1000 * geometry.baseline_ratio(a, d))).alias("baseline_1000"), whole(geometry.half_up(1000 * scale)).alias("scale_1000"))

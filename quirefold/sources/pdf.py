@@ -18,8 +18,8 @@ from quirefold.functions.geometry import quarter_turns
 from quirefold.functions.pdfobjects import PdfFile, Refused, build_pdf
 
 PAGES = (
-    "doc_id bigint, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>>>, media array<double>, crop array<double>, "
-    "rotate double, warning string"
+    "doc_id bigint, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,key:string,fonts:map<string,string>,names:map<string,string>>>, media array<double>, crop array<double>, "
+    "rotate double, warning string, spaces map<string,string>, signed boolean"
 )
 
 
@@ -31,7 +31,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def pages(documents: DataFrame) -> DataFrame:
     """One row per page, or one with a warning (encrypted, parse, empty) and no page index; documents: doc_id, content."""
-    names = [c.strip().split(" ")[0] for c in ("doc_id", "page_index", "content", "fonts", "forms", "media", "crop", "rotate", "warning")]
+    names = [c.strip().split(" ")[0] for c in ("doc_id", "page_index", "content", "fonts", "forms", "media", "crop", "rotate", "warning", "spaces", "signed")]
 
     def box(file: PdfFile, page: dict, key: bytes) -> list[float] | None:
         value = file.get(page.get(key))
@@ -44,11 +44,11 @@ def pages(documents: DataFrame) -> DataFrame:
             for k, page in enumerate(file.pages()):
                 fonts, forms = file.resources(page)
                 rotate = file.get(page.get(b"Rotate"))
-                yield doc, k, file.page_content(page), fonts, forms, box(file, page, b"MediaBox"), box(file, page, b"CropBox"), rotate if isinstance(rotate, float) else None, None
+                yield doc, k, file.page_content(page), fonts, forms, box(file, page, b"MediaBox"), box(file, page, b"CropBox"), rotate if isinstance(rotate, float) else None, None, file.spaces_of(page), file.signed()
         except Refused as why:
-            yield doc, None, None, None, None, None, None, None, why.code
+            yield doc, None, None, None, None, None, None, None, why.code, None, None
         except Exception:  # noqa: BLE001  a broken file is a warning, not a failed job
-            yield doc, None, None, None, None, None, None, None, "parse"
+            yield doc, None, None, None, None, None, None, None, "parse", None, None
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,6 +78,17 @@ def page_geometry(found: DataFrame) -> DataFrame:
     ).withColumns({"display_width": F.when(turned, F.col("height")).otherwise(F.col("width")), "display_height": F.when(turned, F.col("width")).otherwise(F.col("height"))})
 
 
+def stream_object(key: Column) -> Column:
+    """struct<number,generation> of the object that a stream key of a form names; null for pages and inline forms."""
+    part = lambda k: F.regexp_extract(key, r"^xobj:(\d+) (\d+) R$", k).cast("int")
+    return F.when(key.rlike(r"^xobj:\d+ \d+ R$"), F.struct(part(1).alias("number"), part(2).alias("generation")))
+
+
+def source_of(content: Column) -> Column:
+    """Page content as text, byte by byte."""
+    return F.decode(content, "ISO-8859-1")
+
+
 def documents(streams: DataFrame, compress: bool = True) -> DataFrame:
     """doc_id, content: one file per document from its page streams (doc_id, page_index, content and, if there, fonts)."""
     own = "fonts" in streams.columns
