@@ -173,6 +173,29 @@ def test_html_after_raw_elements(head):
     assert [b.text for b in html.leaf_blocks(f"<div>{head}<article><p>Main text.</p><p>More.</p></article></div>")] == ["Main text.", "More."]
 
 
+#: Pages by hand, in other styles than the generator's, and what is their main text.
+BY_HAND = {
+    """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div id="top"><a href="/">Home</a> <a href="/a">About</a></div>
+<div class="post-content"><h1>How I fixed my bike</h1><p>Last week the chain broke, so I had to walk home in the rain.</p><p>It took an hour to repair, but it works now.</p><pre>wrench --size 8</pre></div>
+<div class="comments"><h3>2 comments</h3><p>Great post, thanks for sharing!</p></div><footer><p>© 2021 Bike Blog. All rights reserved.</p></footer></body></html>""": ["How I fixed my bike", "Last week the chain broke, so I had to walk home in the rain.", "It took an hour to repair, but it works now.", "wrench --size 8"],
+    '<article><p title="a hidden gem">The title says hidden, the paragraph is shown.</p><p hidden>Not shown.</p><p style="display:none">Nor this.</p></article>': ["The title says hidden, the paragraph is shown."],
+    """<body><header><nav><ul><li><a href=1>World</a></li><li><a href=2>Sport</a></li></ul></nav></header><main><h1>Council votes on bridge</h1><div class="share"><a href=x>Tweet</a></div><p>The city council voted on Tuesday to repair the old bridge.</p>
+<p>Work begins in spring, the mayor said.</p><aside><h4>Related</h4><ul><li><a href=3>Older story about roads</a></li></ul></aside><p>The cost is put at two million.</p></main><div class="cookie-banner">We use cookies. <button>OK</button></div></body>""": ["Council votes on bridge", "The city council voted on Tuesday to repair the old bridge.", "Work begins in spring, the mayor said.", "The cost is put at two million."],
+    """<body><div class="sidebar"><ul><li><a href=1>Install</a></li><li><a href=2>Usage</a></li></ul></div><section class="content"><h2>Install</h2><p>Run the installer and restart the shell.</p><ul><li>Download the archive.</li><li>Unpack it.</li></ul>
+<table><tr><th>Flag</th><th>Meaning</th></tr><tr><td>-v</td><td>print more</td></tr></table></section><div class="footer">Contact us</div></body>""": ["Install", "Run the installer and restart the shell.", "Download the archive.", "Unpack it.", "Flag", "Meaning", "-v", "print more"],
+}
+
+
+@pytest.mark.parametrize("page", list(BY_HAND), ids=range(len(BY_HAND)))
+def test_html_by_hand(page):
+    assert html.main_text(page, html.trained()).split("\n") == BY_HAND[page]
+
+
+def test_html_of_a_very_long_page():
+    page = "<article>" + "".join(f"<p>Sentence number {k} of a long page.</p>" for k in range(20_000)) + "</article>"
+    assert html.main_text(page, html.trained()).count("\n") == 19_999
+
+
 def test_html_on_unseen_templates():
     pages = html.labelled_pages(120, 77)
     wrong = sum(x != y for blocks, labels in pages for x, y in zip(html.trained().decode(blocks), labels))
@@ -204,6 +227,35 @@ def test_language_never_reads_labels_of_held_out_rows(spark, docs):
     assert sorted(language.identify(wrong).collect()) == sorted(language.identify(docs).collect())
 
 
+def test_language_against_plain_scores(spark, docs, texts):
+    """Word by word in plain Python: known words by their row, others by the longest known n-gram at each position."""
+    model = language.train(docs.where(~language.held_out()))
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for doc in list(texts)[::5]:
+        words = [w for w in re.split(r"[\W\d_]+", texts[doc].lower()) if w]
+        total = np.zeros(len(model.langs))
+        for w in words:
+            if w in model.words:
+                total += model.word_rows[model.words[w]]
+                continue
+            padded, rows = f" {w} ", []
+            for i in range(len(padded)):
+                rows += [model.gram_rows[model.grams[g]] for n in range(4, 0, -1) if len(g := padded[i : i + n]) == n and g in model.grams][:1]
+            total += np.mean(rows, axis=0) if rows else 0
+        if not words:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        p = np.exp((total - total.max()) * min(len(words), 8.0) / len(words))
+        assert got[doc].lang_pred == model.langs[int(p.argmax())] and math.isclose(got[doc].score, p.max() / p.sum(), rel_tol=1e-6), doc
+
+
+def test_language_needs_a_letter(spark, docs):
+    model = language.train(docs)
+    rows = [(0, "½ ²"), (1, "① 三"), (2, "\u0301 12"), (3, "½a"), (4, None)]
+    got = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[k] == "und" for k in range(5)] == [True, False, True, False, True]
+
+
 def test_language_of_runs_without_blanks(spark):
     rng = random.Random(9)
     run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
@@ -373,6 +425,12 @@ def test_vectors(spark):
     assert (found <= true).all() and found.sum() >= 0.995 * true.sum()
 
 
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-200, 1e-200], 1), (4, [-1e200, 1e200], 1), (None, [1.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), None: (0, None, True)}
+
+
 def plain_similarity(a, b):
     """Longest common subsequence of labelled shingles, by the textbook table."""
     row = [0] * (len(b) + 1)
