@@ -11,7 +11,8 @@ one short array per host. That table is written to the shared folder and measure
 it is broadcast, beyond that it is joined by host, where a hot host is split by the adaptive skew join.
 
 Defined results: null host -> the page stays as it is; null text stays null; lines without a word are never dropped;
-a page whose lines all go has empty text; repeated rows are pages of their own; other columns pass through.
+a page whose lines all go has empty text; repeated rows are pages of their own; a line exactly at the ratio stays; other
+columns, whatever their names, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
