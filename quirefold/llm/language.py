@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
             own.cache = _Scores(own)
         cache = own.cache
         for batch in batches:
-            for part in slices(batch, [batch.num_columns - 1], size=8 << 20):
+            for part in slices(batch, [batch.num_columns - 1], size=4 << 20):
                 found, score = score_texts(cache, part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
