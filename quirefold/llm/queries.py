@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, html, language, lines, minhash, packing, pii, planes, quality, vectors
+from quirefold.llm import bpe, html, importance, language, lines, minhash, mixing, packing, pii, planes, quality, runs, vectors
 from quirefold.llm.common import table
 
 
@@ -65,6 +65,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(table(spark, sf_dir, "documents"), modify=True)
+    return found.select("doc_id", *runs.LONGS, "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_lines": op2_lines,
@@ -76,6 +90,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_planes": op9_planes,
     "op10_minhash": op10_minhash,
+    "op11_mixing": op11_mixing,
+    "op12_runs": op12_runs,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL = {
@@ -130,5 +147,34 @@ WITH docs AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        host IS NOT NULL AS host_rejected, NOT base_failed AND host IS NULL AS kept
 FROM judged LEFT JOIN bad ON source = host
+""",
+    "op11_mixing": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         coalesce(CAST(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT), 0) AS size,
+         CAST('0x' || substr(sha256('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sources
+), totals AS (
+  SELECT 1.5::DOUBLE * sum(source_size) AS budget, sum(weight) AS weights FROM weighed
+), filled AS (
+  SELECT (budget - coalesce(sum(2 * source_size) OVER w, 0)) / (weights - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM weighed, totals WINDOW w AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), aimed AS (
+  SELECT source, source_size, rank, weight, least(2.0::DOUBLE * source_size, (SELECT max(level) FROM filled) * weight) AS target FROM weighed
+), queued AS (
+  SELECT rid, doc_id, size, h, source_size, rank, weight, target,
+         sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS upto
+  FROM docs JOIN aimed ON docs.source IS NOT DISTINCT FROM aimed.source
+), copies AS (
+  SELECT *, CAST(pass * source_size + upto AS DOUBLE) / weight AS finish FROM queued, (VALUES (0), (1)) AS p(pass)
+), sent AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, pass, h, doc_id, size, rid ROWS UNBOUNDED PRECEDING) - size AS position FROM copies
+)
+SELECT doc_id, size, source_size, target,
+       CAST(sum(greatest(0, least(size, CAST(floor((SELECT budget FROM totals)) AS BIGINT) - position))) AS BIGINT) AS taken
+FROM sent GROUP BY rid, doc_id, size, source_size, target
 """,
 }
