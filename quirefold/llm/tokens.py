@@ -1,11 +1,12 @@
 """Word-level token ids by the ``tokenizers`` library, for whole Arrow columns of texts.
 
 The vocabulary drops white space and never merges across it, so a text's ids are the ids of its blank-separated
-chunks in order. Texts are taken in blocks of bounded size. Arrow splits a block and numbers its different chunks; a
-chunk of Latin letters with marks behind it is a lower-case word and its marks, as the vocabulary's own normaliser and
-splitter have it. Only different words, marks and other chunks are looked up in the worker's caches, and what is missing
-there is encoded together: words as one text, since each is one pre-token, whose last id is one of those that end a
-word. The ids of the block are then gathered by number.
+chunks in order; special tokens that stand in a text are recognised as the library does, inside chunks, too. Texts are
+taken in blocks of bounded size. Arrow splits a block and numbers its different chunks; a chunk of Latin letters with
+marks behind it is a lower-case word and its marks, as the vocabulary's own normaliser and splitter have it. Only
+different words, marks and other chunks are looked up in the worker's caches, and what is missing there is encoded
+together: words as one text, since each is one pre-token, whose last id is one of those that end a word. The ids of the
+block are then gathered by number.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np
 
 
 class WordTokenizer:
-    """``encoded(texts)``: ids of whole texts, without special tokens."""
+    """``encoded(texts)``: ids of whole texts, without special tokens around them."""
 
     _PLAIN = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?#*$%&\"()]*)$"
 
@@ -66,7 +67,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         # lower-case Latin words need neither the normaliser nor the splitter, which take half of the time
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
