@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, encode, interpret, islands, lines, session, summary
+from quirefold.operators import edit, encode, interpret, islands, lines, session, state, summary
 from quirefold.sources import pdf
 from quirefold.sources.typeset import typeset
 
@@ -221,6 +221,44 @@ def undo_redo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.replay(read(spark, sf_dir, "events").withColumn("a", kind), "user_id", "event_id", "a", "event_type")
 
 
+@query("""
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id % 7 AS k FROM events
+), st AS (
+  SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS v, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS f,
+         CAST([] AS STRUCT(v BIGINT, a BIGINT, e BIGINT, f BIGINT)[]) AS stack FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT s.user_id, ev.event_id, ev.n,
+         CASE WHEN k IN (2, 3) AND len(stack) > 0 THEN stack[len(stack)].v WHEN k >= 5 THEN ev.event_id ELSE v END,
+         CASE WHEN k IN (2, 3) AND len(stack) > 0 THEN stack[len(stack)].a WHEN k = 4 THEN a * (ev.event_id % 2 * 2 - 1) ELSE a END,
+         CASE WHEN k IN (2, 3) AND len(stack) > 0 THEN stack[len(stack)].e WHEN k = 4 THEN e + a * (ev.event_id % 10) ELSE e END,
+         CASE WHEN k IN (2, 3) AND len(stack) > 0 THEN stack[len(stack)].f WHEN k = 4 THEN f + a * (ev.event_id % 3) ELSE f END,
+         CASE WHEN k IN (0, 1) THEN list_append(stack, {'v': v, 'a': a, 'e': e, 'f': f}) WHEN k IN (2, 3) AND len(stack) > 0 THEN list_slice(stack, 1, len(stack) - 1) ELSE stack END
+  FROM st s JOIN ev ON ev.user_id = s.user_id AND ev.n = s.n + 1
+)
+SELECT event_id, v AS set_by, CAST(len(stack) AS BIGINT) AS level, a AS scale, e AS dx, f AS dy FROM st WHERE n > 0
+""")
+def scoped_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-02 I-03 I-10 I-11: events of a user as saves, restores, transformations and settings; what is in force after each."""
+    events = read(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 7).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    found = state.scopes(events.select("user_id", "event_id", "n", "k"), ["user_id"], "n", F.col("k").isin(0, 1), F.col("k").isin(2, 3))
+    found = state.in_scope(found, ["user_id"], "n", {"set_by": F.when(F.col("k") >= 5, F.col("event_id"))})
+    scale = F.col("event_id") % 2 * 2 - 1
+    found = state.transformed(found, ["user_id"], "n", F.when(F.col("k") == 4, geometry.matrix(scale, 0, 0, scale, F.col("event_id") % 10, F.col("event_id") % 3)))
+    return found.select("event_id", "set_by", whole(F.col("level")).alias("level"), *[whole(F.col(f"ctm.{c}")).alias(n) for c, n in (("a", "scale"), ("e", "dx"), ("f", "dy"))])
+
+
+@query("""
+SELECT doc_id, CAST(i AS BIGINT) AS line_no, CASE WHEN regexp_full_match(l, '[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*') THEN 'F1' ELSE 'F2' END AS font_name, CAST(12 AS DOUBLE) AS font_size, CAST(72 AS DOUBLE) AS x, CAST(732 - 12 * i AS DOUBLE) AS y
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
+""")
+def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-03 I-11 I-12: font and place of every line of every typeset page, from the state in force at its show operator."""
+    found = state.text_states(interpret.operators(typeset(read(spark, sf_dir, "documents"))))
+    line = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("op_seq"))
+    return found.select("doc_id", whole(line).alias("line_no"), "font_name", "font_size", F.col("line_matrix.e").alias("x"), F.col("line_matrix.f").alias("y"))
+
+
 @query("""
 SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup_id FROM events
 """)
