@@ -214,7 +214,20 @@ def edit_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.coalesced(events, "user_id", "event_type", "t", ["event_id"], 3_600_000_000).select("event_id", "user_id", whole(F.col("burst")).alias("burst"))
 
 
-@query()
+@query("""
+WITH RECURSIVE acts AS (
+  SELECT user_id, event_id, event_type, event_id % 5 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), st AS (
+  SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS present, CAST([] AS VARCHAR[]) AS past, CAST([] AS VARCHAR[]) AS future FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT s.user_id, a.event_id, a.n,
+         CASE WHEN k < 3 THEN event_type WHEN k = 3 AND len(past) > 0 THEN past[len(past)] WHEN k = 4 AND len(future) > 0 THEN future[len(future)] ELSE present END,
+         CASE WHEN k < 3 AND len(past) >= 200 THEN list_append(list_slice(past, len(past) - 198, len(past)), present) WHEN k < 3 OR (k = 4 AND len(future) > 0) THEN list_append(past, present) WHEN k = 3 AND len(past) > 0 THEN list_slice(past, 1, len(past) - 1) ELSE past END,
+         CASE WHEN k < 3 THEN [] WHEN k = 3 AND len(past) > 0 THEN list_append(future, present) WHEN k = 4 AND len(future) > 0 THEN list_slice(future, 1, len(future) - 1) ELSE future END
+  FROM st s JOIN acts a ON a.user_id = s.user_id AND a.n = s.n + 1
+)
+SELECT user_id AS session, event_id AS seq, present, CAST(len(past) AS INTEGER) AS undo_depth, CAST(len(future) AS INTEGER) AS redo_depth FROM st WHERE n > 0
+""")
 def undo_redo_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-02: events as edits, undos and redos of a session per user."""
     kind = F.when(F.col("event_id") % 5 == 3, "undo").when(F.col("event_id") % 5 == 4, "redo").otherwise("edit")
