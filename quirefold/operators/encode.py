@@ -1,31 +1,29 @@
 """From edited text back to the bytes of a font, and from edits of lines to edited pages.
 
-Fonts are rows of a specification (JSON, as ``Font`` takes it). One narrow Python stage lists what each different font
-can write; everything after it is windows, joins and built-in expressions: the reverse map, the longest match at each
-position of a text, the fallbacks of characters, the drawing block of a line and the splice into the page's bytes.
+Fonts are specifications (JSON, as ``Font`` takes it). Texts are encoded in one narrow Arrow pass by compiled fonts
+(``functions.trie``); the reverse map is also there as a table. The drawing block of a line and the splice into the
+page's bytes are built-in expressions.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quirefold.functions.cmap import Font
-from quirefold.functions.fonts import FOLD_FROM, FOLD_TO
 from quirefold.functions.geometry import hex_text, number_text
+from quirefold.functions.lexer import Name, operations
+from quirefold.functions.trie import LONGEST, Encoder
 from quirefold.operators import edit
 from quirefold.operators.islands import top_per_key
 
 REPERTOIRE = "font string, code int, byte_len int, unicode string, width double, rank int"
-#: The longest key of the reverse map, and characters that are spelled out or dropped where a font lacks them.
-LONGEST = 4
-LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳŒœÆæ"
-FOLDS = {**dict(zip(FOLD_FROM, FOLD_TO)), "…": "...", "⁄": "/", **dict.fromkeys("­​﻿‌‍", ""), **dict.fromkeys("             　", " ")}
 #: The font that draws what a page's own font can't, and the name that pages give it.
 FALLBACK, FALLBACK_NAME = json.dumps({"base": "Helvetica", "encoding": "cp1252"}), "QfFallback"
 
@@ -67,64 +65,66 @@ def diagnostics(fonts: DataFrame) -> DataFrame:
     return fonts.select("font").distinct().join(sizes, "font", "left").select("font", F.coalesce("repertoire", F.lit(0)).cast("long").alias("repertoire"), F.col("repertoire").isNotNull().alias("reusable"))
 
 
-def _forms(ch: pd.Series) -> pd.Series:
-    """What may stand in for a character, the best first."""
+#: What a text is encoded to.
+ENCODED = "bytes binary, width double, n_glyphs int, n_spaces int, unmapped array<string>"
+_ENCODERS: dict[str, Encoder] = {}
 
-    def of(c: str) -> list[str]:
-        found = [unicodedata.normalize("NFC", c), unicodedata.normalize("NFD", c)]
-        found += [FOLDS[c]] if c in FOLDS else []
-        found += [unicodedata.normalize("NFKD", c)] if c in LIGATURES else []
-        return [x for x in dict.fromkeys(found) if x != c]
 
-    return ch.map(of)
+def _encoder(spec: str) -> Encoder:
+    """Compiled once per Python worker; few are kept, since an embedded font has up to 65,536 codes."""
+    if spec not in _ENCODERS:
+        if len(_ENCODERS) >= 64:
+            _ENCODERS.pop(next(iter(_ENCODERS)))
+        _ENCODERS[spec] = Encoder(Font(json.loads(spec)))
+    return _ENCODERS[spec]
 
 
-def fallbacks(lost: DataFrame, reverse: DataFrame) -> DataFrame:
-    """font, ch, bytes, width, n: the first stand-in whose characters the font all has; lost: font, ch, different ones."""
-    forms = lost.select("font", "ch", F.posexplode(F.pandas_udf(_forms, "array<string>")("ch")).alias("try", "form"))
-    parts = forms.select("font", "ch", "try", F.char_length("form").alias("n"), F.posexplode_outer(F.filter(F.split("form", ""), lambda x: x != "")).alias("at", "unicode"))
-    found = parts.join(reverse, ["font", "unicode"], "left").groupBy("font", "ch", "try", "n").agg(
-        F.count("code").alias("have"), F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("at", "code", "byte_len", "width")))).alias("p")
-    )
-    whole = top_per_key(found.where("have = n"), ["font", "ch"], [F.col("try")])
-    data = F.aggregate("p", F.lit("").cast("string"), lambda s, x: F.concat(s, F.hex(code_bytes(x["code"], x["byte_len"]))))
-    return whole.select("font", "ch", F.unhex(data).alias("bytes"), F.aggregate("p", F.lit(0.0), lambda s, x: s + x["width"]).alias("width"), "n")
+def _shown(operator: bytes) -> bytes:
+    """The strings of an operator that shows text, joined."""
+    flat = [y for o in operations(operator) for x in o.operands for y in (x if isinstance(x, list) else [x])]
+    return b"".join(x for x in flat if isinstance(x, bytes) and not isinstance(x, Name))
 
 
-def encoded(texts: DataFrame, keys: list[str], reverse: DataFrame) -> DataFrame:
+def encoded(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, font, text, bytes, width (thousandths), n_glyphs, n_spaces, unmapped: the text in the codes of its font.
 
     At each position the longest key counts; a character without one goes by its stand-ins, else it is unmapped and has
-    no bytes. Texts are exploded to their positions, so one row may be as long as a text; texts: keys, font, text.
+    no bytes. texts: keys, font, text and, if they have it, source: the operator (its bytes) that showed a text there in
+    this font before; the first code it has for a character is taken again. One pass, no shuffle; work and memory follow the length of the texts.
+    Defined results: null or empty text has no bytes; null font: everything is unmapped.
     """
-    keyed = [F.col(k) for k in keys]
-    at = texts.select(*keyed, "font", "text", F.explode(F.sequence(F.lit(1), F.char_length("text"))).alias("at")).where("char_length(text) > 0")
-    longest = reverse.agg(F.max(F.char_length("unicode"))).first()[0] or 1  # 4 at most, and 1 for most fonts
-    tried = at.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("at") + 1)), lambda n: F.col("text").substr(F.col("at"), n))).alias("unicode"))
-    hits = tried.join(F.broadcast(reverse), ["font", "unicode"]).groupBy(*keys, "font", "at").agg(F.max_by(F.struct(F.char_length("unicode").alias("n"), "code", "byte_len", "width"), F.char_length("unicode")).alias("hit"))
-    chars = at.select(*keyed, "font", "at", F.col("text").substr(F.col("at"), F.lit(1)).alias("ch")).join(hits, [*keys, "font", "at"], "left")
-    lost = chars.where("hit is null").select("font", "ch").distinct()
-    chars = chars.join(F.broadcast(fallbacks(lost, reverse)), ["font", "ch"], "left")
-    own = F.when(
-        F.col("hit").isNotNull(),
-        F.struct(F.col("hit.n").alias("n"), F.hex(code_bytes(F.col("hit.code"), F.col("hit.byte_len"))).alias("hex"), F.col("hit.width").alias("width"), F.lit(1).alias("glyphs"), ((F.col("hit.code") == 32) & (F.col("hit.byte_len") == 1)).cast("int").alias("spaces")),
-    ).when(F.col("bytes").isNotNull(), F.struct(F.lit(1).alias("n"), F.hex("bytes").alias("hex"), F.col("width"), F.col("n").cast("int").alias("glyphs"), F.lit(0).alias("spaces")))
-    listed = chars.groupBy(*keys, "font").agg(F.array_sort(F.collect_list(F.struct("at", "ch", own.alias("own")))).alias("p"))
-    # keys of several letters cover the positions behind them
-    step = lambda s, x: F.when(x["at"] < s["next"], s).otherwise(F.struct((x["at"] + F.coalesce(x["own"]["n"], F.lit(1))).alias("next"), F.array_append(s["taken"], x).alias("taken")))
-    simple = F.forall("p", lambda x: F.coalesce(x["own"]["n"], F.lit(1)) == 1)
-    taken = F.when(simple, F.col("p")).otherwise(F.expr("slice(p, 1, 0)"))
-    several = listed.where(~simple).withColumn("taken", F.aggregate("p", F.struct(F.lit(1).alias("next"), F.expr("slice(p, 1, 0)").alias("taken")), step, lambda s: s["taken"]))
-    found = listed.where(simple).withColumn("taken", taken).union(several)
-    real = F.filter("taken", lambda x: x["own"].isNotNull())
-    total = lambda f, zero: F.aggregate(real, F.lit(zero), lambda s, x: s + x["own"][f])
-    found = found.select(
-        *keyed, "font", F.unhex(F.array_join(F.transform(real, lambda x: x["own"]["hex"]), "")).alias("bytes"), total("width", 0.0).alias("width"), total("glyphs", 0).alias("n_glyphs"), total("spaces", 0).alias("n_spaces"),
-        F.transform(F.filter("taken", lambda x: x["own"].isNull()), lambda x: x["ch"]).alias("unmapped"),
-    )
-    empty = F.array().cast("array<string>")
-    out = texts.join(found, [*keys, "font"], "left")
-    return out.select(*keyed, "font", "text", F.coalesce("bytes", F.lit(b"")).alias("bytes"), F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("n_glyphs", F.lit(0)).alias("n_glyphs"), F.coalesce("n_spaces", F.lit(0)).alias("n_spaces"), F.coalesce("unmapped", empty).alias("unmapped"))
+    kept = [*keys, "font", "text"]
+    before = F.col("source") if "source" in texts.columns else F.lit(None).cast("binary")
+    source = texts.select(*kept, before.alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            font, text, before = batch.columns[-3], batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist()
+            numbered = font.dictionary_encode()
+            specs, which = numbered.dictionary.to_pylist(), numbered.indices.to_pylist()
+            out: list[tuple] = [(b"", 0.0, 0, 0, list(t or "")) for t in text]
+            for n, spec in enumerate(specs):
+                own, plain, size = _encoder(spec), [], 0
+                rows = [k for k, m in enumerate(which) if m == n and text[k]]
+                for k in rows:
+                    hints = own.hinted(_shown(before[k])) if before[k] else None
+                    if hints:
+                        out[k] = own.encode([text[k]], hints)[0]
+                        continue
+                    plain.append(k)
+                    size += len(text[k])
+                    if size > 1 << 20:
+                        out_of = own.encode([text[i] for i in plain])
+                        for i, found in zip(plain, out_of):
+                            out[i] = found
+                        plain, size = [], 0
+                for i, found in zip(plain, own.encode([text[i] for i in plain])):
+                    out[i] = found
+            made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+
+    schema = StructType([*source.drop("source").schema, *StructType.fromDDL(ENCODED)])
+    return source.mapInArrow(run, schema)
 
 
 def name_token(name: Column) -> Column:
@@ -149,16 +149,17 @@ def draw_block(segments: Column, ctm: Column, tm: Column, scale: Column, char: C
     """
     numbers = lambda a: F.array_join(F.transform(a, number_text), " ")
 
-    def part(x: Column, i: Column) -> Column:
-        cursor = offset + F.aggregate(F.slice(segments, 1, i), F.lit(0.0), lambda s, y: s + advance(y, scale, char, word))
-        filled = F.filter(F.transform(F.slice(segments, 1, i), lambda y: y["fill"]), lambda f: f.isNotNull())
-        same = F.try_element_at(filled, F.lit(-1)).eqNullSafe(x["fill"])
-        fill = F.when(x["fill"].isNotNull() & ~same, F.concat(numbers(x["fill"]), F.lit(" rg\n"))).otherwise("")
+    def part(state: Column, x: Column) -> Column:
+        cursor = state["cursor"]
+        fill = F.when(x["fill"].isNotNull() & ~state["fill"].eqNullSafe(x["fill"]), F.concat(numbers(x["fill"]), F.lit(" rg\n"))).otherwise("")
         placed = F.concat(F.array(*[tm[k] for k in range(4)]), F.array(tm[4] + cursor * tm[0], tm[5] + cursor * tm[1]))
-        return F.concat(fill, name_token(x["font"]), F.lit(" "), number_text(x["size"]), F.lit(" Tf\n"), numbers(placed), F.lit(" Tm\n"), hex_text(x["bytes"]), F.lit(" Tj\n"))
+        text = F.concat(fill, name_token(x["font"]), F.lit(" "), number_text(x["size"]), F.lit(" Tf\n"), numbers(placed), F.lit(" Tm\n"), hex_text(x["bytes"]), F.lit(" Tj\n"))
+        return F.struct((cursor + advance(x, scale, char, word)).alias("cursor"), F.coalesce(x["fill"], state["fill"]).alias("fill"), F.array_append(state["parts"], text).alias("parts"))
 
+    start = F.struct(offset.cast("double").alias("cursor"), F.lit(None).cast("array<double>").alias("fill"), F.array().cast("array<string>").alias("parts"))
+    drawn = F.aggregate(segments, start, part, lambda s: F.array_join(s["parts"], ""))
     state = F.concat(number_text(char), F.lit(" Tc\n"), number_text(word), F.lit(" Tw\n"), number_text(scale * 100), F.lit(" Tz\n"), F.when(rise != 0, F.concat(number_text(rise), F.lit(" Ts\n"))).otherwise(""), F.when(mode != 0, F.concat(mode.cast("string"), F.lit(" Tr\n"))).otherwise(""))
-    block = F.concat(F.lit("q\n"), numbers(ctm), F.lit(" cm\nBT\n"), state, F.array_join(F.transform(segments, part), ""), F.lit("ET\nQ"))
+    block = F.concat(F.lit("q\n"), numbers(ctm), F.lit(" cm\nBT\n"), state, drawn, F.lit("ET\nQ"))
     return F.when(F.size(segments) == 0, "").otherwise(block)
 
 
@@ -172,21 +173,26 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
 
     pages: doc_id, page_index, content, fonts; runs and lines are theirs; edits: doc_id, line_seq, new_text, overflow (keep,
     shrink, condense), anchor (left, center, right). Edits of unknown lines drop out, those of blocked lines are reported;
-    the old operators are silenced, the new text is drawn by one block a line behind the page's content. Applied to the
-    original pages, the result is the same however often it is made.
+    the old operators are silenced, the new text is drawn by one block a line behind the page's content. Lines inside
+    forms are refused and reported (form-line): their bytes aren't the page's. Applied to the original pages, the result is the same however often it is made.
     """
     line = ["doc_id", "page_index", "line_seq"]
     wanted = edits.select("doc_id", "line_seq", "new_text", "overflow", "anchor").join(lines, ["doc_id", "line_seq"])
     locked = wanted.where(F.size("blockers") > 0).select(*line, F.lit("locked-line").alias("code"), F.lit("warn").alias("level"), F.array_join("blockers", ", ").alias("detail"))
     changed = edit.distribute(wanted.where(F.size("blockers") == 0), "run_texts", "new_text").where("owner >= 0")
     pieces = changed.select(*line, "overflow", "anchor", F.col("width").alias("line_width"), F.posexplode(F.arrays_zip(F.col("run_seqs").alias("run_seq"), F.col("texts").alias("new"))).alias("pos", "z")).select(*line, "overflow", "anchor", "line_width", "pos", "z.run_seq", F.col("z.new").alias("new"))
-    pieces = pieces.join(runs, ["doc_id", "page_index", "run_seq"]).join(pages.select("doc_id", "page_index", "fonts"), ["doc_id", "page_index"]).withColumn("font", F.try_element_at("fonts", F.col("font_name"))).drop("fonts")
+    pieces = pieces.join(runs, ["doc_id", "page_index", "run_seq"])
+    # the bytes of a run inside a form are the form's, not the page's
+    formed = pieces.where(F.col("stream_key").startswith("xobj:")).select(*line).distinct()
+    refused = formed.select(*line, F.lit("form-line").alias("code"), F.lit("warn").alias("level"), F.lit("text inside a form").alias("detail"))
+    own_bytes = F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    pieces = pieces.join(formed, line, "left_anti").join(pages.select("doc_id", "page_index", "fonts", "content"), ["doc_id", "page_index"])
+    pieces = pieces.withColumn("font", F.try_element_at("fonts", F.col("font_name"))).withColumn("source", own_bytes).drop("fonts", "content")
     keys = [*line, "pos"]
-    texts = pieces.where("new != ''").select(*keys, "font", F.col("new").alias("text"))
-    reverse = reverse_map(repertoire(pages.select(F.explode(F.map_values("fonts")).alias("font")).union(pages.sparkSession.createDataFrame([(FALLBACK,)], "font string"))))
-    own = encoded(texts.where("font is not null"), keys, reverse)
+    texts = pieces.where("new != ''").select(*keys, "font", F.col("new").alias("text"), "source")
+    own = encoded(texts.where("font is not null"), keys)
     good = own.where((F.size("unmapped") == 0) & (F.octet_length("bytes") > 0))
-    other = encoded(texts.join(good.select(*keys), keys, "left_anti").withColumn("font", F.lit(FALLBACK)), keys, reverse)
+    other = encoded(texts.drop("source").join(good.select(*keys), keys, "left_anti").withColumn("font", F.lit(FALLBACK)), keys)
     lost = other.where(F.size("unmapped") > 0).select(*line, F.lit("unrenderable").alias("code"), F.lit("error").alias("level"), F.array_join(F.array_distinct("unmapped"), "").alias("detail"))
     given = good.withColumn("own", F.lit(True)).union(other.where(F.octet_length("bytes") > 0).withColumn("own", F.lit(False)))
     facts = F.struct("pos", F.when(F.col("own"), F.col("font_name")).otherwise(FALLBACK_NAME).alias("font"), F.col("font_size").alias("size"), "fill", "bytes", F.col("g.width").alias("width"), F.col("g.n_glyphs").alias("n_glyphs"), F.col("g.n_spaces").alias("n_spaces"))
@@ -201,11 +207,10 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset")))
     wide = per.where("fit.overflow").select(*line, F.lit("overflow").alias("code"), F.lit("info").alias("level"), F.lit("").alias("detail"))
     blocks = per.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"))
-    old = pieces.join(pages.select("doc_id", "page_index", F.col("content").alias("_qf_content")), ["doc_id", "page_index"])
-    gone = old.withColumn("silent", edit.silenced(original=edit.source_text(F.col("_qf_content"), F.col("start"), F.col("end")))).select("doc_id", "page_index", "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
+    gone = pieces.withColumn("silent", edit.silenced(original=F.decode("source", "ISO-8859-1"))).select("doc_id", "page_index", "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
     spliced = edit.splice(pages, gone, ["doc_id", "page_index"]).join(blocks, ["doc_id", "page_index"], "left")
     fallback = F.when(F.contains(F.col("block"), F.lit(FALLBACK_NAME)), F.map_concat("fonts", F.create_map(F.lit(FALLBACK_NAME), F.lit(FALLBACK)))).otherwise(F.col("fonts"))
     content = F.when(F.col("block").isNull(), F.col("content")).otherwise(wrapped(F.col("content"), F.coalesce("block", F.lit(""))))
     edited = spliced.withColumn("content", content).withColumn("fonts", fallback).drop("block")
     clash = edit.conflicts(gone, ["doc_id", "page_index"]).select("doc_id", "page_index", F.lit(None).cast("int").alias("line_seq"), F.lit("conflict").alias("code"), F.lit("error").alias("level"), F.lit("").alias("detail"))
-    return edited, locked.union(lost).union(wide).union(clash)
+    return edited, locked.union(refused).union(lost).union(wide).union(clash)

@@ -5,6 +5,7 @@ Every query reads the given tables, or pages that are typeset from them, as a wh
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fonts, geometry
 from quirefold.operators import edit, encode, interpret, islands, lines, session, state, summary
 from quirefold.sources import pdf
-from quirefold.sources.typeset import typeset
+from quirefold.sources.typeset import literal, typeset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -600,11 +601,26 @@ SELECT doc_id, CAST(sum(n * coalesce(width, {fonts.DEFAULT_WIDTH})) AS BIGINT) A
 def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-11 F-08 K-13 P-11: every text in the codes of a font, with its width and what the font lacks."""
     texts = read(spark, sf_dir, "documents").select("doc_id", F.lit(encode.FALLBACK).alias("font"), F.regexp_replace("text", "\n", "").alias("text")).where("text != ''")
-    reverse = encode.reverse_map(encode.repertoire(texts.select("font")))
-    found = encode.encoded(texts, ["doc_id"], reverse)
+    found = encode.encoded(texts, ["doc_id"])
     return found.select("doc_id", whole(geometry.half_up(F.col("width"))).alias("width_1000"), whole(F.col("n_glyphs")).alias("n_glyphs"), F.size("unmapped").cast("long").alias("n_unmapped"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) ELSE 0 END AS hinted,
+       CASE WHEN doc_id % 2 = 1 THEN CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) ELSE 0 END AS plain FROM documents WHERE text IS NOT NULL
+""")
+def encode_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-11: of two codes for one letter, the one that the run used before is taken again."""
+    font = json.dumps({"base": "Helvetica", "encoding": "cp1252", "differences": {"200": "e"}})
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    before = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("e"), F.lit("\xc8"))).otherwise(F.col("text"))
+    operator = F.encode(F.concat(literal(F.regexp_replace(before, r"[^\x{0}-\x{ff}]", "?")), F.lit(" Tj")), "ISO-8859-1")
+    found = encode.encoded(docs.select("doc_id", F.lit(font).alias("font"), "text", operator.alias("source")), ["doc_id"])
+    shown = F.decode("bytes", "ISO-8859-1")
+    count = lambda c: whole(F.char_length(shown) - F.char_length(F.replace(shown, F.lit(c), F.lit(""))))
+    return found.select("doc_id", count("\xc8").alias("hinted"), count("e").alias("plain"))
+
+
 @query("""
 SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no, CAST(62 AS BIGINT) AS x, CAST(712 - 12 * generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS y FROM documents WHERE text IS NOT NULL
 """)

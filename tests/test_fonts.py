@@ -1,13 +1,16 @@
 """Encodings, code maps, filters, colours and forms with resources of their own."""
 
 import json
+import random
+import time
 
 import pytest
 
 from quirefold.functions import fonts
 from quirefold.functions.cmap import Font
 from quirefold.functions.pdfobjects import PdfFile, build_pdf, lzw, name_bytes
-from quirefold.operators import interpret
+from quirefold.functions.trie import Encoder, stand_ins
+from quirefold.operators import encode, interpret
 from quirefold.sources.typeset import WIDE_FONT
 
 
@@ -78,3 +81,58 @@ def test_files_keep_their_fonts():
     own, wide = json.loads(found["F 1"]), json.loads(found["W"])
     assert own["base"] == "Times Roman" and own["encoding"] == "mac_roman" and own["widths"]["65"] == 700 and wide["cmap"] and Font(wide).glyphs("中".encode("utf-32-be"))[0].unicode == "中"
     assert name_bytes("A b#") == b"/A#20b#23"
+
+
+LIGATED = {"type0": True, "to_unicode": b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 5 beginbfchar <0001> <0066> <0002> <0069> <0003> <00660069> <0004> <006600660069> <0005> <0061> endbfchar 1 beginbfrange <0006> <0007> <0061> endbfrange endcmap".hex(), "cid_widths": [[1, 9, 500]], "default_width": 0}
+
+
+def plainly(font, text):
+    """Longest match one position after another: (bytes, width, glyphs, blanks, lost)."""
+    best = {}
+    for code, n, t, width, rank in font.repertoire():
+        if (len(t) == 1 or (len(t) <= 4 and t.isalpha())) and (t not in best or (rank, code) < best[t][0]):
+            best[t] = ((rank, code), code.to_bytes(n, "big"), width)
+    out, lost, i = [], [], 0
+    while i < len(text):
+        for n in (4, 3, 2, 1):
+            if i + n <= len(text) and text[i : i + n] in best:
+                out.append(best[text[i : i + n]])
+                i += n
+                break
+        else:
+            forms = [f for f in stand_ins(text[i]) if all(c in best for c in f)]
+            lost += [] if forms else [text[i]]
+            out += [best[c] for c in forms[0]] if forms else []
+            i += 1
+    return b"".join(b for _, b, _ in out), pytest.approx(sum(w for *_, w in out)), len(out), sum(b == b" " for _, b, _ in out), lost
+
+
+@pytest.mark.parametrize("spec", [{"encoding": "cp1252"}, LIGATED, json.loads(WIDE_FONT), {"encoding": "symbol"}, {"type0": True, "cmap_name": "UniJIS-UCS2-H"}])
+def test_encoder_against_one_position_after_another(spec):
+    font, rng = Font(spec), random.Random(6)
+    texts = ["", *["".join(rng.choice(["f", "fi", "ffi", "i", "a", "b", "c", " ", "é", "e\u0301", "ﬁ", "“", "…", "\u2003", "\u200b", "ż", "中", "😀", "Ω", "\n"]) for _ in range(rng.randint(0, 20))) for _ in range(300)]]
+    assert Encoder(font).encode(texts) == [plainly(font, t) for t in texts]
+
+
+def test_hints_take_the_code_of_before():
+    own = Encoder(Font(LIGATED))
+    assert own.encode(["ab"])[0][0] == b"\0\5\0\7" and own.encode(["ab"], own.hinted(b"\0\6\0\5"))[0][0] == b"\0\6\0\7"
+    subset = Encoder(Font({"encoding": "cp1252", "subset": True, "widths": {"65": 600}, "differences": {"200": "A"}}))
+    assert subset.hinted(b"\xc8") == {} and subset.encode(["A"])[0][0] == b"A"  # a code without a width isn't in the subset
+
+
+def test_encoded_rows(spark):
+    latin = json.dumps({"base": "Helvetica", "encoding": "cp1252", "differences": {"200": "e"}})
+    rows = [(1, latin, "see", b"(s\\310e) Tj"), (2, latin, "see", b"[(s) 4 (e)] TJ"), (3, latin, None, None), (4, latin, "", b"(x) Tj"), (5, None, "ab", None), (6, latin, "e中", None), (6, latin, "e中", None)]
+    got = sorted((r.k, bytes(r.bytes), r.n_glyphs, r.unmapped) for r in encode.encoded(spark.createDataFrame(rows, "k int, font string, text string, source binary"), ["k"]).collect())
+    assert got == [(1, b"s\xc8\xc8", 3, []), (2, b"see", 3, []), (3, b"", 0, []), (4, b"", 0, []), (5, b"", 0, ["a", "b"]), (6, b"e", 1, ["中"]), (6, b"e", 1, ["中"])]
+    assert encode.encoded(spark.createDataFrame([], "k int, font string, text string"), ["k"]).count() == 0
+
+
+def test_time_follows_the_length():
+    own, took = Encoder(Font(LIGATED)), []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        own.encode(["ffiab" * n])
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.02)

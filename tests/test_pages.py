@@ -6,10 +6,11 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirefold.functions.cmap import Font, parse_cmap, utf16
 from quirefold.functions.lexer import MAX_OPERANDS, Name, number, operations
-from quirefold.operators import edit, interpret, lines, session
+from quirefold.operators import edit, encode, interpret, lines, session
 
 FONT = json.dumps({"base": "Helvetica"})
 
@@ -160,3 +161,18 @@ def test_sessions(spark):
     acts = [(1, k, a, v) for k, (a, v) in enumerate([("edit", "a"), ("edit", "b"), ("undo", ""), ("undo", ""), ("undo", ""), ("redo", ""), ("edit", "c"), ("redo", "")])]
     out = session.replay(spark.createDataFrame(acts, "s long, k long, a string, v string"), "s", "k", "a", "v").orderBy("seq").collect()
     assert [(r.present, r.undo_depth, r.redo_depth) for r in out] == [("a", 1, 0), ("b", 2, 0), ("a", 1, 1), (None, 0, 2), (None, 0, 2), ("a", 1, 1), ("c", 2, 0), ("c", 2, 0)]
+
+
+def test_edits_inside_forms_are_refused(spark):
+    inner = b"BT /F1 9 Tf 10 10 Td (Inside form) Tj ET"
+    content = b"BT /F1 9 Tf 72 700 Td (Page line) Tj ET /X Do"
+    forms = {"X": {"content": inner, "matrix": None, "fonts": None, "names": None, "key": "5 0 R"}}
+    kind = "doc_id long, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,fonts:map<string,string>,names:map<string,string>,key:string>>"
+    page = spark.createDataFrame([(1, 0, content, {"F1": FONT}, forms)], kind)
+    found = interpret.text_runs(page)
+    grouped = lines.group_lines(found)
+    edits = grouped.select("doc_id", "line_seq", F.concat("text", F.lit("!")).alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
+    edited, report = encode.apply_edits(page, found, grouped, edits)
+    after = edited.collect()[0]
+    assert bytes(after.forms["X"].content) == inner and b"(Page line)" not in bytes(after.content) and b"Page line!".hex().upper().encode() in bytes(after.content)
+    assert (2, "form-line") in {(r.line_seq, r.code) for r in report.collect()}
