@@ -71,14 +71,15 @@ def splice(streams: DataFrame, replacements: DataFrame, keys: list[str], content
     listed = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "bytes"))).alias("_qf_r"))
     joined = streams.join(listed, keys, "left")
     r, data = F.col("_qf_r"), F.col(content)
+    text = lambda x: F.decode(x, "ISO-8859-1")  # noqa: E731  one character a byte, and back
 
     def piece(x: Column, i: Column) -> Column:
         last = F.when(i == 0, F.lit(0)).otherwise(F.get(r, i - 1)["end"])
-        return F.concat(F.hex(F.substring(data, (last + 1).cast("int"), (x["start"] - last).cast("int"))), F.hex(x["bytes"]))
+        return F.concat(text(F.substring(data, (last + 1).cast("int"), (x["start"] - last).cast("int"))), text(x["bytes"]))
 
-    tail = F.hex(F.substring(data, (F.element_at(r, -1)["end"] + 1).cast("int"), F.lit(2**31 - 1)))
+    tail = text(F.substring(data, (F.element_at(r, -1)["end"] + 1).cast("int"), F.lit(2**31 - 1)))
     fine = F.forall(F.transform(r, lambda x, i: (x["start"] >= F.when(i == 0, F.lit(0)).otherwise(F.get(r, i - 1)["end"])) & (x["end"] >= x["start"]) & (x["end"] <= F.octet_length(data))), lambda ok: ok)
-    return joined.withColumn(content, F.when(r.isNull() | ~fine, data).otherwise(F.unhex(F.concat(F.array_join(F.transform(r, piece), ""), tail)))).drop("_qf_r")
+    return joined.withColumn(content, F.when(r.isNull() | ~fine, data).otherwise(F.encode(F.concat(F.array_join(F.transform(r, piece), ""), tail), "ISO-8859-1"))).drop("_qf_r")
 
 
 #: What ``silenced`` reads of a run.

@@ -168,49 +168,85 @@ def wrapped(content: Column, block: Column) -> Column:
     return F.concat(F.encode(F.lit("q\n"), "ISO-8859-1"), content, F.encode(F.concat(F.lit("\nQ\n"), block, F.lit("\n")), "ISO-8859-1"))
 
 
+def _streams(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, stream_key, content, fonts of each page and of the forms that it shows."""
+    page = ["doc_id", "page_index"]
+    own = pages.select(*page, F.concat(F.lit("page:"), F.col("page_index").cast("string")).alias("stream_key"), "content", "fonts")
+    if "forms" not in pages.columns:
+        return own
+    each = pages.select(*page, F.col("fonts").alias("outer"), F.explode("forms").alias("name", "form"))
+    key = F.concat(F.lit("xobj:"), F.when(F.coalesce(F.col("form.key"), F.lit("")) != "", F.col("form.key")).otherwise(F.col("name")))
+    each = each.select(*page, key.alias("stream_key"), F.col("form.content").alias("content"), F.coalesce(F.col("form.fonts"), F.col("outer")).alias("fonts"))
+    # a form may have several names on a page
+    once = each.groupBy(*page, "stream_key").agg(F.any_value(F.struct("content", "fonts")).alias("s"))
+    return own.union(once.select(*page, "stream_key", "s.content", "s.fonts"))
+
+
+def alias(spec: Column) -> Column:
+    """The name that a page gives to a font of one of its forms."""
+    return F.concat(F.lit("QfE"), F.substring(F.md5(spec), 1, 12))
+
+
 def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages with the edits applied, a report: doc_id, page_index, line_seq, code, level, detail).
 
-    pages: doc_id, page_index, content, fonts; runs and lines are theirs; edits: doc_id, line_seq, new_text, overflow (keep,
-    shrink, condense), anchor (left, center, right). Edits of unknown lines drop out, those of blocked lines are reported;
-    the old operators are silenced, the new text is drawn by one block a line behind the page's content. Lines inside
-    forms are refused and reported (form-line): their bytes aren't the page's. Applied to the original pages, the result is the same however often it is made.
+    pages: doc_id, page_index, content, fonts and, if they have them, forms; runs and lines are theirs; edits: doc_id,
+    line_seq, new_text, overflow (keep, shrink, condense), anchor (left, center, right). Edits of unknown lines drop out,
+    those of blocked lines are reported; the old operators are silenced where they stand, in the page or in a form, and
+    the new text is drawn by one block a line behind the page's content, with a form's font under an alias. A form that
+    is shown more than once, or that is no object of its own, keeps its text (shared-xobject). runs and lines are read
+    several times: pass written tables. Applied to the original pages, the result is the same however often it is made.
     """
-    line = ["doc_id", "page_index", "line_seq"]
+    page, line = ["doc_id", "page_index"], ["doc_id", "page_index", "line_seq"]
+    stream = [*page, "stream_key"]
     wanted = edits.select("doc_id", "line_seq", "new_text", "overflow", "anchor").join(lines, ["doc_id", "line_seq"])
-    locked = wanted.where(F.size("blockers") > 0).select(*line, F.lit("locked-line").alias("code"), F.lit("warn").alias("level"), F.array_join("blockers", ", ").alias("detail"))
+    report = lambda df, code, level, detail: df.select(*line, F.lit(code).alias("code"), F.lit(level).alias("level"), detail.alias("detail"))
+    locked = report(wanted.where(F.size("blockers") > 0), "locked-line", "warn", F.array_join("blockers", ", "))
     changed = edit.distribute(wanted.where(F.size("blockers") == 0), "run_texts", "new_text").where("owner >= 0")
     pieces = changed.select(*line, "overflow", "anchor", F.col("width").alias("line_width"), F.posexplode(F.arrays_zip(F.col("run_seqs").alias("run_seq"), F.col("texts").alias("new"))).alias("pos", "z")).select(*line, "overflow", "anchor", "line_width", "pos", "z.run_seq", F.col("z.new").alias("new"))
-    pieces = pieces.join(runs, ["doc_id", "page_index", "run_seq"])
-    # the bytes of a run inside a form are the form's, not the page's
-    formed = pieces.where(F.col("stream_key").startswith("xobj:")).select(*line).distinct()
-    refused = formed.select(*line, F.lit("form-line").alias("code"), F.lit("warn").alias("level"), F.lit("text inside a form").alias("detail"))
+    pieces = pieces.join(runs, [*page, "run_seq"])
+    inside = F.col("stream_key").startswith("xobj:")
+    often = runs.where(inside).groupBy("doc_id", "stream_key", "start").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stream_key").distinct()
+    formed = pieces.where(inside).select("doc_id", "stream_key", *line[1:]).distinct().join(often.withColumn("often", F.lit(True)), ["doc_id", "stream_key"], "left")
+    refused = formed.where(F.col("often") | ~F.col("stream_key").rlike(r"^xobj:\d+ \d+ R$")).select(*line).distinct()
+    shared = report(refused, "shared-xobject", "warn", F.lit("text of a form that is shown more than once or is no object"))
+    streams = _streams(pages)
     own_bytes = F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    pieces = pieces.join(formed, line, "left_anti").join(pages.select("doc_id", "page_index", "fonts", "content"), ["doc_id", "page_index"])
+    pieces = pieces.join(refused, line, "left_anti").join(streams, stream)
     pieces = pieces.withColumn("font", F.try_element_at("fonts", F.col("font_name"))).withColumn("source", own_bytes).drop("fonts", "content")
     keys = [*line, "pos"]
     texts = pieces.where("new != ''").select(*keys, "font", F.col("new").alias("text"), "source")
     own = encoded(texts.where("font is not null"), keys)
     good = own.where((F.size("unmapped") == 0) & (F.octet_length("bytes") > 0))
     other = encoded(texts.drop("source").join(good.select(*keys), keys, "left_anti").withColumn("font", F.lit(FALLBACK)), keys)
-    lost = other.where(F.size("unmapped") > 0).select(*line, F.lit("unrenderable").alias("code"), F.lit("error").alias("level"), F.array_join(F.array_distinct("unmapped"), "").alias("detail"))
+    lost = report(other.where(F.size("unmapped") > 0), "unrenderable", "error", F.array_join(F.array_distinct("unmapped"), ""))
     given = good.withColumn("own", F.lit(True)).union(other.where(F.octet_length("bytes") > 0).withColumn("own", F.lit(False)))
-    facts = F.struct("pos", F.when(F.col("own"), F.col("font_name")).otherwise(FALLBACK_NAME).alias("font"), F.col("font_size").alias("size"), "fill", "bytes", F.col("g.width").alias("width"), F.col("g.n_glyphs").alias("n_glyphs"), F.col("g.n_spaces").alias("n_spaces"))
+    name = F.when(~F.col("own"), FALLBACK_NAME).when(inside, alias(F.col("font"))).otherwise(F.col("font_name"))
+    facts = F.struct("pos", name.alias("font"), F.col("font_size").alias("size"), "fill", "bytes", F.col("g.width").alias("width"), F.col("g.n_glyphs").alias("n_glyphs"), F.col("g.n_spaces").alias("n_spaces"))
     joined = pieces.join(given.select(*keys, "own", "bytes", F.struct("width", "n_glyphs", "n_spaces").alias("g")), keys, "left")
     anchors = F.min_by(F.struct("ctm", "text_matrix", "horiz_scale", "char_spacing", "word_spacing", "rise", "render_mode", "text_to_page", "line_width", "overflow", "anchor"), "pos").alias("at")
-    per = joined.groupBy(*line).agg(anchors, F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), facts))).alias("segments"))
+    # fonts that the page gets for its blocks
+    more = F.when(~F.col("own"), F.struct(F.lit(FALLBACK_NAME).alias("name"), F.lit(FALLBACK).alias("spec"))).when(inside, F.struct(alias(F.col("font")).alias("name"), F.col("font").alias("spec")))
+    per = joined.groupBy(*line).agg(anchors, F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), facts))).alias("segments"), F.collect_set(F.when(F.col("bytes").isNotNull(), more)).alias("more"))
     scale, char, word = F.when(F.col("at.horiz_scale") == 0, 1.0).otherwise(F.col("at.horiz_scale")), F.col("at.char_spacing"), F.col("at.word_spacing")
     per = per.withColumn("room", F.col("at.line_width") / F.col("at.text_to_page")).withColumn("needed", advances(F.col("segments"), scale, char, word))
     fit = edit.fitted(F.col("needed"), F.col("room"), F.when(F.col("room") > 0, F.col("at.overflow")), F.col("at.anchor"))
     per = per.withColumn("fit", fit).withColumn("segments", F.transform("segments", lambda x: x.withField("size", x["size"] * F.col("fit.size_factor"))))
     mode = F.when(F.col("at.render_mode") >= 4, 0).otherwise(F.col("at.render_mode"))
     per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset")))
-    wide = per.where("fit.overflow").select(*line, F.lit("overflow").alias("code"), F.lit("info").alias("level"), F.lit("").alias("detail"))
-    blocks = per.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"))
-    gone = pieces.withColumn("silent", edit.silenced(original=F.decode("source", "ISO-8859-1"))).select("doc_id", "page_index", "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
-    spliced = edit.splice(pages, gone, ["doc_id", "page_index"]).join(blocks, ["doc_id", "page_index"], "left")
-    fallback = F.when(F.contains(F.col("block"), F.lit(FALLBACK_NAME)), F.map_concat("fonts", F.create_map(F.lit(FALLBACK_NAME), F.lit(FALLBACK)))).otherwise(F.col("fonts"))
-    content = F.when(F.col("block").isNull(), F.col("content")).otherwise(wrapped(F.col("content"), F.coalesce("block", F.lit(""))))
-    edited = spliced.withColumn("content", content).withColumn("fonts", fallback).drop("block")
-    clash = edit.conflicts(gone, ["doc_id", "page_index"]).select("doc_id", "page_index", F.lit(None).cast("int").alias("line_seq"), F.lit("conflict").alias("code"), F.lit("error").alias("level"), F.lit("").alias("detail"))
-    return edited, locked.union(refused).union(lost).union(wide).union(clash)
+    wide = report(per.where("fit.overflow"), "overflow", "info", F.lit(""))
+    blocks = per.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
+    gone = pieces.withColumn("silent", edit.silenced(original=F.decode("source", "ISO-8859-1"))).select(*stream, "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
+    touched = gone.select(*stream).distinct()
+    spliced = edit.splice(streams.join(touched, stream, "left_semi").select(*stream, "content"), gone, stream)
+    new = spliced.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("stream_key", "content"))).alias("new"))
+    edited = pages.join(new, page, "left").join(blocks, page, "left")
+    content = F.coalesce(F.try_element_at("new", F.concat(F.lit("page:"), F.col("page_index").cast("string"))), F.col("content"))
+    content = F.when(F.col("block").isNull(), F.col("content")).otherwise(wrapped(content, F.coalesce("block", F.lit(""))))
+    fonts = F.when(F.size("more") > 0, F.map_concat(F.map_filter("fonts", lambda n, _: ~F.exists("more", lambda m: m["name"] == n)), F.map_from_entries("more"))).otherwise(F.col("fonts"))
+    if "forms" in pages.columns:
+        was = lambda n, f: F.concat(F.lit("xobj:"), F.when(F.coalesce(f["key"], F.lit("")) != "", f["key"]).otherwise(n))
+        edited = edited.withColumn("forms", F.transform_values("forms", lambda n, f: f.withField("content", F.coalesce(F.try_element_at("new", was(n, f)), f["content"]))))
+    edited = edited.withColumn("content", content).withColumn("fonts", fonts).drop("block", "more", "new")
+    clash = report(edit.conflicts(gone, stream).withColumn("line_seq", F.lit(None).cast("int")), "conflict", "error", F.lit(""))
+    return edited, locked.union(shared).union(lost).union(wide).union(clash)

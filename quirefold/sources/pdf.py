@@ -1,21 +1,30 @@
 """PDF files as a source of page streams and as a sink.
 
 Reading: ``spark.read.format("binaryFile")`` gives one row per file; one narrow Python stage turns each file into
-its pages. A file that can't be read becomes a row with a warning, never a failure. Writing: pages are grouped by
-document (a document's pages must fit one task) and put together to file bytes; ``save`` writes them from the
-executors to any store that Arrow knows.
+its pages. A file that can't be read becomes a row with a warning, never a failure. Writing: ``patched`` puts edited
+pages and forms behind a file's own bytes, as an update that leaves all else as it is; ``documents`` makes new files of
+text pages, grouped by document (a document's pages must fit one task). Files are written by a data source to any store
+that Arrow knows, and are there all at once, when the job has committed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import suppress
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from quirefold.functions.geometry import quarter_turns
 from quirefold.functions.pdfobjects import PdfFile, Refused, build_pdf
+from quirefold.functions.pdfupdate import page_nodes, references, updated
+from quirefold.operators.graph import released
 
 PAGES = (
     "doc_id bigint, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,key:string,fonts:map<string,string>,names:map<string,string>>>, media array<double>, crop array<double>, "
@@ -101,16 +110,162 @@ def documents(streams: DataFrame, compress: bool = True) -> DataFrame:
     return streams.select("doc_id", "page_index", "content", *(["fonts"] if own else [])).groupBy("doc_id").applyInPandas(together, "doc_id bigint, content binary")
 
 
-def save(found: DataFrame, folder: str) -> None:
-    """Writes each document to ``folder``/<doc_id>-edited.pdf; a repeated attempt overwrites its own files only."""
+def object_references(found: DataFrame) -> DataFrame:
+    """doc_id, from, to, key: one row for each reference from one object of a file to another; of a page's Contents, key is
+    /Contents. Objects of files that can't be read have none; found: doc_id, content."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, content in zip(batch["doc_id"], batch["content"]):
+                try:
+                    objects = PdfFile.parse(content or b"").objects
+                except Refused:
+                    continue
+                listed = [(doc, n, to, key) for n, value in objects.items() for key, to in references(value)]
+                yield pd.DataFrame(listed, columns=["doc_id", "from", "to", "key"])
+
+    return found.select("doc_id", "content").mapInPandas(rows, "doc_id bigint, from bigint, to bigint, key string")
+
+
+def page_objects(found: DataFrame) -> DataFrame:
+    """doc_id, page_index, node: the object of each page."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, content in zip(batch["doc_id"], batch["content"]):
+                try:
+                    listed = [(doc, k, ref.number) for k, (ref, _, _) in enumerate(page_nodes(PdfFile.parse(content or b""))) if ref]
+                except Refused:
+                    continue
+                yield pd.DataFrame(listed, columns=["doc_id", "page_index", "node"])
+
+    return found.select("doc_id", "content").mapInPandas(rows, "doc_id bigint, page_index int, node bigint")
+
+
+def unused_contents(found: DataFrame, replaced: DataFrame) -> DataFrame:
+    """doc_id, to: content streams (and lists of them) that only replaced pages show; replaced: doc_id, page_index.
+
+    A page may name one stream, a list in place, or a list that is an object of its own: such lists are followed.
+    """
+    edges = object_references(found).withColumnRenamed("from", "source")
+    nodes = page_objects(found)
+    mark = replaced.select("doc_id", "page_index").distinct().withColumn("gone", F.lit(True))
+    pages_of = nodes.join(mark, ["doc_id", "page_index"], "left").select("doc_id", F.col("node").alias("source"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    direct = edges.where("key = '/Contents'").join(pages_of, ["doc_id", "source"]).select("doc_id", "gone", "to")
+    listed = edges.where("key = ''").select("doc_id", F.col("source").alias("to"), F.col("to").alias("inner"))  # arrays that are objects
+    inner = direct.join(listed, ["doc_id", "to"]).select("doc_id", "gone", F.col("inner").alias("to"))
+    shown = direct.union(inner)
+    elsewhere = edges.where("key != '/Contents' and key != ''").select("doc_id", "to")  # links and the like keep an object, too
+    return released(shown.where("gone"), shown.where("not gone").select("doc_id", "to").union(elsewhere), ["doc_id"])
+
+
+PATCHED = "doc_id bigint, content binary, warnings array<struct<code:string,detail:string>>"
+
+
+def patched(found: DataFrame, edited: DataFrame) -> DataFrame:
+    """doc_id, content, warnings: files with edited pages and forms as incremental updates.
+
+    found: doc_id, content (the files); edited: the edited pages (doc_id, page_index, content, fonts and, if there,
+    forms), only those that were edited. Pages and forms that are as they were aren't written; a file without edits keeps
+    its bytes. Content streams that nothing else uses are released. Warnings: page-write, xobject-write, parse, encrypted.
+    A file and its edited pages must fit one task.
+    """
+    more = [F.col("forms")] if "forms" in edited.columns else []
+    listed = edited.groupBy("doc_id").agg(F.collect_list(F.struct("page_index", "content", "fonts", *more)).alias("pages"))
+    gone = unused_contents(found.join(edited.select("doc_id").distinct(), "doc_id", "left_semi"), edited).groupBy("doc_id").agg(F.collect_set("to").alias("released"))
+    rows = found.select("doc_id", "content").join(listed, "doc_id", "left").join(gone, "doc_id", "left")
+
+    def one(content: bytes | None, edits: list[dict] | None, unused: list[int] | None) -> tuple[bytes | None, list[dict]]:
+        if not edits:
+            return content, []
+        forms = {f["key"]: f["content"] for e in edits for _, f in e.get("forms") or [] if f["key"]}
+        try:
+            data, warnings = updated(content or b"", {e["page_index"]: (e["content"], dict(e["fonts"] or [])) for e in edits}, forms, tuple(unused or ()))
+        except Refused as why:
+            return content, [{"code": why.code, "detail": ""}]
+        return data, [{"code": c, "detail": d} for c, d in warnings]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("code", pa.string()), ("detail", pa.string())]))]
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                doc, content, edits, unused = (c.slice(k, 1).to_pylist()[0] for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((doc, *one(content, edits, unused)), kinds)], names=["doc_id", "content", "warnings"])
+
+    return rows.mapInArrow(run, PATCHED)
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """A path or URI of any store that Arrow knows."""
+    return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+
+
+@dataclass
+class Put(WriterCommitMessage):
+    attempt: str
+    files: int
+
+
+class FilesSink(DataSource):
+    """Format qf_files, option path: rows (name, content) become files of those names in one new folder of ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "qf_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> "FilesWriter":
+        return FilesWriter(self.options["path"], self.options["run"])
+
+
+class FilesWriter(DataSourceArrowWriter):
+    """Each attempt of a task writes to a folder of its own below a hidden one. The driver's commit drops attempts that
+    don't count, joins the others and renames the hidden folder, so a reader sees all files or none."""
+
+    def __init__(self, path: str, run: str):
+        self.path, self.run = path, run
+
+    def _hidden(self) -> tuple[pafs.FileSystem, str, str]:
+        store, base = _store(self.path)
+        return store, f"{base}/_{self.run}", f"{base}/{self.run}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Put:
+        from pyspark import TaskContext
+
+        store, hidden, _ = self._hidden()
+        attempt, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
+        store.create_dir(f"{hidden}/{attempt}", recursive=True)
+        for batch in iterator:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{hidden}/{attempt}/{name}", compression=None) as out:
+                    out.write(content or b"")
+                n += 1
+        return Put(attempt, n)
+
+    def commit(self, messages: list[Put | None]) -> None:
+        store, hidden, shown = self._hidden()
+        store.create_dir(hidden, recursive=True)
+        good = {m.attempt for m in messages if m is not None and m.files}
+        for info in store.get_file_info(pafs.FileSelector(hidden)):
+            if info.base_name not in good:
+                store.delete_dir(info.path)
+        store.move(hidden, shown)
+
+    def abort(self, messages: list[Put | None]) -> None:
+        store, hidden, _ = self._hidden()
+        with suppress(FileNotFoundError):
+            store.delete_dir(hidden)
 
-    def put(rows: Iterator) -> None:
-        import pyarrow.fs as pafs
 
-        store, base = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
-        store.create_dir(base, recursive=True)
-        for row in rows:
-            with store.open_output_stream(f"{base}/{row.doc_id}-edited.pdf", compression=None) as out:
-                out.write(bytes(row.content))
+def save(found: DataFrame, folder: str) -> str:
+    """Writes each document as <doc_id>-edited.pdf, and returns the new folder below ``folder`` that holds them.
 
-    found.select("doc_id", "content").foreachPartition(put)
+    All files are there when the call returns, and none if it fails; attempts of tasks that failed leave nothing.
+    """
+    found.sparkSession.dataSource.register(FilesSink)
+    run = f"run-{uuid.uuid4().hex}"
+    rows = found.select(F.concat(F.col("doc_id").cast("string"), F.lit("-edited.pdf")).alias("name"), "content")
+    rows.write.format("qf_files").option("path", folder).option("run", run).mode("append").save()
+    return f"{folder}/{run}"

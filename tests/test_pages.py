@@ -163,16 +163,37 @@ def test_sessions(spark):
     assert [(r.present, r.undo_depth, r.redo_depth) for r in out] == [("a", 1, 0), ("b", 2, 0), ("a", 1, 1), (None, 0, 2), (None, 0, 2), ("a", 1, 1), ("c", 2, 0), ("c", 2, 0)]
 
 
-def test_edits_inside_forms_are_refused(spark):
-    inner = b"BT /F1 9 Tf 10 10 Td (Inside form) Tj ET"
-    content = b"BT /F1 9 Tf 72 700 Td (Page line) Tj ET /X Do"
-    forms = {"X": {"content": inner, "matrix": None, "fonts": None, "names": None, "key": "5 0 R"}}
-    kind = "doc_id long, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,fonts:map<string,string>,names:map<string,string>,key:string>>"
-    page = spark.createDataFrame([(1, 0, content, {"F1": FONT}, forms)], kind)
-    found = interpret.text_runs(page)
-    grouped = lines.group_lines(found)
+FORMED = "doc_id long, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,fonts:map<string,string>,names:map<string,string>,key:string>>"
+
+
+def edited_pages(spark, content: bytes, forms: dict):
+    """(the page after every line got a mark behind it, the codes of the report by line, its lines before)."""
+    page = spark.createDataFrame([(1, 0, content, {"F1": FONT}, forms)], FORMED)
+    found = spark.createDataFrame(interpret.text_runs(page).collect(), interpret.text_runs(page).schema)
+    grouped = spark.createDataFrame(lines.group_lines(found).collect(), lines.group_lines(found).schema)
     edits = grouped.select("doc_id", "line_seq", F.concat("text", F.lit("!")).alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
     edited, report = encode.apply_edits(page, found, grouped, edits)
+    return edited, {(r.line_seq, r.code) for r in report.collect()}, grouped
+
+
+def test_edits_inside_forms(spark):
+    """The form's own operator is silenced; the text stands where it was, in the form's font, and the page's line stays."""
+    inner = b"BT /F1 9 Tf 10 10 Td (Inside form) Tj ET"
+    own = json.dumps({"base": "Courier"})
+    forms = {"X": {"content": inner, "matrix": [2.0, 0.0, 0.0, 2.0, 5.0, 7.0], "fonts": {"F1": own}, "names": {}, "key": "5 0 R"}}
+    edited, codes, before = edited_pages(spark, b"BT /F1 9 Tf 72 700 Td (Page line) Tj ET /X Do", forms)
+    after = edited.collect()[0]
+    assert b"Inside" not in bytes(after.forms["X"].content) and own in after.fonts.values() and (2, "shared-xobject") not in codes
+    again = lines.group_lines(interpret.text_runs(edited)).where("text != ''").orderBy("line_seq").collect()
+    was = before.orderBy("line_seq").collect()
+    assert [r.text for r in again] == ["Page line!", "Inside form!"] and [(r.x, r.y, r.size) for r in again] == [(r.x, r.y, r.size) for r in was]
+    assert (again[1].x, again[1].y, again[1].size) == (25, 27, 18) and math.isclose(again[1].width, 12 * 0.6 * 18)
+
+
+def test_forms_that_are_shown_twice_keep_their_text(spark):
+    inner = b"BT /F1 9 Tf 10 10 Td (Inside form) Tj ET"
+    forms = {"X": {"content": inner, "matrix": None, "fonts": None, "names": None, "key": "5 0 R"}, "Y": {"content": inner, "matrix": None, "fonts": None, "names": None, "key": ""}}
+    edited, codes, _ = edited_pages(spark, b"BT /F1 9 Tf 72 700 Td (Page line) Tj ET /X Do 1 0 0 1 0 50 cm /X Do 1 0 0 1 0 50 cm /Y Do", forms)
     after = edited.collect()[0]
-    assert bytes(after.forms["X"].content) == inner and b"(Page line)" not in bytes(after.content) and b"Page line!".hex().upper().encode() in bytes(after.content)
-    assert (2, "form-line") in {(r.line_seq, r.code) for r in report.collect()}
+    assert {bytes(f.content) for f in after.forms.values()} == {inner} and b"(Page line)" not in bytes(after.content)
+    assert {c for c in codes if c[1] == "shared-xobject"} == {(2, "shared-xobject"), (3, "shared-xobject"), (4, "shared-xobject")}
