@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.common import holding, letters, slices, written
+from quirefold.llm.common import holding, letters, slices, trimmed, written
 
 UNDETERMINED = "und"
 #: What splits words: anything but letters and marks, so digits and punctuation say nothing.
@@ -241,7 +241,8 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text", keep: list
             own.cache = _Scores(own)
         cache = own.cache
         for batch in batches:
-            for part in slices(batch, [batch.num_columns - 1], size=4 << 20):
+            trimmed()
+            for part in slices(batch, [batch.num_columns - 1], size=2 << 20):
                 found, score = score_texts(cache, part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import slices, written
+from quirefold.llm.common import slices, trimmed, written
 from quirefold.llm.tokens import END, tokenizer
 
 SEQ_LEN = 4096
@@ -114,7 +114,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(seq_len + 1, "i8")
         for batch in batches:
-            for part in slices(batch, [1]):
+            trimmed()
+            for part in slices(batch, [1], rows=1000, size=8 << 20):
                 ids, ends = words.encoded(part.column(1), END)
                 n = np.diff(ends)
                 many = -(-n // seq_len)

@@ -90,7 +90,7 @@ class WordTokenizer:
             at = stop
         return out
 
-    def encoded(self, texts: pa.Array, end: int | None = None, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encoded(self, texts: pa.Array, end: int | None = None, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, ends: text k has ids[ends[k]:ends[k + 1]]); null counts as empty.
 
         ``end`` is put behind each text. A block has about ``block`` bytes, or one text if that is longer.
