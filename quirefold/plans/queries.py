@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, encode, interpret, islands, lines, session, state, summary
+from quirefold.operators import edit, encode, graph, interpret, islands, lines, session, state, summary
+from quirefold.operators.stored import stored
 from quirefold.sources import pdf
 from quirefold.sources.typeset import literal, typeset
 
@@ -137,14 +138,17 @@ SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, CASE WHEN g
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 """)
 def edit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-07 J-01 J-02 J-11 K-01 K-04 K-05 K-06 K-10: the first line of every document is edited; the files are written,
-    read again and grouped into lines."""
-    pages = typeset(read(spark, sf_dir, "documents").where("text IS NOT NULL"))
-    runs = interpret.text_runs(pages)
-    found = lines.group_lines(runs)
-    first = found.where("line_seq = 1").select("doc_id", "line_seq", F.concat(F.lit("Edited: "), "text").alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
-    edited, _ = encode.apply_edits(pages, runs, found, first)
-    again = lines.group_lines(interpret.text_runs(pdf.pages(pdf.documents(edited)), lines.NEEDED))
+    """F-07 J-01 J-02 J-11 K-01 K-02 K-04 K-05 K-06 K-10 K-11: the first line of every document is edited; files get an
+    update behind their own bytes, are read again and grouped into lines. A file that lost its bytes would lose its lines."""
+    found = stored(pdf.documents(typeset(read(spark, sf_dir, "documents").where("text IS NOT NULL"))), "files")
+    pages = stored(pdf.pages(found), "pages")
+    runs = stored(interpret.text_runs(pages), "runs")
+    grouped = stored(lines.group_lines(runs), "lines")
+    first = grouped.where("line_seq = 1").select("doc_id", "line_seq", F.concat(F.lit("Edited: "), "text").alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
+    edited, _ = encode.apply_edits(pages, runs, grouped, first)
+    old = found.select("doc_id", F.col("content").alias("old"))
+    files = pdf.patched(found, edited).join(old, "doc_id").where(F.substring("content", F.lit(1), F.octet_length("old")) == F.col("old"))
+    again = lines.group_lines(interpret.text_runs(pdf.pages(files), lines.NEEDED))
     return again.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
@@ -457,6 +461,30 @@ def page_tree_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.inherited(roots, [level(n, "n", "n_nationkey", "n_regionkey"), level(c, "c", "c_custkey", "c_nationkey")]).withColumnRenamed("value", "name")
 
 
+@query("""
+WITH RECURSIVE e AS (
+  SELECT c_nationkey AS doc, c_custkey AS a, c_custkey * 7 % (SELECT count(*) FROM customer) + 1 AS b FROM customer
+  UNION ALL
+  SELECT doc, a, b FROM (SELECT c_nationkey AS doc, c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer) WHERE b IS NOT NULL AND a % 5 <> 0
+), r AS (
+  SELECT c_nationkey AS doc, c_custkey AS node FROM customer WHERE c_custkey % 40 = 0
+  UNION
+  SELECT r.doc, e.b FROM r JOIN e ON r.doc = e.doc AND r.node = e.a
+)
+SELECT CAST(r.doc AS BIGINT) AS doc, CAST(r.node AS BIGINT) AS node, CAST(coalesce(n, 0) AS BIGINT) AS n_uses
+FROM r LEFT JOIN (SELECT doc, b, count(DISTINCT a) AS n FROM e GROUP BY doc, b) AS u ON u.doc = r.doc AND u.b = r.node
+""")
+def object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-05 J-06 K-11: what the roots of a graph lead to and how often it is used; customers of a nation stand in for objects of a file."""
+    c = read(spark, sf_dir, "customer").select(whole(F.col("c_nationkey")).alias("doc"), whole(F.col("c_custkey")).alias("from"))
+    hop = c.withColumn("to", F.col("from") * 7 % c.count() + 1)
+    line = c.withColumn("to", F.lead("from").over(Window.partitionBy("doc").orderBy("from"))).where("to IS NOT NULL AND from % 5 <> 0")
+    edges = hop.union(line)
+    found = graph.reachable(edges, c.where(F.col("from") % 40 == 0).select("doc", F.col("from").alias("node")), ["doc"])
+    used = graph.uses(edges, ["doc"]).select("doc", F.col("to").alias("node"), "n")
+    return found.join(used, ["doc", "node"], "left").select("doc", "node", F.coalesce("n", F.lit(0)).cast("long").alias("n_uses"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT CAST(c_custkey AS BIGINT) AS up, CAST(c_custkey * 7 % (SELECT count(*) FROM customer) + 1 AS BIGINT) AS id FROM customer),
 flat(root, id, depth, path) AS (

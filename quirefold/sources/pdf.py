@@ -262,7 +262,8 @@ class FilesWriter(DataSourceArrowWriter):
 def save(found: DataFrame, folder: str) -> str:
     """Writes each document as <doc_id>-edited.pdf, and returns the new folder below ``folder`` that holds them.
 
-    All files are there when the call returns, and none if it fails; attempts of tasks that failed leave nothing.
+    All files are there when the call returns, and none if it fails. What attempts that don't count have written is
+    dropped; a job that fails while other tasks still write may leave some of it in the hidden folder.
     """
     found.sparkSession.dataSource.register(FilesSink)
     run = f"run-{uuid.uuid4().hex}"
