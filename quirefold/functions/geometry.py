@@ -63,6 +63,12 @@ def overlap(r: Column, s: Column) -> Column:
     return (r["x"] < s["x"] + s["width"]) & (s["x"] < r["x"] + r["width"]) & (r["y"] < s["y"] + s["height"]) & (s["y"] < r["y"] + r["height"])
 
 
+def intersect_rect(r: Column, s: Column) -> Column:
+    """What two rectangles share, or null if that is no more than an edge."""
+    x, y = F.greatest(r["x"], s["x"]), F.greatest(r["y"], s["y"])
+    return F.when(overlap(r, s), rect(x, y, F.least(r["x"] + r["width"], s["x"] + s["width"]), F.least(r["y"] + r["height"], s["y"] + s["height"])))
+
+
 def transformed_box(m: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """struct<x,y,width,height>: the upright box around a transformed box."""
     corners = [apply(m, x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]

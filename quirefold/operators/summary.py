@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.operators.ranges import in_last_range
+
 #: Largest mean deviation of samples that still count as one flat colour; warnings from worst to mildest.
 FLAT, LEVELS = 10.0, ("error", "warn", "info")
 #: Fixed value: deepest nesting of forms.
@@ -116,10 +118,10 @@ def own_or_other(rows: DataFrame, own: tuple[DataFrame, Column], other: tuple[Da
 def last_range(codes: DataFrame, code: str, ranges: DataFrame, default: int) -> DataFrame:
     """``codes`` with width: that of the last range (lo, hi, width, seq) that holds the code, else the default.
 
-    Ranges are exploded to their codes, so the join is by equality; a range has at most 65,536 codes.
+    Ranges of any width: they are cut into disjoint ones, and each code looks for the one that begins last before it.
     """
-    each = ranges.select("seq", "width", F.explode(F.sequence("lo", "hi")).alias(code)).groupBy(code).agg(F.max_by("width", "seq").alias("width"))
-    return codes.join(each, code, "left").withColumn("width", F.coalesce("width", F.lit(default)).cast("long"))
+    found = in_last_range(codes, code, ranges, [], "width")
+    return found.withColumn("width", F.coalesce("width", F.lit(default)).cast("long"))
 
 
 def inherited(roots: DataFrame, levels: list[DataFrame]) -> DataFrame:

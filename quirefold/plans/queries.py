@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, encode, graph, interpret, islands, lines, session, state, summary
+from quirefold.operators import edit, encode, graph, interpret, islands, lines, ranges, session, state, summary
 from quirefold.operators.stored import stored
 from quirefold.sources import pdf
 from quirefold.sources.typeset import literal, typeset
@@ -441,11 +441,46 @@ WITH r(seq, lo, hi, w) AS (SELECT n_nationkey, n_nationkey, n_nationkey + 10, 10
 SELECT p_partkey, CAST(coalesce(arg_max(w, seq), 1000) AS BIGINT) AS width FROM part LEFT JOIN r ON p_size BETWEEN lo AND hi GROUP BY p_partkey
 """)
 def width_ranges_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-09: the last range that holds a code, else the default; ranges are exploded to codes, so the join is by equality."""
+    """J-09: the last range that holds a code, else the default; ranges are cut into disjoint ones first."""
     n, at = read(spark, sf_dir, "nation"), F.col("n_nationkey")
-    ranges = n.select(at.alias("seq"), at.alias("lo"), (at + 10).alias("hi"), (100 * F.col("n_regionkey") + at).alias("width"))
+    given = n.select(at.alias("seq"), at.alias("lo"), (at + 10).alias("hi"), (100 * F.col("n_regionkey") + at).alias("width"))
     codes = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("code"))
-    return summary.last_range(codes, "code", ranges, 1000).select("p_partkey", "width")
+    return summary.last_range(codes, "code", given, 1000).select("p_partkey", "width")
+
+
+@query("""
+WITH b AS (
+  SELECT row_number() OVER () AS id, l_partkey, CAST(l_quantity AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS y, CAST(l_linenumber AS BIGINT) AS w, CAST(round(l_tax * 100) AS BIGINT) AS h FROM lineitem
+)
+SELECT a.l_partkey, CAST(count(*) AS BIGINT) AS n_pairs, CAST(sum((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) AS BIGINT) AS shared
+FROM b AS a JOIN b ON a.l_partkey = b.l_partkey AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY a.l_partkey
+""")
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-14 P-03: pairs of boxes of a part that overlap, and how much they share; rows of lineitem stand in for boxes."""
+    number = lambda c: F.col(c).cast("double")
+    box = geometry.rect(number("l_quantity"), F.round(number("l_discount") * 100), number("l_quantity") + F.col("l_linenumber"), F.round(number("l_discount") * 100) + F.round(number("l_tax") * 100))
+    boxes = stored(read(spark, sf_dir, "lineitem").select("l_partkey", F.monotonically_increasing_id().alias("id"), box.alias("box")), "boxes")
+    pairs = ranges.overlapping(boxes, ["l_partkey"])
+    side = lambda n: boxes.select(F.col("id").alias(n), F.col("box").alias(f"box_{n}"))
+    common = geometry.intersect_rect(F.col("box_a"), F.col("box_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("area", common["width"] * common["height"])
+    return both.groupBy("l_partkey").agg(F.count("*").alias("n_pairs"), F.sum("area").cast("long").alias("shared"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS seq, CAST(l_quantity AS BIGINT) * 40000000 AS lo, CAST(l_quantity AS BIGINT) * 40000000 + l_orderkey % 1000 * 1000000 AS hi, l_linenumber AS v FROM lineitem WHERE l_orderkey % 4 = 0),
+c AS (SELECT s_suppkey AS k, i, i * 97 * 1000003 AS code FROM supplier, range(0, 30) AS t(i)),
+w AS (SELECT c.k, c.i, max(seq) AS seq FROM c JOIN r ON r.k = c.k AND code BETWEEN lo AND hi GROUP BY c.k, c.i)
+SELECT CAST(c.k AS BIGINT) AS k, CAST(c.i AS BIGINT) AS i, CAST(w.seq AS BIGINT) AS seq FROM c LEFT JOIN w ON w.k = c.k AND w.i = c.i
+""")
+def priority_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-09: of the overlapping ranges (up to a billion codes wide) that hold a code the last one counts; suppliers stand in for fonts."""
+    item = read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 4 == 0)
+    seq, lo = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity").cast("long") * 40_000_000
+    given = item.select(whole(F.col("l_suppkey")).alias("k"), seq.alias("seq"), lo.alias("lo"), (lo + F.col("l_orderkey") % 1000 * 1_000_000).alias("hi"), seq.alias("won"))
+    codes = read(spark, sf_dir, "supplier").select(whole(F.col("s_suppkey")).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i")).withColumn("code", whole(F.col("i")) * 97 * 1_000_003)
+    found = ranges.in_last_range(codes, "code", given, ["k"], "won")
+    return found.select("k", whole(F.col("i")).alias("i"), F.col("won").alias("seq"))
 
 
 @query("""
