@@ -204,6 +204,12 @@ class PdfFile:
         decoded = [self.content(p) for p in (parts if isinstance(parts, list) else [page.get(b"Contents")])]
         return b"\n".join(d for d in decoded if d is not None)
 
+    def decodable(self, page: dict) -> bool:
+        """False if a content part is there but can't be decoded."""
+        parts = self.get(page.get(b"Contents"))
+        listed = parts if isinstance(parts, list) else [page.get(b"Contents")]
+        return all(not isinstance(self.get(p), Stream) or self.content(p) is not None for p in listed)
+
     def font_spec(self, font: object) -> str:
         """The description that ``Font`` takes, as JSON."""
         name = lambda v: v.decode("latin-1") if isinstance(v, bytes) else ""

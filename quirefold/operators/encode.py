@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -187,14 +187,24 @@ def alias(spec: Column) -> Column:
     return F.concat(F.lit("QfE"), F.substring(F.md5(spec), 1, 12))
 
 
-def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with the edits applied, a report: doc_id, page_index, line_seq, code, level, detail).
+#: What an edit has done to a page; ``observed`` adds them up.
+COUNTERS = ("lines_changed", "runs_rewritten", "runs_deleted", "reused_font", "fallback_font")
+
+
+def observed(edited: DataFrame, counters: Observation) -> DataFrame:
+    """``edited`` pages, whose counters are added up by whatever action reads them, in the same pass."""
+    return edited.observe(counters, *[F.coalesce(F.sum(f"edits.{c}"), F.lit(0)).alias(c) for c in COUNTERS])
+
+
+def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: DataFrame, fallback: str | None = FALLBACK) -> tuple[DataFrame, DataFrame]:
+    """(pages with the edits applied and, in edits, their counters; a report: doc_id, page_index, line_seq, code, level, detail).
 
     pages: doc_id, page_index, content, fonts and, if they have them, forms; runs and lines are theirs; edits: doc_id,
     line_seq, new_text, overflow (keep, shrink, condense), anchor (left, center, right). Edits of unknown lines drop out,
     those of blocked lines are reported; the old operators are silenced where they stand, in the page or in a form, and
     the new text is drawn by one block a line behind the page's content, with a form's font under an alias. A form that
-    is shown more than once, or that is no object of its own, keeps its text (shared-xobject). runs and lines are read
+    is shown more than once, or that is no object of its own, keeps its text (shared-xobject). ``fallback`` is the font
+    (a specification) for what a line's own fonts can't draw; without one such text is left out (no-font). runs and lines are read
     several times: pass written tables. Applied to the original pages, the result is the same however often it is made.
     """
     page, line = ["doc_id", "page_index"], ["doc_id", "page_index", "line_seq"]
@@ -218,15 +228,20 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     texts = pieces.where("new != ''").select(*keys, "font", F.col("new").alias("text"), "source")
     own = encoded(texts.where("font is not null"), keys)
     good = own.where((F.size("unmapped") == 0) & (F.octet_length("bytes") > 0))
-    other = encoded(texts.drop("source").join(good.select(*keys), keys, "left_anti").withColumn("font", F.lit(FALLBACK)), keys)
+    needy = texts.drop("source").join(good.select(*keys), keys, "left_anti")
+    other = encoded((needy if fallback else needy.where("false")).withColumn("font", F.lit(fallback or FALLBACK)), keys)
     lost = report(other.where(F.size("unmapped") > 0), "unrenderable", "error", F.array_join(F.array_distinct("unmapped"), ""))
+    lacking = own.select(*keys, F.col("unmapped").alias("lack")).join(other.select(*keys, F.col("unmapped").alias("still")), keys)
+    substituted = F.array_distinct(F.array_except("lack", "still"))
+    swapped = report(lacking.where(F.size(substituted) > 0), "font-substituted", "warn", F.array_join(substituted, ""))
+    no_font = report(needy.where(F.lit(fallback is None)), "no-font", "error", F.col("text"))
     given = good.withColumn("own", F.lit(True)).union(other.where(F.octet_length("bytes") > 0).withColumn("own", F.lit(False)))
     name = F.when(~F.col("own"), FALLBACK_NAME).when(inside, alias(F.col("font"))).otherwise(F.col("font_name"))
     facts = F.struct("pos", name.alias("font"), F.col("font_size").alias("size"), "fill", "bytes", F.col("g.width").alias("width"), F.col("g.n_glyphs").alias("n_glyphs"), F.col("g.n_spaces").alias("n_spaces"))
     joined = pieces.join(given.select(*keys, "own", "bytes", F.struct("width", "n_glyphs", "n_spaces").alias("g")), keys, "left")
     anchors = F.min_by(F.struct("ctm", "text_matrix", "horiz_scale", "char_spacing", "word_spacing", "rise", "render_mode", "text_to_page", "line_width", "overflow", "anchor"), "pos").alias("at")
     # fonts that the page gets for its blocks
-    more = F.when(~F.col("own"), F.struct(F.lit(FALLBACK_NAME).alias("name"), F.lit(FALLBACK).alias("spec"))).when(inside, F.struct(alias(F.col("font")).alias("name"), F.col("font").alias("spec")))
+    more = F.when(~F.col("own"), F.struct(F.lit(FALLBACK_NAME).alias("name"), F.lit(fallback or FALLBACK).alias("spec"))).when(inside, F.struct(alias(F.col("font")).alias("name"), F.col("font").alias("spec")))
     per = joined.groupBy(*line).agg(anchors, F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), facts))).alias("segments"), F.collect_set(F.when(F.col("bytes").isNotNull(), more)).alias("more"))
     scale, char, word = F.when(F.col("at.horiz_scale") == 0, 1.0).otherwise(F.col("at.horiz_scale")), F.col("at.char_spacing"), F.col("at.word_spacing")
     per = per.withColumn("room", F.col("at.line_width") / F.col("at.text_to_page")).withColumn("needed", advances(F.col("segments"), scale, char, word))
@@ -235,18 +250,22 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     mode = F.when(F.col("at.render_mode") >= 4, 0).otherwise(F.col("at.render_mode"))
     per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset")))
     wide = report(per.where("fit.overflow"), "overflow", "info", F.lit(""))
-    blocks = per.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
-    gone = pieces.withColumn("silent", edit.silenced(original=F.decode("source", "ISO-8859-1"))).select(*stream, "start", "end", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
+    blocks = per.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"),
+        F.count("*").alias("lines_changed"), F.sum(F.size(F.filter("segments", lambda x: x["font"] != FALLBACK_NAME))).alias("reused_font"), F.sum(F.size(F.filter("segments", lambda x: x["font"] == FALLBACK_NAME))).alias("fallback_font"))
+    gone = pieces.withColumn("silent", edit.silenced(original=F.decode("source", "ISO-8859-1"))).select(*stream, "line_seq", "start", "end", "silent.mode", F.encode("silent.text", "ISO-8859-1").alias("bytes"))
+    hidden = report(gone.where("mode = 'invisible'").select(*line).distinct(), "hidden-not-removed", "info", F.lit(""))
+    silenced = gone.groupBy(*page).agg(F.count("*").alias("runs_rewritten"), F.count_if(F.col("mode") == "delete").alias("runs_deleted"))
     touched = gone.select(*stream).distinct()
     spliced = edit.splice(streams.join(touched, stream, "left_semi").select(*stream, "content"), gone, stream)
     new = spliced.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("stream_key", "content"))).alias("new"))
-    edited = pages.join(new, page, "left").join(blocks, page, "left")
+    edited = pages.drop("edits").join(new, page, "left").join(blocks, page, "left").join(silenced, page, "left")
     content = F.coalesce(F.try_element_at("new", F.concat(F.lit("page:"), F.col("page_index").cast("string"))), F.col("content"))
     content = F.when(F.col("block").isNull(), F.col("content")).otherwise(wrapped(content, F.coalesce("block", F.lit(""))))
     fonts = F.when(F.size("more") > 0, F.map_concat(F.map_filter("fonts", lambda n, _: ~F.exists("more", lambda m: m["name"] == n)), F.map_from_entries("more"))).otherwise(F.col("fonts"))
     if "forms" in pages.columns:
         was = lambda n, f: F.concat(F.lit("xobj:"), F.when(F.coalesce(f["key"], F.lit("")) != "", f["key"]).otherwise(n))
         edited = edited.withColumn("forms", F.transform_values("forms", lambda n, f: f.withField("content", F.coalesce(F.try_element_at("new", was(n, f)), f["content"]))))
-    edited = edited.withColumn("content", content).withColumn("fonts", fonts).drop("block", "more", "new")
-    clash = report(edit.conflicts(gone, stream).withColumn("line_seq", F.lit(None).cast("int")), "conflict", "error", F.lit(""))
-    return edited, locked.union(shared).union(lost).union(wide).union(clash)
+    edited = edited.withColumn("content", content).withColumn("fonts", fonts)
+    edited = edited.withColumn("edits", F.struct(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS])).drop("block", "more", "new", *COUNTERS)
+    clash = report(edit.conflicts(gone.drop("line_seq"), stream).withColumn("line_seq", F.lit(None).cast("int")), "conflict", "error", F.lit(""))
+    return edited, locked.union(shared).union(no_font).union(swapped).union(lost).union(hidden).union(wide).union(clash)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import fonts, geometry
-from quirefold.operators import edit, encode, graph, interpret, islands, lines, ranges, session, state, summary
+from quirefold.operators import edit, encode, graph, interpret, islands, lines, ranges, report, session, state, summary
 from quirefold.operators.stored import stored
 from quirefold.sources import pdf
 from quirefold.sources.typeset import literal, typeset
@@ -152,6 +152,34 @@ def edit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("doc_id", whole(F.col("line_seq")).alias("line_no"), "text")
 
 
+@query("""
+SELECT doc_id, 'error' AS level, CASE WHEN text IS NULL THEN 'no-text' ELSE 'no-editable-text' END AS code FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[^\\s]')
+UNION ALL SELECT doc_id, 'info', 'text-clip' FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL
+""")
+def load_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-02 A-10: what reading typeset documents warns of; every third one is set as a clipping path."""
+    pages = typeset(read(spark, sf_dir, "documents"))
+    clip = F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode(F.lit("7 Tr\n"), "ISO-8859-1"), F.col("content"))).otherwise(F.col("content"))
+    runs = stored(interpret.text_runs(pages.withColumn("content", clip), [*lines.NEEDED, "start"]), "runs")
+    plain = runs.withColumn("render_mode", F.lit(0))  # grouped as filled text, or all of it would be locked
+    return report.load_warnings(pages, runs, lines.group_lines(plain)).select("doc_id", "level", "code")
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(f AS BIGINT) AS lines_changed, CAST(f AS BIGINT) AS runs_rewritten, CAST(f AND text LIKE '%' || chr(10) || '%' AS BIGINT) AS runs_deleted, CAST(f AS BIGINT) AS reused_font, CAST(0 AS BIGINT) AS fallback_font
+FROM (SELECT *, regexp_matches(l, '[^\\s]') AS f FROM d)
+""")
+def export_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-09: what editing the first line of every document does to its page."""
+    pages = typeset(read(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    runs = stored(interpret.text_runs(pages), "runs")
+    grouped = stored(lines.group_lines(runs), "lines")
+    first = grouped.where(F.array_contains("run_seqs", 0)).select("doc_id", "line_seq", F.concat(F.lit("Edited: "), "text").alias("new_text"), F.lit("keep").alias("overflow"), F.lit("left").alias("anchor"))
+    edited, _ = encode.apply_edits(pages, runs, grouped, first)
+    return edited.select("doc_id", *[F.col(f"edits.{c}").alias(c) for c in encode.COUNTERS])
+
+
 _GREEK = ("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπ;ρστθωςχυζ")
 
 

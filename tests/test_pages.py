@@ -6,11 +6,12 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quirefold.functions.cmap import Font, parse_cmap, utf16
 from quirefold.functions.lexer import MAX_OPERANDS, Name, number, operations
-from quirefold.operators import edit, encode, interpret, lines, session
+from quirefold.operators import edit, encode, interpret, lines, report, session
 
 FONT = json.dumps({"base": "Helvetica"})
 
@@ -197,3 +198,31 @@ def test_forms_that_are_shown_twice_keep_their_text(spark):
     after = edited.collect()[0]
     assert {bytes(f.content) for f in after.forms.values()} == {inner} and b"(Page line)" not in bytes(after.content)
     assert {c for c in codes if c[1] == "shared-xobject"} == {(2, "shared-xobject"), (3, "shared-xobject"), (4, "shared-xobject")}
+
+
+def test_warnings_of_documents(spark):
+    good, form = b"BT /F1 9 Tf (a) Tj ET", {"X": {"content": b"BT /F1 9 Tf (in) Tj ET", "matrix": None, "fonts": None, "names": None, "key": "5 0 R"}}
+    rows = [(1, 0, good, None, [], True), (2, 0, b"q Q", None, [], False), (3, 0, b"BT 3 Tr /F1 9 Tf (ghost) Tj ET", None, [], False), (4, 0, b"/X Do", None, [], False), (4, 1, b"/X Do", None, [], False), (5, 0, b"/X Do /X Do BT 7 Tr /F1 9 Tf (clip) Tj ET", None, ["content-decode"], False), (6, None, None, "encrypted", None, None)]
+    found = spark.createDataFrame([(d, p, c, {"F1": FONT}, form, w, i, s) for d, p, c, w, i, s in rows], FORMED + ", warning string, issues array<string>, signed boolean")
+    texts = interpret.text_runs(found.where("warning IS NULL"))
+    grouped = lines.group_lines(texts, report.repeated_streams(texts))
+    got = {(r.doc_id, r.page_index, r.code, r.level) for r in report.load_warnings(found, texts, grouped).collect()}
+    assert got == {(1, None, "signed", "warn"), (2, None, "no-text", "error"), (3, None, "no-editable-text", "error"), (4, None, "shared-xobject", "warn"), (4, None, "no-editable-text", "error"), (5, None, "shared-xobject", "warn"), (5, 0, "text-clip", "info"), (5, None, "no-editable-text", "error"), (5, 0, "content-decode", "warn"), (6, None, "encrypted", "error")}
+
+
+def test_warnings_and_counters_of_edits(spark):
+    content = b"BT /F1 9 Tf 72 700 Td (one) Tj 0 -20 Td (two) Tj ET BT 3 Tr /F1 9 Tf 72 500 Td (ghost) Tj ET BT 0 Tr /F1 0 Tf 72 400 Td (flat) Tj ET"
+    page = spark.createDataFrame([(1, 0, content, {"F1": json.dumps({"base": "Helvetica", "encoding": "cp1252", "subset": True, "widths": {str(ord(c)): 500 for c in "onetwflag"}})})], "doc_id long, page_index int, content binary, fonts map<string,string>")
+    found = spark.createDataFrame(interpret.text_runs(page).collect(), interpret.text_runs(page).schema)
+    grouped = spark.createDataFrame(lines.group_lines(found).collect(), lines.group_lines(found).schema)
+    new = {"one": "ten", "two": "two ß中", "flat": "fat", "ghost": "host"}
+    edits = spark.createDataFrame([(1, r.line_seq, new[r.text], "keep", "left") for r in grouped.collect()], "doc_id long, line_seq int, new_text string, overflow string, anchor string")
+    edited, told = encode.apply_edits(page, found, grouped, edits)
+    seen = Observation("export")
+    stats = encode.observed(edited, seen).collect()[0].edits
+    assert seen.get == stats.asDict() == {"lines_changed": 3, "runs_rewritten": 3, "runs_deleted": 2, "reused_font": 2, "fallback_font": 1}
+    codes = {(r.line_seq, r.code, r.detail) for r in told.collect() if r.code != "overflow"}
+    assert codes == {(3, "locked-line", "invisible"), (2, "font-substituted", " ß"), (2, "unrenderable", "中"), (4, "hidden-not-removed", "")}
+    bare, told = encode.apply_edits(page, found, grouped, edits, fallback=None)
+    assert (2, "no-font") in {(r.line_seq, r.code) for r in told.collect()} and b"QfFallback" not in bytes(bare.collect()[0].content)
+    assert bytes(encode.apply_edits(page, found, grouped, edits, fallback=json.dumps({"base": "Courier", "encoding": "cp1252"}))[0].collect()[0].content).count(b"QfFallback") == 1
