@@ -96,18 +96,43 @@ def subset_free(name: Column) -> Column:
     return F.regexp_replace(name, r"^[A-Z]{6}\+", "")
 
 
+#: What in a font's name says bold, italic, serif and fixed pitch, and the descriptor flags that say the same.
+BOLD = "bold black heavy semibold demibold".split()
+BOLD_ENDS, ITALIC_ENDS = "bd", "it"
+ITALIC = "italic oblique".split()
+SERIF = "times georgia garamond book serif roman minion cambria palatino century caslon baskerville didot utopia charter".split()
+MONO = "courier mono consolas menlo inconsolata typewriter".split()
+FIXED_PITCH_FLAG, SERIF_FLAG, ITALIC_FLAG, BOLD_FLAG = 0, 1, 6, 18
+
+
 def style_flags(name: Column, flags: Column) -> Column:
-    """struct<bold,italic,family> by name or descriptor flags (bit 1 fixed pitch, bit 2 serif, bit 7 italic, bit 19 bold)."""
-    bit = lambda k: F.shiftright(F.coalesce(flags, F.lit(0)), k - 1).bitwiseAND(1) == 1
-    mono = name.rlike("(?i)courier|mono|consol|typewriter") | bit(1)
-    serif = name.rlike("(?i)times|serif|roman|georgia|garamond|minion|palatino|bookman|century|cambria|didot|baskerville|caslon|charter|book ?antiqua") & ~name.rlike("(?i)sans") | bit(2)
+    """struct<family,serif,monospace,bold,italic>: by parts of the name, or by the descriptor's flags; family is the name up to its style."""
+    has = lambda parts: name.rlike("(?i)" + "|".join(parts))
+    ends = lambda part: name.rlike(rf"(?i)[-,_]{part}\b")
+    bit = lambda k: F.shiftright(F.coalesce(flags, F.lit(0)), k).bitwiseAND(1) == 1
+    family = F.get(F.split(subset_free(name), "[-,]"), F.lit(0))
     return F.struct(
-        (name.rlike("(?i)bold|black|heavy|semibold|demi|[-,]bd") | bit(19)).alias("bold"),
-        (name.rlike("(?i)italic|oblique|[-,](bd)?it([^a-z]|$)") | bit(7)).alias("italic"),
-        F.when(mono, "monospace").when(serif, "serif").otherwise("sans-serif").alias("family"),
+        F.when(family == "", subset_free(name)).otherwise(family).alias("family"),
+        (has(SERIF) | bit(SERIF_FLAG)).alias("serif"),
+        (has(MONO) | bit(FIXED_PITCH_FLAG)).alias("monospace"),
+        (has(BOLD) | ends(BOLD_ENDS) | bit(BOLD_FLAG)).alias("bold"),
+        (has(ITALIC) | ends(ITALIC_ENDS) | bit(ITALIC_FLAG)).alias("italic"),
     )
 
 
+def standard_face(name: Column) -> Column:
+    """The one of the standard fonts that a base name means, or null: Arial, Courier New and Times New Roman in all the
+    ways in which producers write them (PS and MT, a style behind a hyphen or comma, blanks) are their metric twins."""
+    plain = F.regexp_replace(subset_free(name), r"[\s_]", "")
+    parts = r"^(ArialUnicodeMS|Arial|Helvetica|CourierNew|Courier|TimesNewRoman|Times)(?:PS)?(?:MT)?[-,]?(Bold)?(Italic|Oblique|Roman)?(?:MT)?$"
+    at = lambda k: F.regexp_extract(plain, parts, k)
+    family = F.when(at(1).startswith("Courier"), "Courier").when(at(1).startswith("Times"), "Times").otherwise("Helvetica")
+    slant = F.when(at(3).isin("Italic", "Oblique"), F.when(family == "Times", "Italic").otherwise("Oblique")).otherwise("")
+    style = F.concat(at(2), slant)
+    face = F.concat(family, F.when(style != "", F.concat(F.lit("-"), style)).when(family == "Times", "-Roman").otherwise(""))
+    return F.when(plain.isin("Symbol", "ZapfDingbats"), plain).when(plain.rlike(parts), face)
+
+
 #: Typographic characters and their plain forms.
 FOLD_FROM = "‘’‚‛“”„‟–—−‐‑ "
 FOLD_TO = "''''\"\"\"\"----- "[: len(FOLD_FROM)]

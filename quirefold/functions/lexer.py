@@ -16,8 +16,9 @@ _TOKEN = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
 _TRIVIA = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*")
 _NUMBER = re.compile(rb"[+-]*((?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 _STRING_PART = re.compile(rb"[^()\\\r]+")
+#: Escapes in strings.
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\x0c"}
-#: Lengths of unfiltered inline images need the components of their colour space.
+#: Components of colour spaces, by which unfiltered inline images have an exact length.
 _COMPONENTS = {b"DeviceGray": 1, b"G": 1, b"CalGray": 1, b"DeviceRGB": 3, b"RGB": 3, b"CalRGB": 3, b"DeviceCMYK": 4, b"CMYK": 4}
 
 
@@ -161,13 +162,16 @@ class Lexer:
         return "word", token
 
     def image(self, start: int) -> Op:
-        """From BI to EI: exact length if it is known and EI follows, else the next EI between white space."""
+        """From BI to EI: exact length if it is known and EI follows, else the next EI that white space precedes. Eight bits a
+        component and one component are meant if nothing is said, one bit in a mask."""
         keys: dict[bytes, object] = {}
         key = None
         while True:
             kind, v = self.value()
             if kind == "end" or kind == "word" and v == b"ID":
                 break
+            if kind == "word" and key is not None and v in (b"true", b"false", b"null"):
+                kind, v = "value", {b"true": True, b"false": False}.get(v)
             if kind == "value":
                 if key is None and isinstance(v, Name):
                     key = bytes(v)
@@ -177,13 +181,16 @@ class Lexer:
         first, end = self.at, -1
         get = lambda *names: next((keys[n] for n in names if n in keys), None)
         width, height, bits = (get(*n) for n in ((b"W", b"Width"), (b"H", b"Height"), (b"BPC", b"BitsPerComponent")))
-        parts = 1 if get(b"IM", b"ImageMask") else _COMPONENTS.get(get(b"CS", b"ColorSpace")) if isinstance(get(b"CS", b"ColorSpace"), bytes) else None
-        if get(b"F", b"Filter") is None and parts and isinstance(width, float) and isinstance(height, float):
-            exact = first + int(height) * ((int(width) * parts * int(bits or 1) + 7) // 8)
+        mask, space, coded = get(b"IM", b"ImageMask") is True, get(b"CS", b"ColorSpace"), get(b"F", b"Filter")
+        parts = 1 if mask or space is None else _COMPONENTS.get(bytes(space)) if isinstance(space, Name) else None
+        if (coded is None or coded == []) and parts and isinstance(width, float) and isinstance(height, float):
+            depth = 1 if mask else int(bits) if isinstance(bits, float) else 8
+            exact = first + int(height) * ((int(width) * parts * depth + 7) // 8)
             if m := re.compile(rb"[\x00\t\n\x0c\r ]*EI(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])").match(self.data, exact):
                 end = m.end()
         if end < 0:
-            m = re.compile(rb"(?<=[\x00\t\n\x0c\r ])EI(?=[\x00\t\n\x0c\r ]|$)").search(self.data, first)
+            after = rb"EI(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)"
+            m = re.compile(after).match(self.data, first) or re.compile(rb"(?<=[\x00\t\n\x0c\r ])" + after).search(self.data, first)
             end = m.end() if m else len(self.data)
         self.at = end
         return Op("EI", start, end, max(start, end - 2), [])

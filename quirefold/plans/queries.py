@@ -620,15 +620,37 @@ def color_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), part("r"), part("g"))
 
 
-@query("""
-SELECT p_partkey, regexp_matches(n, '(?i)bold|black|heavy|semibold|demi') OR (p_size // 2) % 2 = 1 AS bold, regexp_matches(n, '(?i)italic|oblique') OR p_size % 2 = 1 AS italic
-FROM (SELECT *, p_name || ' ' || p_type AS n FROM part)
+_NAMES = "Times-Bold CourierNew,Italic Georgia_Bd MinionPro-It Menlo Bookman-Demi FuturaBlack Roboto-Medium Consolas_it OpenSans-Semibold".split()
+
+
+@query(f"""
+SELECT p_partkey, split_part(n, '-', 1) AS head,
+       regexp_matches(n, '(?i)times|georgia|garamond|book|serif|roman|minion|cambria|palatino|century|caslon|baskerville|didot|utopia|charter') AS serif,
+       regexp_matches(n, '(?i)courier|mono|consolas|menlo|inconsolata|typewriter') AS monospace,
+       regexp_matches(n, '(?i)bold|black|heavy|semibold|demibold|[-,_]bd\\b') OR (p_size // 2) % 2 = 1 AS bold, regexp_matches(n, '(?i)italic|oblique|[-,_]it\\b') OR p_size % 2 = 1 AS italic
+FROM (SELECT *, {_NAMES}[p_partkey % 10 + 1] AS n FROM part)
 """)
 def style_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-09: style by name or by flag bits (sizes stand in for the two bits)."""
     flags = F.shiftleft(F.col("p_size").bitwiseAND(1), 6) + F.shiftleft(F.shiftright("p_size", 1).bitwiseAND(1), 18)
-    style = fonts.style_flags(F.concat_ws(" ", "p_name", "p_type"), flags)
-    return read(spark, sf_dir, "part").select("p_partkey", style["bold"].alias("bold"), style["italic"].alias("italic"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    style = fonts.style_flags(name, flags)
+    return read(spark, sf_dir, "part").select("p_partkey", F.split_part(name, F.lit("-"), F.lit(1)).alias("head"), *[style[c].alias(c) for c in ("serif", "monospace", "bold", "italic")])
+
+
+_FAMILIES = "Arial ArialMT CourierNew CourierNewPSMT TimesNewRoman TimesNewRomanPS Helvetica Times Futura Courier".split()
+_STYLES = ["", "-Bold", "-Italic", "-BoldItalic", ",Bold", "-BoldMT"]
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, {_FAMILIES}[p_partkey % 10 + 1] AS f, {_STYLES}[p_partkey % 6 + 1] AS s FROM part),
+x AS (SELECT *, CASE WHEN f LIKE 'Courier%' THEN 'Courier' WHEN f LIKE 'Times%' THEN 'Times' WHEN f = 'Futura' THEN NULL ELSE 'Helvetica' END AS g FROM n)
+SELECT p_partkey, g || CASE WHEN s = '-BoldItalic' THEN CASE g WHEN 'Times' THEN '-BoldItalic' ELSE '-BoldOblique' END WHEN s = '-Italic' THEN CASE g WHEN 'Times' THEN '-Italic' ELSE '-Oblique' END WHEN s <> '' THEN '-Bold' WHEN g = 'Times' THEN '-Roman' ELSE '' END AS face FROM x
+""")
+def standard_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-10: names of fonts that have the metrics of a standard font."""
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", fonts.standard_face(F.concat(F.lit("ABCDEF+"), pick(_FAMILIES, 10), pick(_STYLES, 6))).alias("face"))
 
 
 @query("SELECT p_partkey, p_brand AS base FROM part")

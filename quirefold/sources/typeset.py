@@ -29,6 +29,20 @@ def wide_font() -> str:
 WIDE_FONT = wide_font()
 
 
+#: Characters beyond the first two planes.
+FAR = r"[\x{20000}-\x{10FFFF}]"
+
+
+def far_font(lines: Column) -> Column:
+    """The specification of a composite font that has the characters of ``lines``, whatever their plane, by code point."""
+    chars = F.array_distinct(F.filter(F.split(F.array_join(lines, ""), ""), lambda c: c != ""))
+    entry = lambda c: F.concat(F.lit("<"), F.hex(F.encode(c, "UTF-32")), F.lit("> <"), F.hex(F.encode(c, "UTF-16BE")), F.lit(">"))
+    space = "begincmap\n1 begincodespacerange\n<00000000> <0010FFFF>\nendcodespacerange\n"
+    program = F.concat(F.lit(space), F.size(chars).cast("string"), F.lit(" beginbfchar\n"), F.array_join(F.transform(chars, entry), "\n"), F.lit("\nendbfchar\nendcmap\n"))
+    head = json.dumps({"base": "Far", "type0": True, "default_width": 600, "cmap": (space + "endcmap\n").encode().hex(), "to_unicode": ""})
+    return F.concat(F.lit(head[:-2]), F.hex(F.encode(program, "ISO-8859-1")), F.lit('"}'))
+
+
 def literal(text: Column) -> Column:
     """A string token: parentheses, backslashes and carriage returns escaped."""
     return F.concat(F.lit("("), F.regexp_replace(F.regexp_replace(text, r"([()\\])", r"\\$1"), "\r", r"\\r"), F.lit(")"))
@@ -38,11 +52,16 @@ def typeset(texts: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """One page per row, one show operator per line: doc_id, page_index, content, fonts.
 
     Null text gives an empty page. Lines with characters outside Latin-1 are set in a composite font, whose codes are the
-    first two planes of Unicode; a character beyond them (private use, tags) is shown as a question mark.
+    first two planes of Unicode; lines with characters beyond those in a font of the page's own, which has what they need.
     """
-    known = F.regexp_replace(F.col(text), r"[^\x{0}-\x{1FFFF}]", "?")
-    wide = lambda x: F.concat(F.lit(f"/F2 {size} Tf\n<"), F.hex(F.encode(x, "UTF-32")), F.lit(f"> Tj\n/F1 {size} Tf"))
-    shown = F.array_join(F.transform(F.split(known, "\n"), lambda x: F.when(x.rlike(LATIN), F.concat(literal(x), F.lit(" Tj"))).otherwise(wide(x))), f"\n0 -{leading} Td\n")
+    known = F.col(text)
+    split = F.split(known, "\n")
+    shows = lambda x, font: F.concat(F.lit(f"/{font} {size} Tf\n<"), F.hex(F.encode(x, "UTF-32")), F.lit(f"> Tj\n/F1 {size} Tf"))
+    line = lambda x: F.when(x.rlike(LATIN), F.concat(literal(x), F.lit(" Tj"))).when(x.rlike(FAR), shows(x, "F3")).otherwise(shows(x, "F2"))
+    shown = F.array_join(F.transform(split, line), f"\n0 -{leading} Td\n")
     content = F.concat(F.lit(f"BT\n/F1 {size} Tf\n72 720 Td\n"), shown, F.lit("\nET\n"))
-    fonts = F.when(F.coalesce(F.col(text), F.lit("")).rlike(r"(?s)" + LATIN), F.create_map(F.lit("F1"), F.lit(FONT))).otherwise(F.create_map(F.lit("F1"), F.lit(FONT), F.lit("F2"), F.lit(WIDE_FONT)))
+    plain = F.create_map(F.lit("F1"), F.lit(FONT))
+    wide = F.create_map(F.lit("F1"), F.lit(FONT), F.lit("F2"), F.lit(WIDE_FONT))
+    far = F.create_map(F.lit("F1"), F.lit(FONT), F.lit("F2"), F.lit(WIDE_FONT), F.lit("F3"), far_font(F.filter(split, lambda x: x.rlike(FAR))))
+    fonts = F.when(F.coalesce(known, F.lit("")).rlike(r"(?s)" + LATIN), plain).when(known.rlike(FAR), far).otherwise(wide)
     return texts.select(F.col(key).cast("long").alias("doc_id"), F.lit(0).alias("page_index"), F.encode(F.coalesce(content, F.lit("")), "ISO-8859-1").alias("content"), fonts.alias("fonts"))

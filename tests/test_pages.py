@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quirefold.functions.cmap import Font, parse_cmap, utf16
 from quirefold.functions.lexer import MAX_OPERANDS, Name, number, operations
 from quirefold.operators import edit, encode, interpret, lines, report, session
+from quirefold.sources.typeset import typeset
 
 FONT = json.dumps({"base": "Helvetica"})
 
@@ -58,6 +59,10 @@ def test_inline_images():
     data = b"BI /W 8 /H 8 /BPC 8 /CS /G ID " + raw + b"\nEI q (x) Tj"
     assert [o for o, _ in ops(data)] == ["EI", "q", "Tj"]
     assert [o for o, _ in ops(b"BI /W 1 /F /Fl ID abcEIx\nEI Q")] == ["EI", "Q"]
+    for keys, size in ((b"/W 4 /H 2", 8), (b"/W 4 /H 2 /BPC 4", 4), (b"/W 9 /H 2 /IM true /BPC 8", 4), (b"/W 2 /H 2 /CS /RGB", 12), (b"/W 4 /H 2 /F []", 8)):
+        raw = (b"x EI y EI z EI ")[:size].ljust(size, b".")  # holds what looks like the end
+        assert [o for o, _ in ops(b"BI " + keys + b" ID " + raw + b"EI Q")] == ["EI", "Q"], keys
+    assert [o for o, _ in ops(b"BI /W 2 /CS /Own ID ab EI/F1 9 Tf")] == ["EI", "Tf"] and [o for o, _ in ops(b"BI /F /Fl ID EI Q")] == ["EI", "Q"]
 
 
 def test_character_maps():
@@ -226,3 +231,10 @@ def test_warnings_and_counters_of_edits(spark):
     bare, told = encode.apply_edits(page, found, grouped, edits, fallback=None)
     assert (2, "no-font") in {(r.line_seq, r.code) for r in told.collect()} and b"QfFallback" not in bytes(bare.collect()[0].content)
     assert bytes(encode.apply_edits(page, found, grouped, edits, fallback=json.dumps({"base": "Courier", "encoding": "cp1252"}))[0].collect()[0].content).count(b"QfFallback") == 1
+
+
+def test_characters_of_all_planes_are_typeset(spark):
+    text = "plain\nż中😀\n𠀀 and 𪛖 \U000e0041\U0010fffd\né"
+    page = typeset(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    got = lines.group_lines(interpret.text_runs(page, lines.NEEDED)).orderBy("line_seq").collect()
+    assert [r.text for r in got] == text.split("\n")
