@@ -40,6 +40,11 @@ def glyph_text(name: str) -> str:
     return out
 
 
+def text_string(data: bytes) -> str:
+    """A string meant to be read: UTF-16 if it says so, else Latin-1."""
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
+
+
 class Refused(ValueError):
     """code: encrypted, parse or empty."""
 
@@ -285,6 +290,20 @@ class PdfFile:
             out[k.decode("latin-1")] = self.space_kind(v)
         return out
 
+    def states_of(self, holder: object) -> dict[str, tuple[float, str | None]]:
+        """Size and font (a specification, if it is an object) of graphics states that set a font."""
+        out = {}
+        for k, v in (self.look(holder, b"Resources", b"ExtGState") or {}).items():
+            font = self.look(v, b"Font")
+            if isinstance(font, list) and len(font) > 1 and isinstance(size := self.get(font[1]), float):
+                out[k.decode("latin-1")] = size, self.font_spec(font[0]) if isinstance(font[0], Ref) and isinstance(self.get(font[0]), dict) else None
+        return out
+
+    def actual_texts(self, holder: object) -> dict[str, str]:
+        """What named property lists say that marked content reads as."""
+        named = self.look(holder, b"Resources", b"Properties") or {}
+        return {k.decode("latin-1"): text_string(v) for k, p in named.items() if isinstance(v := self.look(p, b"ActualText"), bytes) and not isinstance(v, Name)}
+
     def signed(self) -> bool:
         """True if the form of the file says that there are signatures."""
         root = next((o for o in self.objects.values() if isinstance(o, dict) and o.get(b"Type") == b"Catalog"), None)

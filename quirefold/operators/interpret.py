@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from quirefold.functions.cmap import Font
 from quirefold.functions.lexer import Name, Op, operations
+from quirefold.functions.pdfobjects import text_string
 
 OPS = "doc_id bigint, page_index int, op_seq int, op string, start bigint, end bigint, op_start bigint, nums array<double>, name string, strings array<binary>"
 RUNS = (
@@ -116,6 +117,8 @@ class Page:
     fonts: dict[str, Font]
     forms: dict[str, Form]
     spaces: dict[str, str] = field(default_factory=dict)
+    states: dict[str, tuple[float, bool]] = field(default_factory=dict)
+    properties: dict[str, str] = field(default_factory=dict)
     runs: list[dict] = field(default_factory=list)
     uses: list[str] = field(default_factory=list)
 
@@ -210,8 +213,9 @@ class Page:
                 s.fill = None if name else rgb(s.space, nums)
             elif op in ("BMC", "BDC"):
                 actual = next((x.get(b"ActualText") for x in o.operands if isinstance(x, dict)), None)
-                text = (actual[2:].decode("utf-16-be", "replace") if actual[:2] == b"\xfe\xff" else actual.decode("latin-1")) if isinstance(actual, bytes) else ""
-                marked.append(text)
+                listed = [x.decode("latin-1") for x in o.operands if isinstance(x, Name)]
+                text = text_string(actual) if isinstance(actual, bytes) else self.properties.get(listed[1]) if op == "BDC" and len(listed) > 1 else None
+                marked.append(text if text is not None else marked[-1] if marked else "")
             elif op == "EMC":
                 marked = marked[:-1]
             elif op == "BT":
@@ -233,6 +237,10 @@ class Page:
                 s.mode = int(num(0))
             elif op == "Tf":
                 s.font_name, s.size, s.font = name, num(0), fonts.get(name)
+            elif op == "gs" and name in self.states:
+                s.size, named = self.states[name]
+                if named:
+                    s.font_name, s.font = f"gs:{name}", fonts.get(f"gs:{name}") or self.fonts.get(f"gs:{name}")
             elif op in ("Td", "TD", "T*"):
                 if op == "TD":
                     s.leading = -num(1)
@@ -272,18 +280,18 @@ def _folded(batch: pa.RecordBatch, known: dict[str, Font]) -> Iterator[tuple[int
 
     names = batch.schema.names
     column = lambda c: batch.column(names.index(c)).to_pylist() if c in names else [None] * batch.num_rows
-    for doc, index, content, fonts, forms, spaces in zip(*map(column, ("doc_id", "page_index", "content", "fonts", "forms", "spaces"))):
+    for doc, index, content, fonts, forms, spaces, states, properties in zip(*map(column, ("doc_id", "page_index", "content", "fonts", "forms", "spaces", "states", "properties"))):
         made = {}
         for name, f in forms or []:
             own = {n: font(spec) for n, spec in f["fonts"]} if f.get("fonts") else None
             made[name] = Form(f["content"], tuple(f["matrix"]) if f["matrix"] is not None else _EYE, own, dict(f["names"]) if f.get("names") is not None else None, f.get("key") or "")
-        page = Page({n: font(spec) for n, spec in fonts or []}, made, dict(spaces or []))
+        page = Page({n: font(spec) for n, spec in fonts or []}, made, dict(spaces or []), {n: (x["size"], x["named"]) for n, x in states or []}, dict(properties or []))
         page.run(content, f"page:{index}", State())
         yield doc, index, page
 
 
 def _streams(streams: DataFrame) -> DataFrame:
-    return streams.select("doc_id", "page_index", "content", "fonts", *[c for c in ("forms", "spaces") if c in streams.columns])
+    return streams.select("doc_id", "page_index", "content", "fonts", *[c for c in ("forms", "spaces", "states", "properties") if c in streams.columns])
 
 
 def text_runs(streams: DataFrame, columns: list[str] | None = None) -> DataFrame:

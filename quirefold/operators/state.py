@@ -121,8 +121,8 @@ def _fill(space: Column, nums: Column) -> Column:
 def text_states(operators: DataFrame) -> DataFrame:
     """One row per operator that shows a string inside a text object, with the state in force there.
 
-    ``operators``: rows as of ``interpret.operators``, and ``spaces`` (map of a page's colour spaces to their families) if
-    there are any. Result: doc_id, page_index, op_seq, start, end, op, font_name, font_size, char_spacing, word_spacing,
+    ``operators``: rows as of ``interpret.operators``, and if there are any ``spaces`` (map of a page's colour spaces to
+    their families) and ``states`` (of its graphics states that set a font, as ``sources.pdf.pages`` has them). Result: doc_id, page_index, op_seq, start, end, op, font_name, font_size, char_spacing, word_spacing,
     horiz_scale, leading, rise, render_mode, fill, ctm and line_matrix (both struct<a..f>; the matrix of the line's
     start: what a show before it on the same line has advanced is not in it).
     """
@@ -130,15 +130,15 @@ def text_states(operators: DataFrame) -> DataFrame:
     num = lambda k: F.coalesce(F.get(nums, F.lit(k)), F.lit(0.0))
     upto = Window.partitionBy(*KEYS).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
     spaces = F.col("spaces") if "spaces" in operators.columns else F.lit(None).cast("map<string,string>")
-    rows = operators.select(*KEYS, SEQ, "start", "end", "op", nums.alias("nums"), "name", (F.size("strings") > 0).alias("shows"), spaces.alias("spaces"))
+    states = F.col("states") if "states" in operators.columns else F.lit(None).cast("map<string,struct<size:double,named:boolean>>")
+    rows = operators.select(*KEYS, SEQ, "start", "end", "op", nums.alias("nums"), "name", (F.size("strings") > 0).alias("shows"), spaces.alias("spaces"), F.when(op == "gs", F.try_element_at(states, F.col("name"))).alias("gs"))
     rows = rows.withColumn("in_text", F.coalesce(F.last(F.when(op == "BT", True).when(op == "ET", False), ignorenulls=True).over(upto), F.lit(False)))
     quoted, double = F.col("in_text") & op.isin("'", '"'), F.col("in_text") & (op == '"')
     known = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
     family = F.when(op == "g", "gray").when(op == "rg", "rgb").when(op == "k", "cmyk").when(op == "cs", F.coalesce(F.try_element_at(known, F.col("name")), F.try_element_at(F.col("spaces"), F.col("name")), F.lit("unknown")))
     rows = scopes(rows, KEYS, SEQ, op == "q", op == "Q")
-    font = F.when(op == "Tf", F.struct(F.coalesce("name", F.lit("")).alias("name"), num(0).alias("size")))
     rows = in_scope(rows, KEYS, SEQ, {
-        "space": family, "font": font, "char_spacing": F.when(double, num(1)).when(op == "Tc", num(0)), "word_spacing": F.when(double | (op == "Tw"), num(0)),
+        "space": family, "font_name": F.when(op == "Tf", F.coalesce("name", F.lit(""))).when(F.col("gs.named"), F.concat(F.lit("gs:"), F.col("name"))), "font_size": F.when(op == "Tf", num(0)).otherwise(F.col("gs.size")), "char_spacing": F.when(double, num(1)).when(op == "Tc", num(0)), "word_spacing": F.when(double | (op == "Tw"), num(0)),
         "horiz_scale": F.when(op == "Tz", num(0) / 100), "leading": F.when(op == "TL", num(0)).when(op == "TD", -num(1)), "rise": F.when(op == "Ts", num(0)), "render_mode": F.when(op == "Tr", num(0).cast("int")),
     })
     drawn = F.when(op.isin("g", "rg", "k"), F.struct(_fill(F.col("space"), F.col("nums")).alias("rgb")))
@@ -159,6 +159,6 @@ def text_states(operators: DataFrame) -> DataFrame:
     black = F.array(*[F.lit(0.0)] * 3)
     number = lambda c, d=0.0: F.coalesce(c, F.lit(d)).alias(c)
     return rows.select(
-        *KEYS, SEQ, "start", "end", "op", F.coalesce("font.name", F.lit("")).alias("font_name"), F.coalesce("font.size", F.lit(0.0)).alias("font_size"), number("char_spacing"), number("word_spacing"),
+        *KEYS, SEQ, "start", "end", "op", F.coalesce("font_name", F.lit("")).alias("font_name"), number("font_size"), number("char_spacing"), number("word_spacing"),
         number("horiz_scale", 1.0), number("leading"), number("rise"), number("render_mode", 0), F.when(F.col("fill").isNull(), black).otherwise(F.col("fill.rgb")).alias("fill"), "ctm", "line_matrix",
     )

@@ -28,7 +28,7 @@ from quirefold.operators.graph import released
 
 PAGES = (
     "doc_id bigint, page_index int, content binary, fonts map<string,string>, forms map<string,struct<content:binary,matrix:array<double>,key:string,fonts:map<string,string>,names:map<string,string>>>, media array<double>, crop array<double>, "
-    "rotate double, warning string, spaces map<string,string>, signed boolean, issues array<string>"
+    "rotate double, warning string, spaces map<string,string>, signed boolean, issues array<string>, states map<string,struct<size:double,named:boolean>>, properties map<string,string>"
 )
 
 
@@ -40,7 +40,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def pages(documents: DataFrame) -> DataFrame:
     """One row per page, or one with a warning (encrypted, parse, empty) and no page index; documents: doc_id, content."""
-    names = [c.strip().split(" ")[0] for c in ("doc_id", "page_index", "content", "fonts", "forms", "media", "crop", "rotate", "warning", "spaces", "signed", "issues")]
+    names = [c.strip().split(" ")[0] for c in ("doc_id", "page_index", "content", "fonts", "forms", "media", "crop", "rotate", "warning", "spaces", "signed", "issues", "states", "properties")]
 
     def box(file: PdfFile, page: dict, key: bytes) -> list[float] | None:
         value = file.get(page.get(key))
@@ -52,12 +52,14 @@ def pages(documents: DataFrame) -> DataFrame:
             file = PdfFile.parse(content or b"")
             for k, page in enumerate(file.pages()):
                 fonts, forms = file.resources(page)
+                states = file.states_of(page)
+                fonts |= {f"gs:{name}": spec for name, (_, spec) in states.items() if spec}
                 rotate = file.get(page.get(b"Rotate"))
-                yield doc, k, file.page_content(page), fonts, forms, box(file, page, b"MediaBox"), box(file, page, b"CropBox"), rotate if isinstance(rotate, float) else None, None, file.spaces_of(page), file.signed(), [] if file.decodable(page) else ["content-decode"]
+                yield doc, k, file.page_content(page), fonts, forms, box(file, page, b"MediaBox"), box(file, page, b"CropBox"), rotate if isinstance(rotate, float) else None, None, file.spaces_of(page), file.signed(), [] if file.decodable(page) else ["content-decode"], {n: {"size": size, "named": spec is not None} for n, (size, spec) in states.items()}, file.actual_texts(page)
         except Refused as why:
-            yield doc, None, None, None, None, None, None, None, why.code, None, None, None
+            yield doc, None, None, None, None, None, None, None, why.code, *[None] * 5
         except Exception:  # noqa: BLE001  a broken file is a warning, not a failed job
-            yield doc, None, None, None, None, None, None, None, "parse", None, None, None
+            yield doc, None, None, None, None, None, None, None, "parse", *[None] * 5
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -136,3 +136,17 @@ def test_time_follows_the_length():
         own.encode(["ffiab" * n])
         took.append(time.process_time() - began)
     assert took[1] < 25 * max(took[0], 0.02)
+
+
+def test_graphics_states_and_property_lists(spark):
+    content = b"BT /F1 9 Tf (a) Tj /G1 gs (b) Tj q /G2 gs (c) Tj Q (d) Tj ET /Span /P1 BDC BT (e) Tj ET /Inner BMC BT (f) Tj ET EMC EMC /Span /P2 BDC BT (g) Tj ET EMC"
+    data = (
+        b"%%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
+        b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> /ExtGState << /G1 << /Font [6 0 R 20] >> /G2 7 0 R /G3 << /LW 2 >> >> /Properties << /P1 << /ActualText (read me) >> /P2 8 0 R >> >> >> endobj\n"
+        b"4 0 obj << /Length %d >> stream\n%s\nendstream endobj\n5 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> endobj\n6 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Courier >> endobj\n7 0 obj << /Font [<< >> 30] >> endobj\n8 0 obj << /ActualText <FEFF017C> >> endobj\n"
+    ) % (len(content), content)
+    from quirefold.sources import pdf
+
+    pages = pdf.pages(spark.createDataFrame([(1, data)], "doc_id long, content binary"))
+    got = [(r.text, r.font_name, r.font_size, r.width_sum, r.actual_text) for r in interpret.text_runs(pages).orderBy("run_seq").collect()]
+    assert got == [("a", "F1", 9, 556, None), ("b", "gs:G1", 20, 600, None), ("c", "gs:G1", 30, 600, None), ("d", "gs:G1", 20, 600, None), ("e", "gs:G1", 20, 600, "read me"), ("f", "gs:G1", 20, 600, "read me"), ("g", "gs:G1", 20, 600, "ż")]

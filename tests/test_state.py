@@ -53,7 +53,8 @@ SAME = ["font_name", "font_size", "char_spacing", "word_spacing", "horiz_scale",
 
 def same_as_fold(pages):
     """Rows of both, keyed by page and first byte; the fold has no fonts, so shows advance nothing."""
-    rows = state.text_states(interpret.operators(pages)).collect()
+    extra = pages.select("doc_id", "page_index", *[c for c in ("states", "spaces") if c in pages.columns])
+    rows = state.text_states(interpret.operators(pages).join(extra, ["doc_id", "page_index"])).collect()
     got = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, list(r.ctm), list(r.line_matrix)) for r in rows}
     runs = interpret.text_runs(pages).collect()
     want = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, r.ctm, r.text_matrix) for r in runs}
@@ -71,10 +72,11 @@ def test_random_pages_as_the_fold_has_them(spark):
         lambda: "q", lambda: "Q", lambda: f"{n(1, 2)} 0 {n(0, 1)} {n(1, 2)} {n()} {n()} cm", lambda: f"{n()} Tc", lambda: f"{n()} Tw", lambda: f"{n(50, 150)} Tz", lambda: f"{n()} TL", lambda: f"{n()} Ts", lambda: f"{n(0, 7)} Tr",
         lambda: f"/F{n(1, 3)} {n(1, 20)} Tf", lambda: f"{n()} {n()} Td", lambda: f"{n()} {n()} TD", lambda: "T*", lambda: f"{n(1, 3)} 0 {n(0, 2)} 1 {n()} {n()} Tm", lambda: "BT", lambda: "ET", lambda: "(a) Tj", lambda: "(a) '",
         lambda: f"{n()} {n()} (a) \"", lambda: "[(a) (b)] TJ", lambda: "[] TJ", lambda: f"0.{n(0, 9)} g", lambda: f"0.{n(0, 9)} 1 0 rg", lambda: f"0.{n(0, 9)} 0 1 0.5 k", lambda: f"/{rng.choice(['DeviceRGB', 'G', 'CMYK', 'Own'])} cs",
-        lambda: f"0.{n(0, 9)} 0.2 0.3 sc", lambda: "0.5 scn", lambda: "/P1 scn", lambda: "0.1 0.2 0.3 0.4 scn", lambda: "Tc", lambda: "2 TD",
+        lambda: f"0.{n(0, 9)} 0.2 0.3 sc", lambda: "0.5 scn", lambda: "/P1 scn", lambda: "0.1 0.2 0.3 0.4 scn", lambda: "Tc", lambda: "2 TD", lambda: f"/G{n(1, 4)} gs",
     ]
-    rows = [(d, p, ("BT " + "\n".join(rng.choice(makers)() for _ in range(rng.randint(0, 120)))).encode(), {}) for d in range(12) for p in range(3)]
-    assert same_as_fold(spark.createDataFrame(rows, "doc_id long, page_index int, content binary, fonts map<string,string>")) > 150
+    rows = [(d, p, ("BT " + "\n".join(rng.choice(makers)() for _ in range(rng.randint(0, 120)))).encode(), {}, {"G1": (7.0, True), "G2": (8.0, False), "G3": (9.0, True)}, {"Own": "cmyk"}) for d in range(12) for p in range(3)]
+    kind = "doc_id long, page_index int, content binary, fonts map<string,string>, states map<string,struct<size:double,named:boolean>>, spaces map<string,string>"
+    assert same_as_fold(spark.createDataFrame(rows, kind)) > 150
 
 
 def test_deep_nesting(spark):
