@@ -82,6 +82,16 @@ def splice(streams: DataFrame, replacements: DataFrame, keys: list[str], content
     return joined.withColumn(content, F.when(r.isNull() | ~fine, data).otherwise(F.encode(F.concat(F.array_join(F.transform(r, piece), ""), tail), "ISO-8859-1"))).drop("_qf_r")
 
 
+def refused(streams: DataFrame, replacements: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """keys, start, end, reason (overlap, outside) of the replacements for which ``splice`` leaves a stream as it is; outside
+    also counts those of streams that aren't there."""
+    one = replacements.select(*keys, "start", "end", "bytes").distinct()
+    late = conflicts(one, keys, ties=("bytes",)).select(*keys, "start", "end", F.lit("overlap").alias("reason"))
+    sizes = one.join(streams.select(*keys, F.octet_length(content).alias("_qf_size")), keys, "left")
+    fits = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("_qf_size"))
+    return late.union(sizes.where(~F.coalesce(fits, F.lit(False))).select(*keys, "start", "end", F.lit("outside").alias("reason")))
+
+
 #: What ``silenced`` reads of a run.
 NEEDED = ["op", "safe_delete", "font_size", "char_spacing", "word_spacing", "horiz_scale", "render_mode", "width_sum", "n_glyphs", "n_spaces", "tj_adjustment"]
 

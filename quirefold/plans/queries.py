@@ -798,3 +798,90 @@ def display_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, d = F.col("p_size") / 100, F.col("p_size") / 400
     scale = summary.zoom_scale(F.lit("width"), F.lit(900.0), F.lit(600.0), 100.0 * F.col("p_size"), F.lit(792.0))
     return read(spark, sf_dir, "part").select("p_partkey", whole(geometry.half_up(1000 * geometry.baseline_ratio(a, d))).alias("baseline_1000"), whole(geometry.half_up(1000 * scale)).alias("scale_1000"))
+
+
+# --- facts about warnings, pages, fonts and fits ----------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority < '3' THEN 1 WHEN o_orderpriority < '4' THEN 2 ELSE 3 END, o_orderkey) AS position FROM orders
+""")
+def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-04: warnings of a document, the worst first; orders of a customer stand in for warnings."""
+    level = F.when(F.col("o_orderpriority") < "3", "error").when(F.col("o_orderpriority") < "4", "warn").otherwise("info")
+    return summary.in_severity_order(read(spark, sf_dir, "orders"), ["o_custkey"], level, ["o_orderkey"]).select("o_orderkey", whole(F.col("position")).alias("position"))
+
+
+@query("""
+SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS position
+FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL)
+""")
+def first_seen_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-11: different values in the order in which they are first seen."""
+    found = summary.first_seen(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["o_orderkey"])
+    return found.select("o_custkey", "o_orderpriority", whole(F.col("position")).alias("position"))
+
+
+@query("SELECT l_suppkey, CAST(max(l_quantity * 10) AS BIGINT) AS max_width, CAST(max(l_linenumber * 100) AS BIGINT) AS max_height FROM lineitem GROUP BY l_suppkey")
+def largest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-13 P-18: the widest and the highest page of each document; lines of a supplier stand in for pages."""
+    pages = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_quantity") * 10).alias("display_width"), (F.col("l_linenumber") * 100).alias("display_height"))
+    return summary.largest_page(pages, ["l_suppkey"]).select("l_suppkey", whole(F.col("max_width")).alias("max_width"), whole(F.col("max_height")).alias("max_height"))
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, l_quantity * 30 <= (100 + l_linenumber * 100) * 1.001 AS fits, l_linenumber % 2 = 0 AS needs_fallback FROM lineitem
+""")
+def fit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-20: whether a text fits its line and whether its font has all of it."""
+    lost = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    check = edit.fit_check(F.col("l_quantity") * 30, (100 + F.col("l_linenumber") * 100).cast("double"), lost)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), check["fits"].alias("fits"), check["needs_fallback"].alias("needs_fallback"))
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN (400 - l_quantity * 20) * 500 ELSE (400 - l_quantity * 20) * 1000 END AS BIGINT) AS offset_1000 FROM lineitem
+""")
+def anchor_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-22: where an edited line begins that is anchored left, in the middle or right and keeps its size."""
+    anchor = F.element_at(F.array(F.lit("left"), F.lit("center"), F.lit("right")), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    fit = edit.fitted(F.col("l_quantity") * 20, F.lit(400.0), F.lit("keep"), anchor)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(F.col("l_linenumber")).alias("pos"), whole(geometry.half_up(fit["offset"] * 1000)).alias("offset_1000"))
+
+
+@query("""
+SELECT p_brand, CAST(count(DISTINCT letter) AS BIGINT) AS repertoire, count(DISTINCT letter) > 0 AS reusable
+FROM (SELECT p_brand, p_partkey % 256 AS code, chr(CAST(97 + min(p_size) % 26 AS INTEGER)) AS letter FROM part GROUP BY ALL) GROUP BY p_brand
+""")
+def font_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-14: how many different texts a font can write; the parts of a brand stand in for its codes."""
+    codes = read(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_partkey") % 256).alias("code")).agg(F.chr(97 + F.min("p_size") % 26).alias("letter"))
+    own = F.map_from_entries(F.collect_list(F.struct(F.col("code").cast("string"), "letter")))
+    given = codes.groupBy("p_brand").agg(own.alias("differences"))
+    given = given.select("p_brand", F.to_json(F.struct(F.col("p_brand").alias("base"), F.lit("none").alias("encoding"), "differences")).alias("font"))
+    return given.join(encode.diagnostics(given), "font").select("p_brand", "repertoire", "reusable")
+
+
+@query("""
+SELECT 'xobj:A' AS stream_key, CAST(sum(doc_id % 3) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT 'xobj:9 0 R', count(*) FROM documents WHERE text IS NOT NULL
+""")
+def form_use_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-15: every use of a form is recorded, also where one form shows another."""
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    content = F.concat(F.repeat(F.lit("/A Do "), (F.col("doc_id") % 3).cast("int")), F.lit("/B Do "))
+    form = lambda body, key: F.struct(F.encode(F.lit(body), "ISO-8859-1").alias("content"), F.lit(None).cast("array<double>").alias("matrix"), F.lit(key).alias("key"), F.lit(None).cast("map<string,string>").alias("fonts"), F.lit(None).cast("map<string,string>").alias("names"))
+    forms = F.create_map(F.lit("A"), form("q Q", ""), F.lit("B"), form("/B Do", "9 0 R"))  # B would show itself
+    pages = docs.select("doc_id", F.lit(0).alias("page_index"), F.encode(content, "ISO-8859-1").alias("content"), F.create_map().cast("map<string,string>").alias("fonts"), forms.alias("forms"))
+    return interpret.form_uses(pages).groupBy("stream_key").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS pos, CAST(5 * l_linenumber AS BIGINT) AS scale_x, CAST(5 * l_linenumber * l_quantity AS BIGINT) AS scale_y, CAST(927295 AS BIGINT) AS rotation, l_orderkey % 2 = 1 AS flipped FROM lineitem
+""")
+def decomposed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-02: scales, rotation (in millionths) and mirroring of a matrix."""
+    k, s = F.col("l_linenumber"), F.col("l_quantity") * F.when(F.col("l_orderkey") % 2 == 1, -1).otherwise(1)
+    parts = geometry.decompose(geometry.matrix(3 * k, 4 * k, -4 * k * s, 3 * k * s, 0, 0))
+    number = lambda c: whole(geometry.half_up(c))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", whole(k).alias("pos"), number(parts["scale_x"]).alias("scale_x"), number(parts["scale_y"]).alias("scale_y"), number(parts["rotation"] * 1_000_000).alias("rotation"), parts["flipped"].alias("flipped"))

@@ -158,6 +158,8 @@ def test_splice(spark):
     reps = spark.createDataFrame([(1, 2, 4, b"AA"), (1, 2, 4, b"AA"), (1, 4, 4, b"-"), (1, 8, 10, b""), (2, 0, 2, b"x"), (2, 1, 3, b"y")], "id long, start long, end long, bytes binary")
     assert {r.id: bytes(r.content) for r in edit.splice(streams, reps, ["id"]).collect()} == {1: b"01AA-4567", 2: b"abc", 3: b"xyz"}
     assert [r.start for r in edit.conflicts(reps.distinct(), ["id"]).collect()] == [1]
+    more = reps.union(spark.createDataFrame([(3, 2, 4, b"?"), (3, 1, 0, b"?"), (4, 0, 0, b"?"), (1, 10, 10, b"end")], reps.schema))
+    assert sorted(map(tuple, edit.refused(streams, more, ["id"]).collect())) == [(2, 1, 3, "overlap"), (3, 1, 0, "outside"), (3, 2, 4, "outside"), (4, 0, 0, "outside")]
 
 
 def test_sessions(spark):
