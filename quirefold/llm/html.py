@@ -8,9 +8,10 @@ labelled pages: ``labelled_pages`` builds them from templates in which every blo
 number of pages that does not depend on the input.
 
 Defined results: null or empty html -> empty text; a page without a main block -> empty text; cut-off pages, open
-tags and unknown references are read as far as they go, pages of any length in one pass; a block whose labels score
-alike is not main text; repeated rows are each answered; input columns named like the results are replaced; an empty
-table gives no rows; no shuffle.
+tags and unknown references are read as far as they go; a tag of more than 65,536 characters ends at its first '>', also
+in quotes; a block whose labels score alike is not main text; repeated rows are each answered; input columns named like the results are replaced; an empty
+table gives no rows; no shuffle. Time and memory follow a page's length, however deep or unclosed it is: what stands
+above a block is shared with its parent, and names that the model doesn't know aren't kept.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ STRUCTURE = frozenset("article aside footer form header main nav section".split(
 #: Which open element a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,65536}+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -67,25 +68,49 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return len(page)
 
 
+@dataclass(frozen=True)
+class Above:
+    """What stands above a block: different features in order, the nearest name or structural element, the nearest tag that
+    breaks blocks, whether there is an article or main element."""
+
+    features: tuple[str, ...] = ()
+    near: str = "none"
+    own: str = "tag:none"
+    main: bool = False
+
+    def below(self, tag: str, names: list[str], known: frozenset[str] | None) -> "Above":
+        """The same with one more element; shared if that adds nothing."""
+        new = [f for f in dict.fromkeys(names) if (known is None or f in known) and f not in self.features]
+        near = next((f for f in reversed(names) if f.startswith("name:") or f[4:] in STRUCTURE), self.near)
+        own = self.own if tag in INLINE else f"tag:{tag}"
+        main = self.main or tag in ("article", "main")
+        if not new and (near, own, main) == (self.near, self.own, self.main):
+            return self
+        return Above((*self.features, *new) if new else self.features, near, own, main)
+
+
 @dataclass
 class Block:
     """A leaf block: its text, how many of its characters are in links, and what stands above it."""
 
     text: str
     link: int
-    above: tuple[str, ...]
+    above: Above
     features: list[str] = field(default_factory=list)
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """The shown leaf blocks in page order, white space collapsed, references decoded."""
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The shown leaf blocks in page order, white space collapsed, references decoded.
+
+    ``known``: the features of elements that are kept above a block, all if not given.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, features, hidden
+    stack: list[tuple[str, Above, bool, int]] = []  # tag, what it and those above it give, hidden, nearest place that isn't inline
+    places: dict[str, list[int]] = {}  # of open elements by tag
     parts: list[str] = []
     page, at = page or "", 0
     link, hidden = 0, 0
-    links = 0  # open a elements
-    above: tuple[str, ...] = ()
+    top = above = Above()
 
     def flush() -> None:
         nonlocal link
@@ -97,10 +122,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
             link = 0
 
     def pop(k: int) -> None:
-        nonlocal hidden, links
-        for tag, _, hides in stack[k:]:
+        nonlocal hidden
+        for tag, _, hides, _ in stack[k:]:
             hidden -= hides
-            links -= tag == "a"
+            places[tag].pop()
         del stack[k:]
 
     while at < len(page):
@@ -111,9 +136,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if hidden or token.startswith(("<!", "<?")):
                 continue
             if not parts:
-                above = tuple(f for _, fs, _ in stack for f in fs)
+                above = stack[-1][1] if stack else top
             parts.append(token)
-            if links:
+            if places.get("a"):
                 link += len(token.strip())
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
@@ -124,21 +149,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (tag, "template")), -1)
-            if k >= 0 and stack[k][0] == tag:  # what is in a template ends nothing outside
+            k, shut = (places.get(t, [-1])[-1] if places.get(t) else -1 for t in (tag, "template"))
+            if k >= shut and k >= 0:  # what is in a template ends nothing outside
                 pop(k)
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:  # a block-level start ends an open paragraph, and its like
-            ends = ENDS.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name in ends or name == "p":
-                    pop(k)
-                    break
-                if name not in INLINE:
-                    break
+        if tag not in INLINE and stack:  # a block-level start ends an open paragraph, and its like
+            k = stack[-1][3]
+            if k >= 0 and (stack[k][0] == "p" or stack[k][0] in ENDS.get(tag, ())):
+                pop(k)
         names, hides = [f"tag:{tag}"], tag in HIDDEN
         if attrs:
             for a in _ATTR.finditer(attrs):
@@ -147,9 +167,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     names += [f"name:{w}" for w in _WORD.findall(value.lower())]
                 elif name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.lower() == "true":
                     hides = True
-        stack.append((tag, tuple(names), hides))
+        block = len(stack) if tag not in INLINE else stack[-1][3] if stack else -1
+        stack.append((tag, (stack[-1][1] if stack else top).below(tag, names, known), hides, block))
+        places.setdefault(tag, []).append(len(stack) - 1)
         hidden += hides
-        links += tag == "a"
         if tag in RAW:
             at = _raw_end(page, at, tag)
     flush()
@@ -162,15 +183,14 @@ def add_features(blocks: list[Block]) -> list[Block]:
         n, marks = len(b.text), sum(b.text.count(c) for c in ".,;!?")
         size = min(6, n.bit_length() // 2 if n < 4096 else 6)
         share = min(3, 3 * b.link // n) if n else 0
-        near = next((k for k in range(len(b.above) - 1, -1, -1) if b.above[k].startswith("name:") or b.above[k][4:] in STRUCTURE), -1)
-        own = next((x for x in reversed(b.above) if x.startswith("tag:") and x[4:] not in INLINE), "tag:none")
+        near, own = b.above.near, b.above.own
         b.features = [
             "bias",
-            *dict.fromkeys(f"above:{x}" for x in b.above),
+            *[f"above:{x}" for x in b.above.features],
             f"own:{own}",
-            f"own:{own} in main:{'tag:article' in b.above or 'tag:main' in b.above}",
-            f"near:{b.above[near] if near >= 0 else 'none'}",
-            f"own:{own} near:{b.above[near] if near >= 0 else 'none'}",
+            f"own:{own} in main:{b.above.main}",
+            f"near:{near}",
+            f"own:{own} near:{near}",
             f"size:{size}",
             f"links:{share}",
             f"marks:{min(3, marks)}",
@@ -187,6 +207,7 @@ class Crf:
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
         self.by_name = {name: float(weights[k]) for name, k in index.items()}
+        self.known = frozenset(name[6:] for name in index if name.startswith("above:"))
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best label sequence (Viterbi)."""
@@ -361,7 +382,7 @@ def trained(pages: int = 600, seed: int = 11) -> Crf:
 
 
 def main_text(page: str | None, model: Crf) -> str:
-    blocks = add_features(leaf_blocks(page))
+    blocks = add_features(leaf_blocks(page, model.known))
     return "\n".join(b.text for b, label in zip(blocks, model.decode(blocks)) if label)
 
 

@@ -524,3 +524,30 @@ def test_sql(spark, name):
     names = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, SMALL)
     assert sorted(got.columns) == sorted(names) and sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_pages_of_any_shape_take_time_by_their_length():
+    import time
+
+    model = html.trained()
+    shapes = {
+        "open": lambda n: "<x" * n, "deep": lambda n: "<div>x " * n, "ends": lambda n: "<div>" * n + "</b>" * n, "quotes": lambda n: '<a ">' * n + '"', "items": lambda n: "<i>" * n + "<li></li>" * n,
+        "template": lambda n: "<b><template>" + "<div>" * n + "</b>" * n, "names": lambda n: "".join(f'<div class="q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}">x ' for k in range(n)),
+    }
+    for name, make in shapes.items():
+        took = []
+        for n in (3000, 30_000):
+            began = time.process_time()
+            html.main_text(make(n), model)
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * max(took[0], 0.02), (name, took)
+
+
+def test_what_stands_above_a_block():
+    blocks = html.leaf_blocks('<main class="a b"><div id=c><p>x <b class=d>y</b><ul><li>z</main>w<template><p>t</main></template>v')
+    assert [(b.text, b.above.features, b.above.near, b.above.own, b.above.main) for b in blocks] == [
+        ("x y", ("tag:main", "name:a", "name:b", "tag:div", "name:c", "tag:p"), "name:c", "tag:p", True),
+        ("z", ("tag:main", "name:a", "name:b", "tag:div", "name:c", "tag:ul", "tag:li"), "name:c", "tag:li", True),
+        ("w", (), "none", "tag:none", False),
+        ("v", (), "none", "tag:none", False),
+    ]
