@@ -15,7 +15,7 @@ HELVETICA = (
 )
 #: Helvetica's letters that are no base letter with an accent.
 HELVETICA_OTHER = {"ß": 611, "æ": 889, "Æ": 1000, "ø": 611, "Ø": 778, "ì": 278, "í": 278, "î": 278, "ï": 278, "ð": 556, "þ": 556, "Ð": 722, "Þ": 667, "¡": 333, "¿": 611, "«": 556, "»": 556, "©": 737, "®": 737, "°": 400, "·": 278, "–": 556, "—": 1000, "‘": 222, "’": 222, "“": 333, "”": 333, "•": 350, "…": 1000, "€": 556}
-#: Advance widths of Helvetica-Bold, Times-Roman and Times-Bold for character codes 32 to 126.
+#: Advance widths of Helvetica-Bold and the four Times faces for character codes 32 to 126.
 OTHER_FACES = {
     "Helvetica-Bold": (
         278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611,
@@ -27,14 +27,24 @@ OTHER_FACES = {
         921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500,
         333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541,
     ),
+    "Times-Italic": (
+        250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 675, 675, 675, 500,
+        920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833, 667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500,
+        333, 500, 500, 444, 500, 444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400, 275, 400, 541,
+    ),
+    "Times-BoldItalic": (
+        250, 389, 555, 500, 500, 833, 778, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500,
+        832, 667, 667, 667, 722, 667, 667, 722, 778, 389, 500, 667, 611, 889, 722, 722, 611, 722, 667, 556, 611, 722, 667, 889, 667, 611, 611, 333, 278, 333, 570, 500,
+        333, 500, 500, 444, 500, 444, 333, 500, 556, 278, 278, 500, 278, 778, 556, 500, 500, 500, 389, 389, 278, 556, 444, 667, 500, 444, 389, 348, 220, 348, 570,
+    ),
     "Times-Bold": (
         250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500,
         930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500,
         333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520,
     ),
 }
-ASCENT = {"Helvetica": 0.718, "Helvetica-Bold": 0.718, "Courier": 0.629, "Times-Roman": 0.683, "Times-Bold": 0.683}
-DESCENT = {"Helvetica": -0.207, "Helvetica-Bold": -0.207, "Courier": -0.157, "Times-Roman": -0.217, "Times-Bold": -0.217}
+ASCENT = {"Helvetica": 0.718, "Helvetica-Bold": 0.718, "Courier": 0.629, "Times-Roman": 0.683, "Times-Bold": 0.683, "Times-Italic": 0.683, "Times-BoldItalic": 0.683}
+DESCENT = {"Helvetica": -0.207, "Helvetica-Bold": -0.207, "Courier": -0.157, "Times-Roman": -0.217, "Times-Bold": -0.217, "Times-Italic": -0.217, "Times-BoldItalic": -0.217}
 #: Width of a glyph that the face doesn't have.
 DEFAULT_WIDTH = 500
 #: The standard encoding where it differs from ASCII; two strings of codes and characters each.
@@ -64,13 +74,14 @@ def encoded_text(encoding: str, code: int) -> str:
 
 
 def face_of(base: str) -> str:
-    """The standard face whose widths stand in for a font, by its name."""
+    """The standard face whose widths stand in for a font, by its name; slanted Helvetica and Courier are as wide as upright."""
     name = base.split("+")[-1].lower()
     bold = "bold" in name or "black" in name or "heavy" in name
     if "courier" in name or "mono" in name:
         return "Courier"
     if "times" in name or "roman" in name or "serif" in name and "sans" not in name:
-        return "Times-Bold" if bold else "Times-Roman"
+        slanted = "italic" in name or "oblique" in name
+        return "Times-BoldItalic" if bold and slanted else "Times-Bold" if bold else "Times-Italic" if slanted else "Times-Roman"
     return "Helvetica-Bold" if bold else "Helvetica"
 
 

@@ -25,6 +25,8 @@ def test_encodings(encoding, code, text):
 
 def test_faces():
     assert [fonts.face_of(x) for x in ("Helvetica", "ABCDEF+Times-Bold", "TimesNewRoman", "CourierNew", "Arial-BoldMT")] == ["Helvetica", "Times-Bold", "Times-Roman", "Courier", "Helvetica-Bold"]
+    assert [fonts.face_of(x) for x in ("TimesNewRomanPS-BoldItalicMT", "Times-Italic", "Helvetica-BoldOblique", "Courier-Oblique")] == ["Times-BoldItalic", "Times-Italic", "Helvetica-Bold", "Courier"]
+    assert [len(t) for t in fonts.OTHER_FACES.values()] == [95] * 5 and (fonts.char_width("A", "Times-Italic"), fonts.char_width("é", "Times-BoldItalic"), fonts.char_width("M", "Times-Italic")) == (611, 444, 833)
     assert (fonts.char_width("A", "Times-Roman"), fonts.char_width("é", "Times-Bold"), fonts.char_width("W", "Helvetica-Bold")) == (722, 444, 944)
 
 
