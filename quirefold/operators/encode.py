@@ -142,10 +142,11 @@ def advances(segments: Column, scale: Column, char: Column, word: Column) -> Col
     return F.aggregate(segments, F.lit(0.0), lambda s, x: s + advance(x, scale, char, word))
 
 
-def draw_block(segments: Column, ctm: Column, tm: Column, scale: Column, char: Column, word: Column, rise: Column, mode: Column, offset: Column) -> Column:
+def draw_block(segments: Column, ctm: Column, tm: Column, scale: Column, char: Column, word: Column, rise: Column, mode: Column, offset: Column, stroke: Column | None = None, line_width: Column | None = None) -> Column:
     """A self-contained block of operators that draws segments (font, size, fill, bytes, width, n_glyphs, n_spaces).
 
-    Each segment is placed by its own matrix; the fill is set where it changes.
+    Each segment is placed by its own matrix; the fill is set where it changes. ``stroke`` (red, green, blue) and
+    ``line_width`` count in the render modes that draw outlines (1 and 2).
     """
     numbers = lambda a: F.array_join(F.transform(a, number_text), " ")
 
@@ -158,7 +159,10 @@ def draw_block(segments: Column, ctm: Column, tm: Column, scale: Column, char: C
 
     start = F.struct(offset.cast("double").alias("cursor"), F.lit(None).cast("array<double>").alias("fill"), F.array().cast("array<string>").alias("parts"))
     drawn = F.aggregate(segments, start, part, lambda s: F.array_join(s["parts"], ""))
-    state = F.concat(number_text(char), F.lit(" Tc\n"), number_text(word), F.lit(" Tw\n"), number_text(scale * 100), F.lit(" Tz\n"), F.when(rise != 0, F.concat(number_text(rise), F.lit(" Ts\n"))).otherwise(""), F.when(mode != 0, F.concat(mode.cast("string"), F.lit(" Tr\n"))).otherwise(""))
+    colour = F.lit("") if stroke is None else F.when(stroke.isNotNull(), F.concat(numbers(stroke), F.lit(" RG\n"))).otherwise("")
+    width = F.lit("") if line_width is None else F.concat(number_text(line_width), F.lit(" w\n"))
+    pen = F.when(mode.isin(1, 2), F.concat(colour, width)).otherwise("")
+    state = F.concat(number_text(char), F.lit(" Tc\n"), number_text(word), F.lit(" Tw\n"), number_text(scale * 100), F.lit(" Tz\n"), F.when(rise != 0, F.concat(number_text(rise), F.lit(" Ts\n"))).otherwise(""), F.when(mode != 0, F.concat(mode.cast("string"), F.lit(" Tr\n"))).otherwise(""), pen)
     block = F.concat(F.lit("q\n"), numbers(ctm), F.lit(" cm\nBT\n"), state, drawn, F.lit("ET\nQ"))
     return F.when(F.size(segments) == 0, "").otherwise(block)
 
@@ -213,8 +217,10 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     report = lambda df, code, level, detail: df.select(*line, F.lit(code).alias("code"), F.lit(level).alias("level"), detail.alias("detail"))
     locked = report(wanted.where(F.size("blockers") > 0), "locked-line", "warn", F.array_join("blockers", ", "))
     changed = edit.distribute(wanted.where(F.size("blockers") == 0), "run_texts", "new_text").where("owner >= 0")
-    pieces = changed.select(*line, "overflow", "anchor", F.col("width").alias("line_width"), F.posexplode(F.arrays_zip(F.col("run_seqs").alias("run_seq"), F.col("texts").alias("new"))).alias("pos", "z")).select(*line, "overflow", "anchor", "line_width", "pos", "z.run_seq", F.col("z.new").alias("new"))
-    pieces = pieces.join(runs, [*page, "run_seq"])
+    pieces = changed.select(*line, "overflow", "anchor", F.col("width").alias("line_room"), F.posexplode(F.arrays_zip(F.col("run_seqs").alias("run_seq"), F.col("texts").alias("new"))).alias("pos", "z")).select(*line, "overflow", "anchor", "line_room", "pos", "z.run_seq", F.col("z.new").alias("new"))
+    given = set(runs.columns)
+    pen = [F.col("line_width") if "line_width" in given else F.lit(1.0), F.col("stroke") if "stroke" in given else F.lit(None).cast("array<double>")]
+    pieces = pieces.join(runs.withColumn("pen", pen[0]).withColumn("stroke", pen[1]), [*page, "run_seq"])
     inside = F.col("stream_key").startswith("xobj:")
     often = runs.where(inside).groupBy("doc_id", "stream_key", "start").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stream_key").distinct()
     formed = pieces.where(inside).select("doc_id", "stream_key", *line[1:]).distinct().join(often.withColumn("often", F.lit(True)), ["doc_id", "stream_key"], "left")
@@ -239,7 +245,7 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     name = F.when(~F.col("own"), FALLBACK_NAME).when(inside, alias(F.col("font"))).otherwise(F.col("font_name"))
     facts = F.struct("pos", name.alias("font"), F.col("font_size").alias("size"), "fill", "bytes", F.col("g.width").alias("width"), F.col("g.n_glyphs").alias("n_glyphs"), F.col("g.n_spaces").alias("n_spaces"))
     joined = pieces.join(given.select(*keys, "own", "bytes", F.struct("width", "n_glyphs", "n_spaces").alias("g")), keys, "left")
-    anchors = F.min_by(F.struct("ctm", "text_matrix", "horiz_scale", "char_spacing", "word_spacing", "rise", "render_mode", "text_to_page", "line_width", "overflow", "anchor"), "pos").alias("at")
+    anchors = F.min_by(F.struct("ctm", "text_matrix", "horiz_scale", "char_spacing", "word_spacing", "rise", "render_mode", "text_to_page", F.col("line_room").alias("line_width"), "overflow", "anchor", "stroke", F.col("pen").alias("pen")), "pos").alias("at")
     # fonts that the page gets for its blocks
     more = F.when(~F.col("own"), F.struct(F.lit(FALLBACK_NAME).alias("name"), F.lit(fallback or FALLBACK).alias("spec"))).when(inside, F.struct(alias(F.col("font")).alias("name"), F.col("font").alias("spec")))
     per = joined.groupBy(*line).agg(anchors, F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), facts))).alias("segments"), F.collect_set(F.when(F.col("bytes").isNotNull(), more)).alias("more"))
@@ -248,7 +254,7 @@ def apply_edits(pages: DataFrame, runs: DataFrame, lines: DataFrame, edits: Data
     fit = edit.fitted(F.col("needed"), F.col("room"), F.when(F.col("room") > 0, F.col("at.overflow")), F.col("at.anchor"))
     per = per.withColumn("fit", fit).withColumn("segments", F.transform("segments", lambda x: x.withField("size", x["size"] * F.col("fit.size_factor"))))
     mode = F.when(F.col("at.render_mode") >= 4, 0).otherwise(F.col("at.render_mode"))
-    per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset")))
+    per = per.withColumn("block", draw_block(F.col("segments"), F.col("at.ctm"), F.col("at.text_matrix"), scale * F.col("fit.scale_factor"), char, word, F.col("at.rise"), mode, F.col("fit.offset"), F.col("at.stroke"), F.col("at.pen")))
     wide = report(per.where("fit.overflow"), "overflow", "info", F.lit(""))
     blocks = per.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "block"))), lambda x: x["block"]), "\n").alias("block"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"),
         F.count("*").alias("lines_changed"), F.sum(F.size(F.filter("segments", lambda x: x["font"] != FALLBACK_NAME))).alias("reused_font"), F.sum(F.size(F.filter("segments", lambda x: x["font"] == FALLBACK_NAME))).alias("fallback_font"))

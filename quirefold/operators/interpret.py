@@ -30,7 +30,7 @@ RUNS = (
     "doc_id bigint, page_index int, run_seq int, stream_key string, start bigint, end bigint, op string, font_name string, font_size double, char_spacing double, word_spacing double, "
     "horiz_scale double, leading double, rise double, render_mode int, ctm array<double>, text_matrix array<double>, text string, n_glyphs int, n_spaces int, width_sum double, "
     "tj_adjustment double, advance double, x double, y double, x0 double, y0 double, x1 double, y1 double, effective_size double, text_to_page double, angle double, fill array<double>, "
-    "safe_delete boolean, actual_text string, vertical boolean"
+    "safe_delete boolean, actual_text string, vertical boolean, stroke array<double>, line_width double"
 )
 #: Deepest nesting of forms.
 FORM_DEPTH = 8
@@ -80,6 +80,9 @@ class State:
     mode: int = 0
     fill: tuple[float, ...] | None = (0.0, 0.0, 0.0)
     space: str = "gray"
+    stroke: tuple[float, ...] | None = (0.0, 0.0, 0.0)
+    stroke_space: str = "gray"
+    pen: float = 1.0
 
 
 #: Colour spaces that need no resource.
@@ -180,7 +183,7 @@ class Page:
                 "width_sum": widths, "tj_adjustment": kerns, "advance": advance, "x": at[4], "y": at[5], "x0": min(xs, default=at[4]), "y0": min(ys, default=at[5]), "x1": max(xs, default=at[4]), "y1": max(ys, default=at[5]),
                 "effective_size": abs(at[0] * at[3] - at[1] * at[2]) / wide if wide else math.hypot(at[2], at[3]), "text_to_page": math.hypot(both[0], both[1]) or 1.0, "angle": math.atan2(at[1], at[0]),
                 "fill": list(s.fill) if s.fill else None, "safe_delete": False, "actual_text": marked[-1] if marked else None,
-                "vertical": s.font is not None and s.font.vertical,
+                "vertical": s.font is not None and s.font.vertical, "stroke": list(s.stroke) if s.stroke else None, "line_width": s.pen,
             }
         )
         return after
@@ -211,6 +214,15 @@ class Page:
                 s.space = DEVICE.get(name) or self.spaces.get(name, "unknown")
             elif op in ("sc", "scn"):
                 s.fill = None if name else rgb(s.space, nums)
+            elif op in ("G", "RG", "K"):
+                s.stroke_space = {"G": "gray", "RG": "rgb", "K": "cmyk"}[op]
+                s.stroke = rgb(s.stroke_space, nums)
+            elif op == "CS":
+                s.stroke_space = DEVICE.get(name) or self.spaces.get(name, "unknown")
+            elif op in ("SC", "SCN") and (nums or s.stroke_space == "unknown"):  # a pattern alone changes nothing in a known space
+                s.stroke = rgb(s.stroke_space, nums) if nums else None
+            elif op == "w":
+                s.pen = num(0)
             elif op in ("BMC", "BDC"):
                 actual = next((x.get(b"ActualText") for x in o.operands if isinstance(x, dict)), None)
                 listed = [x.decode("latin-1") for x in o.operands if isinstance(x, Name)]

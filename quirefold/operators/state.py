@@ -123,7 +123,7 @@ def text_states(operators: DataFrame) -> DataFrame:
 
     ``operators``: rows as of ``interpret.operators``, and if there are any ``spaces`` (map of a page's colour spaces to
     their families) and ``states`` (of its graphics states that set a font, as ``sources.pdf.pages`` has them). Result: doc_id, page_index, op_seq, start, end, op, font_name, font_size, char_spacing, word_spacing,
-    horiz_scale, leading, rise, render_mode, fill, ctm and line_matrix (both struct<a..f>; the matrix of the line's
+    horiz_scale, leading, rise, render_mode, fill, stroke, line_width, ctm and line_matrix (both struct<a..f>; the matrix of the line's
     start: what a show before it on the same line has advanced is not in it).
     """
     op, nums = F.col("op"), F.coalesce(F.col("nums"), F.array().cast("array<double>"))
@@ -135,15 +135,17 @@ def text_states(operators: DataFrame) -> DataFrame:
     rows = rows.withColumn("in_text", F.coalesce(F.last(F.when(op == "BT", True).when(op == "ET", False), ignorenulls=True).over(upto), F.lit(False)))
     quoted, double = F.col("in_text") & op.isin("'", '"'), F.col("in_text") & (op == '"')
     known = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
-    family = F.when(op == "g", "gray").when(op == "rg", "rgb").when(op == "k", "cmyk").when(op == "cs", F.coalesce(F.try_element_at(known, F.col("name")), F.try_element_at(F.col("spaces"), F.col("name")), F.lit("unknown")))
+    space_of = lambda gray, rgb, cmyk, named: F.when(op == gray, "gray").when(op == rgb, "rgb").when(op == cmyk, "cmyk").when(op == named, F.coalesce(F.try_element_at(known, F.col("name")), F.try_element_at(F.col("spaces"), F.col("name")), F.lit("unknown")))
     rows = scopes(rows, KEYS, SEQ, op == "q", op == "Q")
     rows = in_scope(rows, KEYS, SEQ, {
-        "space": family, "font_name": F.when(op == "Tf", F.coalesce("name", F.lit(""))).when(F.col("gs.named"), F.concat(F.lit("gs:"), F.col("name"))), "font_size": F.when(op == "Tf", num(0)).otherwise(F.col("gs.size")), "char_spacing": F.when(double, num(1)).when(op == "Tc", num(0)), "word_spacing": F.when(double | (op == "Tw"), num(0)),
+        "space": space_of("g", "rg", "k", "cs"), "stroke_space": space_of("G", "RG", "K", "CS"), "line_width": F.when(op == "w", num(0)), "font_name": F.when(op == "Tf", F.coalesce("name", F.lit(""))).when(F.col("gs.named"), F.concat(F.lit("gs:"), F.col("name"))), "font_size": F.when(op == "Tf", num(0)).otherwise(F.col("gs.size")), "char_spacing": F.when(double, num(1)).when(op == "Tc", num(0)), "word_spacing": F.when(double | (op == "Tw"), num(0)),
         "horiz_scale": F.when(op == "Tz", num(0) / 100), "leading": F.when(op == "TL", num(0)).when(op == "TD", -num(1)), "rise": F.when(op == "Ts", num(0)), "render_mode": F.when(op == "Tr", num(0).cast("int")),
     })
     drawn = F.when(op.isin("g", "rg", "k"), F.struct(_fill(F.col("space"), F.col("nums")).alias("rgb")))
     drawn = drawn.when(op.isin("sc", "scn"), F.struct(F.when(F.coalesce("name", F.lit("")) == "", _fill(F.coalesce("space", F.lit("gray")), F.col("nums"))).alias("rgb")))
-    rows = in_scope(rows, KEYS, SEQ, {"fill": drawn})
+    pen_space, parts = F.coalesce("stroke_space", F.lit("gray")), F.size("nums")
+    stroked = F.when(op.isin("G", "RG", "K") | (op.isin("SC", "SCN") & ((parts > 0) | (pen_space == "unknown"))), F.struct(F.when(op.isin("G", "RG", "K") | (parts > 0), _fill(pen_space, F.col("nums"))).alias("rgb")))
+    rows = in_scope(rows, KEYS, SEQ, {"fill": drawn, "stroke": stroked})
     # the line's matrix isn't saved: the last matrix that was set, moved by all steps since
     lead = F.coalesce("leading", F.lit(0.0))
     base = F.when(op == "BT", geometry.matrix(1, 0, 0, 1, 0, 0)).when(op == "Tm", geometry.matrix(*[num(k) for k in range(6)]))
@@ -160,5 +162,5 @@ def text_states(operators: DataFrame) -> DataFrame:
     number = lambda c, d=0.0: F.coalesce(c, F.lit(d)).alias(c)
     return rows.select(
         *KEYS, SEQ, "start", "end", "op", F.coalesce("font_name", F.lit("")).alias("font_name"), number("font_size"), number("char_spacing"), number("word_spacing"),
-        number("horiz_scale", 1.0), number("leading"), number("rise"), number("render_mode", 0), F.when(F.col("fill").isNull(), black).otherwise(F.col("fill.rgb")).alias("fill"), "ctm", "line_matrix",
+        number("horiz_scale", 1.0), number("leading"), number("rise"), number("render_mode", 0), F.when(F.col("fill").isNull(), black).otherwise(F.col("fill.rgb")).alias("fill"), F.when(F.col("stroke").isNull(), black).otherwise(F.col("stroke.rgb")).alias("stroke"), number("line_width", 1.0), "ctm", "line_matrix",
     )

@@ -240,3 +240,12 @@ def test_characters_of_all_planes_are_typeset(spark):
     page = typeset(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
     got = lines.group_lines(interpret.text_runs(page, lines.NEEDED)).orderBy("line_seq").collect()
     assert [r.text for r in got] == text.split("\n")
+
+
+def test_outlined_text_keeps_its_pen(spark):
+    content = b"1 0 0 RG 3 w BT 2 Tr /F1 9 Tf 72 700 Td (one) Tj ET 0 g BT 0 Tr /F1 9 Tf 72 600 Td (two) Tj ET"
+    assert [(r["stroke"], r["line_width"]) for r in runs(content)] == [([1.0, 0.0, 0.0], 3.0)] * 2
+    edited, _, _ = edited_pages(spark, content, {})
+    new = bytes(edited.collect()[0].content)
+    first, second = new.split(b"Q\n", 1)[1].split(b"ET\nQ", 1)
+    assert b"2 Tr\n1 0 0 RG\n3 w\n" in first and b" RG" not in second and b" w\n" not in second

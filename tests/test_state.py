@@ -48,20 +48,19 @@ def test_scopes_without_rows(spark):
     assert state.in_scope(found, ["k"], "seq", {"v": F.col("kind")}).count() == 0
 
 
-SAME = ["font_name", "font_size", "char_spacing", "word_spacing", "horiz_scale", "leading", "rise", "render_mode"]
+SAME = ["font_name", "font_size", "char_spacing", "word_spacing", "horiz_scale", "leading", "rise", "render_mode", "line_width"]
 
 
 def same_as_fold(pages):
     """Rows of both, keyed by page and first byte; the fold has no fonts, so shows advance nothing."""
     extra = pages.select("doc_id", "page_index", *[c for c in ("states", "spaces") if c in pages.columns])
     rows = state.text_states(interpret.operators(pages).join(extra, ["doc_id", "page_index"])).collect()
-    got = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, list(r.ctm), list(r.line_matrix)) for r in rows}
+    got = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, r.stroke, list(r.ctm), list(r.line_matrix)) for r in rows}
     runs = interpret.text_runs(pages).collect()
-    want = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, r.ctm, r.text_matrix) for r in runs}
+    want = {(r.doc_id, r.page_index, r.start): (*[r[c] for c in SAME], r.fill, r.stroke, r.ctm, r.text_matrix) for r in runs}
     assert got.keys() == want.keys() and len(got) == len(rows) == len(runs)
     for k, a in want.items():
-        assert got[k][:8] == a[:8] and got[k][8] == (None if a[8] is None else pytest.approx(a[8])), (k, got[k], a)
-        assert got[k][9] == pytest.approx(a[9]) and got[k][10] == pytest.approx(a[10]), (k, got[k], a)
+        assert got[k][:9] == a[:9] and all(x == (None if y is None else pytest.approx(y)) for x, y in zip(got[k][9:], a[9:], strict=True)), (k, got[k], a)
     return len(got)
 
 
@@ -73,6 +72,7 @@ def test_random_pages_as_the_fold_has_them(spark):
         lambda: f"/F{n(1, 3)} {n(1, 20)} Tf", lambda: f"{n()} {n()} Td", lambda: f"{n()} {n()} TD", lambda: "T*", lambda: f"{n(1, 3)} 0 {n(0, 2)} 1 {n()} {n()} Tm", lambda: "BT", lambda: "ET", lambda: "(a) Tj", lambda: "(a) '",
         lambda: f"{n()} {n()} (a) \"", lambda: "[(a) (b)] TJ", lambda: "[] TJ", lambda: f"0.{n(0, 9)} g", lambda: f"0.{n(0, 9)} 1 0 rg", lambda: f"0.{n(0, 9)} 0 1 0.5 k", lambda: f"/{rng.choice(['DeviceRGB', 'G', 'CMYK', 'Own'])} cs",
         lambda: f"0.{n(0, 9)} 0.2 0.3 sc", lambda: "0.5 scn", lambda: "/P1 scn", lambda: "0.1 0.2 0.3 0.4 scn", lambda: "Tc", lambda: "2 TD", lambda: f"/G{n(1, 4)} gs",
+        lambda: f"{n(0, 9)} w", lambda: f"0.{n(0, 9)} G", lambda: f"0.{n(0, 9)} 1 0 RG", lambda: f"0.{n(0, 9)} 0 1 0.5 K", lambda: f"/{rng.choice(['DeviceRGB', 'G', 'CMYK', 'Own', 'None'])} CS", lambda: f"0.{n(0, 9)} 0.2 0.3 SC", lambda: "/P1 SCN", lambda: "0.5 SCN",
     ]
     rows = [(d, p, ("BT " + "\n".join(rng.choice(makers)() for _ in range(rng.randint(0, 120)))).encode(), {}, {"G1": (7.0, True), "G2": (8.0, False), "G3": (9.0, True)}, {"Own": "cmyk"}) for d in range(12) for p in range(3)]
     kind = "doc_id long, page_index int, content binary, fonts map<string,string>, states map<string,struct<size:double,named:boolean>>, spaces map<string,string>"
