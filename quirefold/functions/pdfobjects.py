@@ -20,23 +20,77 @@ GLYPHS = dict(
         [*" !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~‘’“”–—•…ßæÆøØ", "fi", "fl", *"©®°«»¡¿€"],
     )
 )
-ACCENTS = {"acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "cedilla": "̧", "ring": "̊", "caron": "̌"}
+#: Names of signs that no rule gives, by kind.
+GLYPHS |= dict(zip("cent sterling currency yen brokenbar section dieresis ordfeminine logicalnot sfthyphen macron plusminus acute mu paragraph periodcentered cedilla ordmasculine multiply divide".split(), "¢£¤¥¦§¨ª¬\xad¯±´µ¶·¸º×÷"))
+GLYPHS |= dict(zip("Eth eth Thorn thorn Lslash lslash OE oe dotlessi Dcroat dcroat Hbar hbar kgreenlandic Eng eng Tbar tbar longs florin".split(), "ÐðÞþŁłŒœıĐđĦħĸŊŋŦŧſƒ"))
+GLYPHS |= dict(zip("circumflex caron breve dotaccent ring ogonek tilde hungarumlaut quotesinglbase quotedblbase dagger daggerdbl perthousand guilsinglleft guilsinglright fraction trademark minus".split(), "ˆˇ˘˙˚˛˜˝‚„†‡‰‹›⁄™−"))
+GLYPHS |= dict(zip("partialdiff Delta product summation radical infinity integral approxequal notequal lessequal greaterequal lozenge Omega estimated arrowleft arrowup arrowright arrowdown arrowboth arrowupdn".split(), "∂∆∏∑√∞∫≈≠≤≥◊\u2126℮←↑→↓↔↕"))
+GLYPHS |= dict(zip("onehalf onequarter threequarters onethird twothirds oneeighth threeeighths fiveeighths seveneighths ff ffi ffl nbspace".split(), ["½", "¼", "¾", "⅓", "⅔", "⅛", "⅜", "⅝", "⅞", "ff", "ffi", "ffl", "\xa0"]))
+#: What the accents in names are, as combining characters.
+ACCENTS = dict(zip("acute grave circumflex dieresis tilde cedilla ring caron macron breve ogonek dotaccent commaaccent hungarumlaut dblgrave invertedbreve hookabove horn dotbelow".split(), map(chr, (0x301, 0x300, 0x302, 0x308, 0x303, 0x327, 0x30A, 0x30C, 0x304, 0x306, 0x328, 0x307, 0x327, 0x30B, 0x30F, 0x311, 0x309, 0x31B, 0x323))))
+_DIGITS = "zero one two three four five six seven eight nine".split()
+_ACCENTED = re.compile(rf"([A-Za-z]|AE|ae|Oslash|oslash|dotlessi)((?:{'|'.join(ACCENTS)})+)")
+_KANA = re.compile(r"(v?[a-z]{1,3}?)(small)?(hiragana|katakana)")
+
+
+def _by_rule(name: str) -> str:
+    """Names that are put together: letters with accents, raised and lowered digits, Greek, Cyrillic by number, kana."""
+    if m := _ACCENTED.fullmatch(name):
+        marks = "".join(ACCENTS[a] for a in re.findall("|".join(sorted(ACCENTS, key=len, reverse=True)), m[2]))
+        if m[2] == "commaaccent" and m[1] in "Ss":  # below the letter S it is a comma of its own
+            marks = "\u0326"
+        base = m[1] if len(m[1]) == 1 else GLYPHS[m[1]]
+        made = unicodedata.normalize("NFC", base + marks)
+        return made if len(made) == 1 else ""
+    for kind, first in (("superior", 0x2070), ("inferior", 0x2080)):
+        if name.endswith(kind) and name[: -len(kind)] in _DIGITS:
+            k = _DIGITS.index(name[: -len(kind)])
+            return "\xb9\xb2\xb3"[k - 1] if kind == "superior" and 1 <= k <= 3 else chr(first + k)
+    if m := re.fullmatch(r"afii100(\d\d)", name):
+        k = int(m[1])
+        for first, start, io in ((17, 0x410, 0x401), (65, 0x430, 0x451)):  # 33 letters, of which the seventh stands elsewhere
+            if first <= k < first + 33:
+                return chr(io if k == first + 6 else start + k - first - (k > first + 6))
+    if m := _KANA.fullmatch(name):
+        lookups = [f"{m[3]} letter {'small ' if m[2] else ''}{m[1]}"]
+    else:
+        greek = name.removesuffix("greek")
+        tonos = " with tonos" if greek.endswith("tonos") else ""
+        greek = greek.removesuffix("tonos").replace("final", "")
+        kind = "capital" if greek[:1].isupper() else "small"
+        greek = {"lambda": "lamda"}.get(greek.lower(), greek.lower())
+        lookups = [f"greek {kind} letter {'final ' if 'final' in name else ''}{greek}{tonos}"] if len(greek) > 1 and greek.isalpha() else []
+    for full in lookups:
+        try:
+            return unicodedata.lookup(full)
+        except KeyError:
+            continue
+    return ""
 
 
 def glyph_text(name: str) -> str:
-    """The text of a glyph name: suffix off, ligature parts joined, uniXXXX and uXXXX, letter with accent."""
+    """The text of a glyph name, empty if it has no meaning: suffix off, ligature parts joined, fixed names, names that are
+    put together, uniXXXX and uXXXX. A part without meaning, or a bare number of a glyph, leaves the whole name without."""
     out = ""
+    if name in GLYPHS:
+        return GLYPHS[name]
     for part in name.split(".")[0].split("_"):
+        if not part:
+            continue
         if part in GLYPHS:
             out += GLYPHS[part]
-        elif m := re.fullmatch(r"uni((?:[0-9A-F]{4})+)", part):
+        elif m := re.fullmatch(r"uni((?:[0-9A-Fa-f]{4})+)", part):
             out += bytes.fromhex(m[1]).decode("utf-16-be", "replace")
-        elif m := re.fullmatch(r"u([0-9A-F]{4,6})", part):
+        elif m := re.fullmatch(r"u([0-9A-Fa-f]{4,6})", part):
             out += chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else ""
+        elif re.fullmatch(r"(?:g|glyph|cid|c|G|index)\d+", part):
+            return ""
         elif len(part) == 1:
             out += part
-        elif part[1:] in ACCENTS:
-            out += unicodedata.normalize("NFC", part[0] + ACCENTS[part[1:]])
+        elif found := _by_rule(part):
+            out += found
+        else:
+            return ""
     return out
 
 

@@ -11,6 +11,12 @@ def test_glyph_names():
     assert [glyph_text(n) for n in ("A", "eacute", "uni00E9", "u1F600", "f_i", "a.alt", "quoteright", "nonsense")] == ["A", "é", "é", "\U0001f600", "fi", "a", "’", ""]
 
 
+def test_glyph_names_that_are_put_together():
+    names = "Aacute Acircumflexacute scommaaccent Gcommaaccent ohungarumlaut Zdotaccent aeacute onesuperior foursuperior twoinferior afii10017 afii10023 afii10024 afii10049 afii10071 afii10097 alpha Lambda sigmafinal Alphatonos Omega Omegagreek kahiragana tusmallkatakana infinity ff uni00e9 u1f600 A_nonsense g12 .notdef Qacute"
+    want = [*"ÁẤșĢőŻǽ¹⁴₂АЁЖЯёя", *"αΛςΆ\u2126Ωかッ∞", "ff", "é", "😀", "", "", "", ""]
+    assert [glyph_text(n) for n in names.split()] == want
+
+
 def test_filters():
     assert unfilter(b"AHx", b"48 656c6C>") == b"Hell" and unfilter(b"RL", bytes([2, 65, 66, 67, 254, 90, 128])) == b"ABCZZZ" and unfilter(b"Fl", zlib.compress(b"x")) == b"x"
 
