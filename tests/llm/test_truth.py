@@ -479,6 +479,31 @@ def test_near_duplicates(spark):
     assert {r.doc_id for r in minhash.deduplicate(df).collect()} == set(group)
 
 
+def test_longer_texts_have_rows_only_where_they_meet_shorter_ones(spark):
+    rng, rows = random.Random(12), []
+    for b in range(600):
+        n, k = rng.randint(50, 300), rng.randint(0, 9)
+        shared = rng.randint(n * 7 // 10, n)
+        rows.append((rng.randint(1, 2), rng.randint(0, 5) if k else -1, b, n, shared + k, shared if k else n, k, rng.randint(1, k) if k else 0, rng.randint(0, 30), 1))
+    columns = "a long, mark long, b long, n long, s long, shared long, k long, rank int, c long, met long"
+    got = minhash._sided(spark.createDataFrame(rows, columns), 0.8).collect()
+    shorter = defaultdict(list)
+    for r in got:
+        if r.short:
+            shorter[r.a, r.mark, r.band].append(r)
+    met = {(r.b, x.b) for r in got if not r.short for x in shorter[r.a, r.mark, r.band] if x.c != r.c}
+    # every row has a partner, so rows that are made are never more than pairs
+    assert all(any(x.c != r.c for x in shorter[r.a, r.mark, r.band]) for r in got if not r.short)
+    need = lambda x, y: 0.8 / 1.8 * (x + y)
+    rare = lambda k, rank, shared, least: rank <= k - max(1, math.ceil(least - 1e-6 - shared)) + 1
+    expected = set()
+    for a, mark, b, n, s, shared, k, rank, c, _ in rows:
+        for a2, mark2, b2, n2, s2, shared2, k2, rank2, c2, _ in rows:
+            if (a, mark) == (a2, mark2) and c != c2 and 0.8 * n <= n2 <= n and s >= need(n, n2) and s2 >= need(n2, n2) and rare(k, rank, shared, need(n, n2)) and rare(k2, rank2, shared2, need(n2, n2)):
+                expected.add((b, b2))
+    assert len(expected) > 100 and expected <= met
+
+
 def test_pipeline_against_brute_force(spark):
     """The whole of run() on the smallest tables, each stage recomputed in plain Python from its contract."""
     import corpus_pipeline
