@@ -102,9 +102,14 @@ def pruned(edits: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     return joined.where(~(F.col("new_text").eqNullSafe(F.col("_qf_old")) & (F.col("overflow") == "keep") & (F.col("anchor") == "left"))).drop("_qf_old")
 
 
+def allowed(original: Column) -> Column:
+    """The width up to which a line has no excess: ``EXCESS`` as the decimal that it is, not as the double just below it."""
+    return original * round(EXCESS * 1000) / 1000
+
+
 def fit_check(width: Column, original: Column, unmapped: Column) -> Column:
     """struct<width,original,fits,needs_fallback>: whether an edited text fits its line, and whether its font can draw it."""
-    return F.struct(width.alias("width"), original.alias("original"), (width <= original * EXCESS).alias("fits"), (F.size(unmapped) > 0).alias("needs_fallback"))
+    return F.struct(width.alias("width"), original.alias("original"), (width <= allowed(original)).alias("fits"), (F.size(unmapped) > 0).alias("needs_fallback"))
 
 
 def silenced(run: str = "", original: Column | None = None) -> Column:
@@ -134,4 +139,4 @@ def fitted(width: Column, original: Column, how: Column, anchor: Column) -> Colu
     scale = F.when(over & (how == "condense"), F.greatest(F.lit(CONDENSE), wanted)).otherwise(1.0)
     final = width * size * scale
     offset = F.when(anchor == "center", (original - final) / 2).when(anchor == "right", original - final).otherwise(0.0)
-    return F.struct(size.alias("size_factor"), scale.alias("scale_factor"), offset.alias("offset"), (final > original * EXCESS).alias("overflow"))
+    return F.struct(size.alias("size_factor"), scale.alias("scale_factor"), offset.alias("offset"), (final > allowed(original)).alias("overflow"))
