@@ -93,7 +93,7 @@ def refused(streams: DataFrame, replacements: DataFrame, keys: list[str], conten
 
 
 #: What ``silenced`` reads of a run.
-NEEDED = ["op", "safe_delete", "font_size", "char_spacing", "word_spacing", "horiz_scale", "render_mode", "width_sum", "n_glyphs", "n_spaces", "tj_adjustment"]
+NEEDED = ["op", "safe_delete", "font_size", "char_spacing", "word_spacing", "horiz_scale", "render_mode", "width_sum", "n_glyphs", "n_spaces", "tj_adjustment", "n_bytes"]
 
 
 def pruned(edits: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,16 +116,17 @@ def silenced(run: str = "", original: Column | None = None) -> Column:
     """struct<mode,text>: what stands in for a text-showing operator so that it draws nothing but moves as before.
 
     ``original`` is the operator's own text, which stays, invisible, where its movement can't be computed; without it
-    the text of such rows lacks it, and the caller has to put it in.
+    the text of such rows lacks it, and the caller has to put it in. An operator whose strings are empty moves by its
+    adjustments alone; one whose strings give no glyphs, as without a font, can't be computed.
 
     Columns: op, safe_delete, font_size, char_spacing, word_spacing, horiz_scale, render_mode, width_sum, n_glyphs,
-    n_spaces, tj_adjustment.
+    n_spaces, tj_adjustment, n_bytes.
     """
     c = lambda n: F.col(f"{run}{n}")
     size = c("font_size")
     moved = -c("width_sum") - 1000 * c("n_glyphs") * c("char_spacing") / size - 1000 * c("n_spaces") * c("word_spacing") / size + c("tj_adjustment")
     first = F.when(c("op") == "'", "T* ").when(c("op") == '"', F.concat(number_text(c("word_spacing")), F.lit(" Tw "), number_text(c("char_spacing")), F.lit(" Tc T* "))).otherwise("")
-    mode = F.when(c("safe_delete"), "delete").when((size == 0) | (c("n_glyphs") == 0), "invisible").otherwise("adjust")
+    mode = F.when(c("safe_delete"), "delete").when((size == 0) | ((c("n_glyphs") == 0) & (c("n_bytes") > 0)), "invisible").otherwise("adjust")
     text = F.when(mode == "delete", first).when(mode == "adjust", F.concat(first, F.lit("["), number_text(moved), F.lit("] TJ")))
     hidden = F.concat(F.when(c("render_mode") >= 4, "7 Tr ").otherwise("3 Tr "), original if original is not None else F.lit(""), F.format_string(" %d Tr", c("render_mode")))
     return F.struct(mode.alias("mode"), F.coalesce(text, hidden).alias("text"))

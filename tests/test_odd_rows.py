@@ -20,3 +20,10 @@ def differing(spark, folder, name, table, schema, rows):
 def test_excess_is_measured_by_its_decimal(spark, tmp_path):
     rows = [(k, n, p) for k, p in enumerate((50050.0, 50050.01, 20000.0, 20020.0, 33366.67, 104999.91, None)) for n in (1, 2, None)]
     assert differing(spark, tmp_path, "fit_policy", "lineitem", "l_orderkey long, l_linenumber int, l_extendedprice double", rows) == ([], [], 0)
+
+
+EMPTY = [(1, ""), (2, "\n"), (3, "a\n"), (4, "\na"), (5, "a\n\n"), (6, "a"), (7, " "), (8, None), (9, "日\n"), (10, "a\n日本\n\n")]
+
+
+def test_splice_leaves_nothing_of_an_empty_page(spark, tmp_path):
+    assert differing(spark, tmp_path, "replace_splice", "documents", "doc_id long, text string", EMPTY) == ([], [], 0)
