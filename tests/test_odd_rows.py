@@ -27,3 +27,7 @@ EMPTY = [(1, ""), (2, "\n"), (3, "a\n"), (4, "\na"), (5, "a\n\n"), (6, "a"), (7,
 
 def test_splice_leaves_nothing_of_an_empty_page(spark, tmp_path):
     assert differing(spark, tmp_path, "replace_splice", "documents", "doc_id long, text string", EMPTY) == ([], [], 0)
+
+
+def test_last_operator_moves_also_if_it_shows_nothing(spark, tmp_path):
+    assert differing(spark, tmp_path, "safe_neutralise", "documents", "doc_id long, text string", EMPTY) == ([], [], 0)
