@@ -85,6 +85,25 @@ def _shown(operator: bytes) -> bytes:
     return b"".join(x for x in flat if isinstance(x, bytes) and not isinstance(x, Name))
 
 
+def _by_hints(own: Encoder, rows: list[int], text: list[str], before: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, tuple]]:
+    """(row, what its text is encoded to): rows of equal hints are encoded together, about ``most`` characters at a time."""
+    waiting: dict[tuple, tuple[list[int], int]] = {}
+
+    def sent(hints: tuple) -> Iterator[tuple[int, tuple]]:
+        ready = waiting.pop(hints)[0]
+        return zip(ready, own.encode([text[k] for k in ready], dict(hints)))
+
+    for k in rows:
+        hints = tuple(sorted(own.hinted(_shown(before[k])).items())) if before[k] else ()
+        ready, size = waiting.get(hints, ([], 0))
+        ready.append(k)
+        waiting[hints] = ready, size + len(text[k])
+        if waiting[hints][1] > most:
+            yield from sent(hints)
+    for hints in list(waiting):
+        yield from sent(hints)
+
+
 def encoded(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, font, text, bytes, width (thousandths), n_glyphs, n_spaces, unmapped: the text in the codes of its font.
 
@@ -104,22 +123,8 @@ def encoded(texts: DataFrame, keys: list[str]) -> DataFrame:
             specs, which = numbered.dictionary.to_pylist(), numbered.indices.to_pylist()
             out: list[tuple] = [(b"", 0.0, 0, 0, list(t or "")) for t in text]
             for n, spec in enumerate(specs):
-                own, plain, size = _encoder(spec), [], 0
-                rows = [k for k, m in enumerate(which) if m == n and text[k]]
-                for k in rows:
-                    hints = own.hinted(_shown(before[k])) if before[k] else None
-                    if hints:
-                        out[k] = own.encode([text[k]], hints)[0]
-                        continue
-                    plain.append(k)
-                    size += len(text[k])
-                    if size > 1 << 20:
-                        out_of = own.encode([text[i] for i in plain])
-                        for i, found in zip(plain, out_of):
-                            out[i] = found
-                        plain, size = [], 0
-                for i, found in zip(plain, own.encode([text[i] for i in plain])):
-                    out[i] = found
+                for k, found in _by_hints(_encoder(spec), [k for k, m in enumerate(which) if m == n and text[k]], text, before):
+                    out[k] = found
             made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 

@@ -2,6 +2,9 @@
 
 import duckdb
 
+from quirefold.functions.cmap import Font
+from quirefold.functions.trie import Encoder
+from quirefold.operators import encode
 from quirefold.plans.queries import QUERIES, SQL
 
 
@@ -31,3 +34,14 @@ def test_splice_leaves_nothing_of_an_empty_page(spark, tmp_path):
 
 def test_last_operator_moves_also_if_it_shows_nothing(spark, tmp_path):
     assert differing(spark, tmp_path, "safe_neutralise", "documents", "doc_id long, text string", EMPTY) == ([], [], 0)
+
+
+def test_rows_of_equal_hints_are_encoded_together(monkeypatch):
+    own = Encoder(Font({"base": "Helvetica", "encoding": "cp1252", "differences": {"200": "e", "201": "n"}}))
+    monkeypatch.setattr(own.font, "glyphs", None)  # hints come from the different codes, not from every glyph
+    before = [b"(x\xc8) Tj", b"(\xc8\xc9) Tj", b"(\xc9\xc8) Tj", None, b"(e) Tj"] * 40
+    text, calls, encode_all = ["een"] * 200, [], own.encode
+    monkeypatch.setattr(own, "encode", lambda texts, hints: calls.append(len(texts)) or encode_all(texts, hints))
+    found = dict(encode._by_hints(own, list(range(200)), text, before))
+    assert calls == [40, 80, 80] and [found[k][0] for k in range(5)] == [b"\xc8\xc8n", b"\xc8\xc8\xc9", b"\xc8\xc8\xc9", b"een", b"een"]
+    assert dict(encode._by_hints(own, list(range(200)), text, before, most=9)) == found
