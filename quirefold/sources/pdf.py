@@ -103,13 +103,18 @@ def source_of(content: Column) -> Column:
 def documents(streams: DataFrame, compress: bool = True) -> DataFrame:
     """doc_id, content: one file per document from its page streams (doc_id, page_index, content and, if there, fonts)."""
     own = "fonts" in streams.columns
+    # by number, as Spark would join small partitions of what compresses well into few tasks
+    dealt = streams.repartition(max(int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions")), streams.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    listed = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("page_index", "content", *(["fonts"] if own else []))).alias("pages"))
 
-    def together(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("page_index")
-        fonts = [dict(f or {}) for f in ordered["fonts"]] if own else None
-        return pd.DataFrame({"doc_id": [ordered["doc_id"].iloc[0]], "content": [build_pdf([bytes(c) for c in ordered["content"]], compress, fonts=fonts)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                ordered = sorted(batch.column(1).slice(k, 1).to_pylist()[0], key=lambda p: (p["page_index"] is None, p["page_index"]))
+                file = build_pdf([p["content"] for p in ordered], compress, fonts=[dict(p["fonts"] or []) for p in ordered] if own else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([file], pa.binary())], names=["doc_id", "content"])
 
-    return streams.select("doc_id", "page_index", "content", *(["fonts"] if own else [])).groupBy("doc_id").applyInPandas(together, "doc_id bigint, content binary")
+    return listed.mapInArrow(run, "doc_id bigint, content binary")
 
 
 def object_references(found: DataFrame) -> DataFrame:
