@@ -61,3 +61,15 @@ def test_overlaps_against_all_pairs(spark):
         assert set(rows) == want and len(rows) == len(want) > 1000
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()
     assert ranges.overlapping(spark.createDataFrame([], df.schema), ["page"]).count() == 0
+
+
+def test_wide_ranges_make_as_many_rows_as_codes_need(spark, monkeypatch):
+    made = []
+    keep = ranges.stored
+    monkeypatch.setattr(ranges, "stored", lambda df, name: made.append((name, found := keep(df, name))) or found)
+    given = spark.createDataFrame([(k % 3, k, 7 * k, 7 * k + (1 << 40) + k, f"v{k}") for k in range(200)], "k int, seq long, lo long, hi long, v string")
+    codes = spark.createDataFrame([(k % 3, 10**6 * k, k) for k in range(30)], "k int, code long, n int")
+    got = {(r.k, r.code): r.v for r in ranges.in_last_range(codes, "code", given, ["k"], "v").collect()}
+    assert got == {(k % 3, 10**6 * k): f"v{197 + (k + 1) % 3}" if k else "v0" for k in range(30)}
+    blocks = [df.count() for name, df in made if name == "blocks"]
+    assert blocks and max(blocks) <= 2 * 30  # by numbers of codes; by codes of 40 bits there were thousands
